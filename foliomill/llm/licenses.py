@@ -89,7 +89,9 @@ def scan(docs: DataFrame) -> DataFrame:
     tail = F.when((F.size("w") > 1) & (F.element_at("w", -1) == ""), 1).otherwise(0)
     shifted = [F.col("w"), *[F.slice("w", F.lit(i + 1), F.size("w")) for i in range(1, K)]]
     windows = F.arrays_zip(*[c.alias(f"w{i}") for i, c in enumerate(shifted)])
-    each = rows.select("row", "doc_id", lead.alias("lead"), (F.size("w") - lead - tail).cast("long").alias("n_words"), F.posexplode(windows).alias("at", "x"))
+    # a select of its own: the words must not be carried along with each of their windows
+    cut = rows.select("row", "doc_id", lead.alias("lead"), (F.size("w") - lead - tail).cast("long").alias("n_words"), windows.alias("windows"))
+    each = cut.select("row", "doc_id", "lead", "n_words", F.posexplode("windows").alias("at", "x"))
 
     def gram(k: int) -> Column:
         return F.concat_ws(" ", *[F.col(f"x.w{i}") for i in range(k)])
