@@ -135,12 +135,12 @@ GROUP BY page_id
 """
 
 def _leaves_sql(text: str) -> str:
-    return f"list_transform(regexp_extract_all({text}, '{fingerprints.PARAGRAPH}'), x -> substr(md5(x), 1, {fingerprints.LEAF_DIGITS}))"
+    return f"list_transform(regexp_extract_all({text}, '{fingerprints.PARAGRAPH}'), lambda x: substr(md5(x), 1, {fingerprints.LEAF_DIGITS}))"
 
 
 def _print_sql(leaf: str) -> str:
-    body = f"regexp_replace(array_to_string(list_transform({leaf}, h -> h || CASE WHEN right(h, 1) = '0' THEN ';' ELSE ',' END), ''), '[,;]$', '')"
-    return f"md5(array_to_string(list_transform(string_split({body}, ';'), s -> md5(s)), '')) || ':' || {body}"
+    body = f"regexp_replace(array_to_string(list_transform({leaf}, lambda h: h || CASE WHEN right(h, 1) = '0' THEN ';' ELSE ',' END), ''), '[,;]$', '')"
+    return f"md5(array_to_string(list_transform(string_split({body}, ';'), lambda s: md5(s)), '')) || ':' || {body}"
 
 
 def _like_sql(a: str, b: str) -> str:
