@@ -1 +1,3 @@
 """Named queries over the driver tables; importing registers them."""
+
+from foliomill.plans import changes, scalars, search, statistics, texts, vector, windows  # noqa: F401
