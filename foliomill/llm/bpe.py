@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_STATES, MEMO, MEMO_CHARS = 200_000, 300_000, 48
+MAX_STATES, MEMO, MEMO_CHARS = 400_000, 400_000, 48
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -41,33 +42,64 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Merges:
-    """BPE by ranks on short byte strings, and which tokens may stand side by side."""
+    """The merges behind a ranked vocabulary, and which tokens may stand side by side."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token_bytes = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks))
         self.prefixes = {b[:k] for b in ranks for k in range(1, len(b))}
-        self._fits: dict[tuple[int, int], bool] = {}
+        #: token -> the two that were merged into it, and back
+        self.parts: dict[int, tuple[int, int]] = {}
+        for b, i in ranks.items():
+            if len(b) > 1 and len(made := self.merge(b, below=i)) == 2:
+                self.parts[i] = (made[0], made[1])
+        self.merged = {p: i for i, p in self.parts.items()}
+        self._fits: dict[int, bool] = {}
+
+    def forget(self) -> None:
+        """Drop the memo of compatible pairs."""
+        self._fits.clear()
 
-    def merge(self, word: bytes) -> list[int]:
+    def merge(self, word: bytes, below: int | None = None) -> list[int]:
+        """BPE by ranks, with merges under ``below`` only."""
         parts = [word[i : i + 1] for i in range(len(word))]
         while len(parts) > 1:
-            best, at = None, -1
+            best, at = below, -1
             for i in range(len(parts) - 1):
                 r = self.ranks.get(parts[i] + parts[i + 1])
                 if r is not None and (best is None or r < best):
                     best, at = r, i
-            if best is None:
+            if at < 0:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
     def fit(self, a: int, b: int) -> bool:
-        key = (a, b)
-        if key not in self._fits:
-            self._fits[key] = self.merge(self.token_bytes[a] + self.token_bytes[b]) == [a, b]
-        return self._fits[key]
+        """Whether BPE leaves ``a`` and ``b`` as they are when they meet.
+
+        Merging ran in rank order, so undo it in reverse: at each moment the two
+        tokens that touched must not have had a merge of a rank below the next
+        one that was in fact done on either side.
+        """
+        key = a << 32 | b
+        known = self._fits.get(key)
+        if known is None:
+            left, right, least, known = a, b, 1 << 31, True
+            while True:
+                if self.merged.get((left, right), 1 << 31) < least:
+                    known = False
+                    break
+                p, q = self.parts.get(left), self.parts.get(right)
+                if p is None and q is None:
+                    break
+                # the later of the two merges is undone first; of equal ones the right is the later
+                if q is None or (p is not None and left > right):
+                    least, left = left, p[1]
+                else:
+                    least, right = right + 1, q[0]
+            self._fits[key] = known
+        return known
 
 
 #: a state: the last committed token (-1 at the start), pending bytes, and for each
@@ -81,68 +113,74 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.m = Merges(ranks)
-        self.known = set()
-        for b, i in ranks.items():
-            if len(b) == 1 or self.m.merge(b) == [i]:
-                self.known.add(i)
+        self.size = {i: len(b) for b, i in ranks.items()}
+        #: bytes -> token, for the tokens that merging can reach
+        self.reached = {b: i for b, i in ranks.items() if len(b) == 1 or i in self.m.parts}
         self.clear()
 
     def clear(self) -> None:
         self.ids: dict[State, int] = {START: 0}
         self.states: list[State] = [START]
         self.next: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.ends: dict[int, tuple[int, ...]] = {}
+        self.looks: dict[bytes, tuple] = {}
+        self.m.forget()
 
-    def _chain(self, pending: bytes, last: tuple[int, ...], end: int) -> list[int]:
+    def _chain(self, last: tuple[int, ...], end: int) -> list[int]:
         """Ends of the tokens that make up the first ``end`` pending bytes."""
         out = []
         while end:
             out.append(end)
-            end -= len(self.m.token_bytes[last[end - 1]])
+            end -= self.size[last[end - 1]]
         return out[::-1]
 
-    def _last(self, committed: int, pending: bytes, last: tuple[int, ...]) -> int:
-        """The last token of all pending bytes: the longest that fits what precedes it."""
+    def _look(self, pending: bytes) -> tuple[tuple[tuple[int, int], ...], tuple[int, ...]]:
+        """Tokens that end the pending bytes, longest first, with their starts; and where later ones can start."""
         n = len(pending)
-        for size in range(min(n, self.m.longest), 0, -1):
-            t = self.m.ranks.get(pending[n - size :])
-            if t is None or t not in self.known:
-                continue
-            before = last[n - size - 1] if n > size else committed
-            if before < 0 or self.m.fit(before, t):
-                return t
-        raise ValueError("bytes that the vocabulary does not cover")
+        ends = tuple((j, t) for j in range(max(0, n - self.m.longest), n) if (t := self.reached.get(pending[j:])) is not None)
+        # a later token can start where the rest is the start of some token, or at the end
+        live = tuple(j for j in range(n) if pending[j:] in self.m.prefixes)
+        return ends, (*live, n)
 
     def step(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
         """The next state and the tokens that are now certain."""
         committed, pending, last = state
         pending += bytes((byte,))
-        last += (self._last(committed, pending, last),)
-        n = len(pending)
-        # a later token can start where the rest is the start of some token, or at the end
-        live = [j for j in range(n) if pending[j:] in self.m.prefixes] + [n]
-        shared = self._chain(pending, last, live[0])
+        seen = self.looks.get(pending)
+        if seen is None:
+            seen = self.looks[pending] = self._look(pending)
+        ends, live = seen
+        fit = self.m.fit
+        for j, t in ends:  # the last token is the one that fits what precedes it
+            before = last[j - 1] if j else committed
+            if before < 0 or fit(before, t):
+                last += (t,)
+                break
+        else:
+            raise ValueError("bytes that the vocabulary does not cover")
+        if live[0] == 0:
+            return (committed, pending, last), ()
+        shared = self._chain(last, live[0])
         for j in live[1:]:
-            chain = self._chain(pending, last, j)
-            k = 0
-            while k < min(len(shared), len(chain)) and shared[k] == chain[k]:
+            chain = self._chain(last, j)
+            k, most = 0, min(len(shared), len(chain))
+            while k < most and shared[k] == chain[k]:
                 k += 1
             shared = shared[:k]
-            if not shared:
-                break
         if not shared:
             return (committed, pending, last), ()
-        out = tuple(last[e - 1] for e in shared)
         cut = shared[-1]
+        out = tuple(last[e - 1] for e in shared)
         return (out[-1], pending[cut:], last[cut:]), out
 
     def finish(self, state: State) -> tuple[int, ...]:
         _, pending, last = state
-        return tuple(last[e - 1] for e in self._chain(pending, last, len(pending)))
+        return tuple(last[e - 1] for e in self._chain(last, len(pending)))
 
-    def encode(self, piece: bytes) -> list[int]:
+    def encode(self, piece: bytes) -> tuple[int, ...]:
         whole = self.m.ranks.get(piece)
         if whole is not None:
-            return [whole]
+            return (whole,)
         if len(self.states) > MAX_STATES:
             self.clear()
         s, out = 0, []
@@ -158,7 +196,10 @@ class Transducer:
             s, emitted = got
             if emitted:
                 out += emitted
-        return out + list(self.finish(self.states[s]))
+        tail = self.ends.get(s)
+        if tail is None:
+            tail = self.ends[s] = self.finish(self.states[s])
+        return (*out, *tail)
 
 
 class Encoder(dict):
@@ -170,12 +211,19 @@ class Encoder(dict):
 
         self.pattern = regex.compile(pattern)
         self.transducer = Transducer(read_ranks(path))
+        #: the same for single matches of the pattern, which cuts share
+        self.pieces: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, cut: str) -> bytes:
         ids: list[int] = []
         for piece in self.pattern.findall(cut):
-            ids += self.transducer.encode(piece.encode())
-        packed = np.asarray(ids, "<u4").tobytes()
+            got = self.pieces.get(piece)
+            if got is None:
+                got = self.transducer.encode(piece.encode())
+                if len(self.pieces) < MEMO and len(piece) <= MEMO_CHARS:
+                    self.pieces[piece] = got
+            ids += got
+        packed = array("I", ids).tobytes()
         if len(self) < MEMO and len(cut) <= MEMO_CHARS:
             self[cut] = packed
         return packed
