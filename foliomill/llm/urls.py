@@ -14,7 +14,8 @@ execution can split a host that holds a third of all captures.
 Defined results: a null url has a null host and no matches; an entry that is
 added twice in a row counts from the first; a removal without an addition has no
 effect; several events of one entry at one time count as the last action in
-alphabetical order; repeated rows are reported each; empty lists match nothing.
+alphabetical order; repeated rows are reported each; empty lists match nothing; captures' own columns
+named host or matches are replaced.
 """
 
 from __future__ import annotations
@@ -48,11 +49,12 @@ def intervals(events: DataFrame) -> DataFrame:
 
 def evaluate(captures: DataFrame, events: DataFrame, url: str = "url", fetched: str = "fetched") -> DataFrame:
     """``captures`` with ``host`` and ``matches``: the entries active when each was fetched."""
-    named = captures.withColumn("host", host(F.col(url)))
+    given = [c for c in captures.columns if c not in ("host", "matches")]
+    named = captures.select(*given, host(F.col(url)).alias("_host"))
     spans = intervals(events)
-    hosts = named.select("host").distinct().filter("host is not null and host <> ''")
+    hosts = named.select(F.col("_host").alias("host")).distinct().filter("host is not null and host <> ''")
     domains = hosts.select("host", F.explode(suffixes(F.col("host"))).alias("domain"))
-    of_host = domains.join(spans, "domain").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("list", "domain", "valid_from", "valid_to"))).alias("entries"))
+    of_host = domains.join(spans, "domain").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("list", "domain", "valid_from", "valid_to"))).alias("_entries")).withColumnRenamed("host", "_host")
     t = F.col(fetched)
-    active = F.filter(F.coalesce("entries", F.array().cast(MATCH)), lambda e: (e["valid_from"] <= t) & (e["valid_to"].isNull() | (t < e["valid_to"])))
-    return named.join(of_host, "host", "left").select(*captures.columns, "host", active.alias("matches"))
+    active = F.filter(F.coalesce("_entries", F.array().cast(MATCH)), lambda e: (e["valid_from"] <= t) & (e["valid_to"].isNull() | (t < e["valid_to"])))
+    return named.join(of_host, "_host", "left").select(*given, F.col("_host").alias("host"), active.alias("matches"))
