@@ -18,6 +18,7 @@ repeated rows are judged each; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -125,15 +126,18 @@ def count_batch(column: pa.Array) -> dict[str, np.ndarray]:
     return {c: np.concatenate(p) if p else np.zeros(0, np.int64) for c, p in parts.items()}
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and ``COUNTS`` for every row of (doc_id, text)."""
+def statistics(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``carry`` and ``COUNTS`` for every row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = count_batch(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(counts[c]) for c in COUNTS)], names=["doc_id", *COUNTS])
+            counts = count_batch(batch.column(len(carry)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(carry))), *(pa.array(counts[c]) for c in COUNTS)], names=[*carry, *COUNTS])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+    columns = [F.col(c).cast("long").alias(c) if c == "doc_id" else F.col(c) for c in carry]
+    carried = docs.select(*columns, F.col("text").cast("binary").alias("_text"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema.fields[:-1]), *(f"{c} long" for c in COUNTS)])
+    return carried.mapInArrow(run, schema)
 
 
 def base_failed() -> Column:
@@ -238,10 +242,17 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, seed: int = 7) -> list[Rule
 
 
 def fit(stats: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> list[Rule]:
-    """Learn from the labelled rows of ``stats``; at most ``limit``, chosen by hash."""
+    """Learn from the labelled rows of ``stats``; at most ``limit``, chosen by hash.
+
+    A hash threshold thins the rows where they are, so about ``limit`` of them
+    reach the driver however many partitions there are.
+    """
     good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").dropna().groupBy("doc_id").agg((F.avg("quality") < 0.5).alias("bad"))
-    rows = stats.filter(~base_failed()).select("doc_id", *[c.alias(k) for k, c in feature_columns().items()]).dropDuplicates(["doc_id"])
-    table = rows.join(good, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).toPandas()
+    parts = 1_000_000
+    share = min(parts, math.ceil(parts * 1.1 * limit / max(1, labels.count())))
+    chance = F.pmod(F.xxhash64("doc_id"), F.lit(parts))
+    rows = stats.filter(~base_failed() & (chance < share)).select("doc_id", chance.alias("chance"), *[c.alias(k) for k, c in feature_columns().items()]).dropDuplicates(["doc_id"])
+    table = rows.join(good, "doc_id").toPandas().sort_values(["chance", "doc_id"]).head(limit)
     if table.empty:
         return []
     return learn({k: table[k].to_numpy(float) for k in FEATURES}, table["bad"].to_numpy(bool))
@@ -259,6 +270,16 @@ def decision_list(rules: list[Rule]) -> tuple[Column, Column]:
     return kept.otherwise(F.lit(True)), which.otherwise(F.lit(None).cast("int"))
 
 
+def keep(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """The rows of ``docs`` that the list keeps.
+
+    Their statistics are taken a second time, in the stage that filters, rather
+    than joined back to the texts.
+    """
+    kept, _ = decision_list(fit(materialize(statistics(docs), "statistics"), labels))
+    return statistics(docs, columns).filter(kept).select(*columns)
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Statistics and verdict for every row of ``docs``."""
     stats = materialize(statistics(docs), "statistics")
