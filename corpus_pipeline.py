@@ -21,8 +21,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the learned decision list keep."""
-    judged = quality.judge(docs, table(spark, sf_dir, "labels")).filter("kept").select("doc_id").distinct()
-    return docs.join(judged.hint("shuffle_hash"), "doc_id", "left_semi").select(*COLUMNS)
+    return quality.keep(docs, table(spark, sf_dir, "labels"), tuple(COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +35,9 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Every document, with each secret replaced by its kind."""
     held, ledger = secrets.update_ledger(docs)
     hits = materialize(secrets.findings_by_path(held, ledger, one_scan=True).filter(F.size("findings") > 0).dropDuplicates(["path", "blob_id"]), "hits")
-    blob = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    found = docs.withColumn("blob_id", blob).join(hits.withColumnRenamed("path", "doc_id").hint("shuffle_hash"), ["doc_id", "blob_id"], "left")
+    texts = docs.withColumn("blob", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    same = F.col("doc_id").eqNullSafe(F.col("path")) & (F.col("blob") == F.col("blob_id"))
+    found = texts.join(hits.hint("shuffle_hash"), same, "left")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
