@@ -4,8 +4,9 @@ Method: linear grouping.  Pieces longer than a threshold are sorted and cut into
 groups of equal cardinality; each length is rounded up to its group's largest.
 That leaves few sizes, for which the configuration program (cover all groups
 with patterns of at most one sequence) is solved by column generation.  Whole
-patterns are opened, actual pieces take the slots of their group, and what is
-left, the short pieces last, goes by best fit into the gaps.
+patterns are opened and actual pieces take the slots of their group; a pattern's
+last slot goes to the longest piece that still fits.  What is left, the short
+pieces last, goes by best fit into the gaps.
 
 Scale: tokenising is a map.  Only (doc_id, piece, length) rows move, dealt at
 random into shards of a bounded number of rows, each packed by one task; a shard
@@ -166,6 +167,32 @@ class BestFit:
         self._file(b)
 
 
+class Shelf:
+    """Pieces by length; the longest up to a size is found in one bit scan."""
+
+    def __init__(self, lengths: np.ndarray, items: np.ndarray):
+        self.by_length: dict[int, list[int]] = {}
+        for i, n in zip(items[::-1].tolist(), lengths[items[::-1]].tolist()):
+            self.by_length.setdefault(n, []).append(i)
+        self.mask = 0
+        for n in self.by_length:
+            self.mask |= 1 << n
+
+    def take(self, size: int) -> int | None:
+        fits = self.mask & ((1 << (size + 1)) - 1)
+        if not fits:
+            return None
+        n = fits.bit_length() - 1
+        items = self.by_length[n]
+        item = items.pop()
+        if not items:
+            self.mask &= ~(1 << n)
+        return item
+
+    def rest(self) -> list[int]:
+        return [i for items in self.by_length.values() for i in items]
+
+
 def best_pattern(value: np.ndarray, size: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """Unbounded knapsack: the pattern of greatest value; sizes ascend."""
     use = np.flatnonzero(value > 1e-12)
@@ -234,17 +261,22 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY, short: float = SHORT, gr
         _, first = np.unique(group, return_index=True)
         tops, counts = sizes[first], np.diff(np.append(first, len(large)))
         up, where = np.unique(tops, return_inverse=True)  # groups that round up to one size are one group
-        members: list[list[int]] = [[] for _ in up]
-        for g in range(len(tops) - 1, -1, -1):
-            members[where[g]] += large[first[g] : first[g] + counts[g]][::-1].tolist()
-        patterns, used = configurations(up, np.array([len(m) for m in members], float), capacity)
+        patterns, used = configurations(up, np.bincount(where, weights=counts), capacity)
+        held = Shelf(lengths, large)
         for p in np.argsort(-used):
-            slots = np.repeat(np.arange(len(up)), patterns[:, p]).tolist()
+            slots = np.repeat(up, patterns[:, p])[::-1].tolist()
             for _ in range(int(used[p] + 1e-6)):
-                got = [members[g].pop() for g in slots if members[g]]
+                got: list[int] = []
+                room = capacity
+                for k, size in enumerate(slots):
+                    # a slot takes an actual piece of its group; the last one, the longest that still fits
+                    item = held.take(size if k + 1 < len(slots) else room)
+                    if item is not None:
+                        got.append(item)
+                        room -= int(lengths[item])
                 if got:
-                    fit.open(got, int(lengths[got].sum()))
-        left = [i for m in members for i in m]
+                    fit.open(got, capacity - room)
+        left = held.rest()
     rest = np.concatenate([np.array(left, np.int64), order[lengths[order] <= short * capacity]])
     for i in rest[np.argsort(-lengths[rest], kind="stable")].tolist():
         fit.add(i, int(lengths[i]))
