@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .store import partitions
 
 LONGEST = 200
+#: rows of a range of ids that is sorted on its own, and the most ranges
+RANGE_ROWS, MAX_RANGES = 20_000, 10_000
 LEAF_DIGITS = 12
 PARAGRAPH = rf"[^\n.!?]{{0,{LONGEST}}}[\n.!?]+|[^\n.!?]{{1,{LONGEST}}}"
 
@@ -65,24 +67,39 @@ def differing(print_a: Column, print_b: Column) -> Column:
     return F.when(root(print_a) == root(print_b), F.array().cast("array<int>")).otherwise(F.array_compact(marked))
 
 
+def _range_of(tops: list[int]) -> Column:
+    """Number of the range of an id: how many of the sorted ``tops`` are below it.
+
+    The tops are cut into blocks; an id is compared with the blocks' tops and then
+    within one block, about twice the square root of their number.
+    """
+    size = max(1, round(len(tops) ** 0.5))
+    blocks = [tops[i : i + size] for i in range(0, len(tops), size)]
+    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    below = lambda xs: F.size(F.filter(xs, lambda t: t < F.col("doc_id")))
+    block = below(longs([x[-1] for x in blocks]))
+    return block * size + F.coalesce(below(F.coalesce(F.get(F.array(*[longs(x) for x in blocks]), block), F.array().cast("array<bigint>"))), F.lit(0))
+
+
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """Each row with ``next_<column>`` of the next row in descending doc_id, cyclically.
 
-    Ids are cut at quantiles into ranges that are sorted on their own.  A quantile
-    is an actual id and the greatest of its range, so that row is also the
-    successor of the next range's last row: it is copied there before sorting.
+    Ids are cut at quantiles into ranges of about ``RANGE_ROWS`` rows that are
+    sorted on their own.  A quantile is an actual id and the greatest of its range,
+    so that row is also the successor of the next range's last row: it is copied
+    there before sorting.
     """
-    n = partitions(docs.sparkSession)
-    cuts = docs.agg(F.percentile_approx("doc_id", F.array(*[F.lit((i + 1) / n) for i in range(n)]), F.lit(10_000)).alias("q"), F.max("doc_id").alias("top")).first()
+    n = min(MAX_RANGES, max(partitions(docs.sparkSession), docs.count() // RANGE_ROWS))
+    cuts = docs.agg(F.percentile_approx("doc_id", F.array(*[F.lit((i + 1) / n) for i in range(n)]), F.lit(max(10_000, 10 * n))).alias("q"), F.max("doc_id").alias("top")).first()
     tops = sorted({x for x in [*(cuts["q"] or []), cuts["top"]] if x is not None})
     if not tops:  # no ids at all: one range
         bucket, ghost = F.lit(0), F.lit(0)
     else:
-        edge = F.array(*[F.lit(t).cast("long") for t in tops])
-        bucket = F.coalesce(F.size(F.filter(edge, lambda t: t < F.col("doc_id"))), F.lit(0))
-        ghost = F.when(F.array_contains(edge, F.col("doc_id")), F.pmod(bucket + 1, F.lit(len(tops))))
+        bucket = F.coalesce(_range_of(tops), F.lit(0))
+        is_top = F.col("doc_id").isin(tops)
+        ghost = F.when(is_top, F.pmod(bucket + 1, F.lit(len(tops))))
     copies = F.array(F.struct(bucket.alias("bucket"), F.lit(0).alias("ghost")), F.struct(ghost.alias("bucket"), F.lit(1).alias("ghost")))
-    dealt = docs.select("*", F.explode(copies).alias("p")).filter("p.bucket is not null").select(*docs.columns, "p.bucket", "p.ghost")
+    dealt = docs.select("*", F.explode(copies).alias("p")).filter("p.bucket is not null").select(*docs.columns, "p.bucket", "p.ghost").repartition(n, "bucket")
     order = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").desc_nulls_last(), "text")
     return dealt.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns]).filter("ghost = 0").drop("bucket", "ghost")
 
