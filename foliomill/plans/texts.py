@@ -115,9 +115,6 @@ def text_statistics(s: SparkSession, d: str) -> DataFrame:
     return C.table(s, d, "documents").select("doc_id", *[c.alias(k) for k, c in X.statistics(F.col("text")).items()])
 
 
-_POS = ", ".join(f"'{w}'" for w in ["the", "good", "great"])
-
-
 @query(r"WITH t AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(text || ' good bad good'), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM conversations), v AS (SELECT *, (len(list_filter(w, lambda x: x = 'good')) - len(list_filter(w, lambda x: x = 'bad'))) / len(w) AS s FROM t) SELECT conv_id, turn, round(s, 6) AS score, CASE WHEN s > 0.01 THEN 'positive' WHEN s < -0.01 THEN 'negative' ELSE 'neutral' END AS label FROM v")
 def sentiment(s: SparkSession, d: str) -> DataFrame:
     c = C.table(s, d, "conversations").withColumn("text", F.concat("text", F.lit(" good bad good")))
@@ -166,7 +163,7 @@ def benchmark_in_documents(s: SparkSession, d: str) -> DataFrame:
     keyed = b.withColumn("k", opening(F.col("needle")))
     docs = C.table(s, d, "documents").select("doc_id", F.lower("text").alias("text"))
     w = F.split("text", r"\s+")
-    # a needle may begin inside a word, so the key is matched on the word's tail by the exact test
+    # passages begin at a word of theirs, so their first two words are two whole words of the document
     pairs = docs.select("doc_id", F.explode(F.array_distinct(F.zip_with(w, F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(1))), lambda x, y: F.concat_ws(" ", x, y)))).alias("k"))
     # few passages against all documents: the passages are the bounded side
     hits = pairs.join(keyed, "k").select("item_id", "doc_id", "needle").distinct()
