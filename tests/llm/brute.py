@@ -81,7 +81,6 @@ def components(docs: dict[int, str | None], k: int, percent: int) -> dict[int, t
     for d, s in sets.items():
         for x in s:
             where.setdefault(x, []).append(d)
-    common: Counter = Counter()
     for d in sets:
         near: Counter = Counter()
         for x in sets[d]:
@@ -90,7 +89,6 @@ def components(docs: dict[int, str | None], k: int, percent: int) -> dict[int, t
             if 100 * c >= percent * (len(sets[d]) + len(sets[o]) - c):
                 a, b = find(d), find(o)
                 parent[max(a, b)] = min(a, b)
-    del common
     return {d: (len(s), find(d)) for d, s in sets.items()}
 
 

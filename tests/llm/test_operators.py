@@ -2,7 +2,6 @@
 
 import math
 import random
-import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -269,7 +268,7 @@ def test_jaccard_edge_cases(spark, empty):
     assert jaccard.jaccard_components(empty).count() == 0
     df = spark.createDataFrame([(None, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (3, "a b c d e f")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id) for r in jaccard.jaccard_components(df).collect()), key=str)
-    assert got == [(2, 2), (2, 2), (3, 2), (None, 2)] or got == [(2, 2), (2, 2), (3, 2), (None, None)]
+    assert got == [(2, 2), (2, 2), (3, 2), (None, None)]
 
 
 # --- context-tree weighting -------------------------------------------------------------
@@ -505,7 +504,3 @@ def test_word_spans(many):
     h = textvec.word_hashes(buf[: off[-1]], starts, ends)
     flat = [w for ws in got for w in ws]
     assert len(set(flat)) == len(set(h.tolist()))
-
-
-def test_crc_of_ids():
-    assert zlib.crc32(str(12).encode()) % 10 in range(10)
