@@ -22,7 +22,8 @@ Components come from large-star and small-star steps, all as joins.
 
 Defined results: a null or empty text has no shingles, links with nothing and is
 its own component; a null doc_id likewise, with a null component; repeated rows
-are reported each; rows that repeat a doc_id with other text share its component;
+are reported each; rows that repeat a doc_id with other text share its component,
+and one of the texts stands for the id where candidates are verified;
 an empty table gives no rows; other columns are ignored.
 """
 
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as V
-from .store import materialize
+from .store import drop, materialize, small
 
 #: rows of one block of bitmaps
 BLOCK = 512
@@ -199,11 +200,13 @@ def _exact(pairs: DataFrame, percent: int) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The links among candidate ``pairs``, decided on whole texts."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().hint("shuffle_hash")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(wanted, "doc_id", "left_semi")
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(small(wanted), "doc_id", "left_semi")
     arrays = materialize(shingle_arrays(texts, k).dropDuplicates(["doc_id"]), "arrays")
     both = pairs.join(arrays.select(F.col("doc_id").alias("b"), F.col("h").alias("hb")), "b").join(arrays.select(F.col("doc_id").alias("a"), F.col("h").alias("ha")), "a")
-    return _exact(both, percent)
+    links = materialize(_exact(both, percent), "links")
+    drop(arrays)
+    return links
 
 
 def _settled(edges: DataFrame) -> tuple:
@@ -273,32 +276,55 @@ def across_components(members: DataFrame, percent: int, block: int = BLOCK) -> D
     return tile.groupBy("key", "i", "j").applyInPandas(_compare_blocks(percent), "a long, b long").distinct()
 
 
+def across(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs whose ends are in different components."""
+    side = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    apart = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return apart.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of ``docs``."""
     signed = materialize(signatures(docs, k, percent), "signatures")
-    some = signed.filter("n_shingles > 0 and doc_id is not null")
-    classes = materialize(some.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = some.join(classes.select(F.col("rep").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+    sets = materialize(signed.drop("keys"), "sets")
+    some = sets.filter("n_shingles > 0 and doc_id is not null")
+    classes = materialize(some.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
+    # copies are left out of the keys
+    repeated = some.join(classes.filter("n > 1"), ["n_shingles", "s1", "s2"]).filter("doc_id <> rep").select("doc_id", "s1", "s2").distinct()
+    copies = materialize(repeated, "copies")
+    reps = signed.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "s1", "s2", "keys").join(small(copies), ["doc_id", "s1", "s2"], "left_anti")
     keys = reps.select("doc_id", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("first < last")
-    held = materialize(keys.join(shared.select("key", "first", "n"), "key"), "tiles")
+    shared = materialize(keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")
+    held = materialize(keys.join(shared, "key"), "tiles")
+    drop(signed)
+    drop(shared)
     marks = some.dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "bits")
 
     star = held.filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
     marked = star.join(marks.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("bits").alias("bb")), "b").join(marks.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("bits").alias("ba")), "a")
-    links = materialize(verified(materialize(_bounded(marked, percent), "bounded"), docs, k, percent), "links")
+    bounded = materialize(_bounded(marked, percent), "bounded")
+    # one candidate of each document first; the others only where components are still apart
+    nearest = bounded.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = verified(nearest, docs, k, percent)
     found = components(links)
+    others = materialize(across(bounded.join(nearest, ["a", "b"], "left_anti"), found), "others")
+    if not others.isEmpty():
+        links = links.unionByName(verified(others, docs, k, percent))
+        found = components(links)
 
-    # keys of three and more members whose members are still apart
+    # keys of three and more members whose members are still apart; keys with the same members count once
     placed = held.filter("n > 2").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    apart = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    members = materialize(placed.select("key", "doc_id", "component").join(apart, "key"), "apart")
-    if not members.isEmpty():
-        pairs = materialize(across_components(members.join(marks, "doc_id"), percent), "pairs")
-        more = materialize(verified(pairs, docs, k, percent), "links")
-        if not more.isEmpty():
-            found = components(links.unionByName(more))
+    members = F.sum(F.xxhash64("doc_id").cast("decimal(38,0)"))
+    per_key = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), members.alias("members")).filter("lo < hi")
+    apart = per_key.groupBy("n", "members").agg(F.min("key").alias("key")).select("key")
+    mixed = materialize(placed.select("key", "doc_id", "component").join(apart, "key"), "apart")
+    if not mixed.isEmpty():
+        pairs = materialize(across_components(mixed.join(marks, "doc_id"), percent), "pairs")
+        untried = materialize(pairs.join(bounded, ["a", "b"], "left_anti"), "untried")
+        if not untried.isEmpty():
+            found = components(links.unionByName(verified(untried, docs, k, percent)))
 
     of_class = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "s1", "s2", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "s1", "s2").join(of_class, ["n_shingles", "s1", "s2"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = sets.select("doc_id", "n_shingles", "s1", "s2").join(of_class, ["n_shingles", "s1", "s2"], "left")
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    return out.select("doc_id", "n_shingles", F.when(linked, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -12,6 +12,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Spark drops an execution's shuffle files when it ends
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _fallback: dict[str, str] = {}
 
@@ -28,11 +32,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once and return a reader of the written table."""
+    """Write ``df`` once and return a reader of the written table.
+
+    The write's shuffle files are removed with it: the table stands in for them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._foliomill_path = path
+    return out
+
+
+def small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """A written table of ids, to be broadcast if it has at most ``most`` rows and joined by shuffle beyond."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a written table that no later plan reads."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._foliomill_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
