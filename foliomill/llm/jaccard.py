@@ -259,10 +259,11 @@ def _compare_blocks(percent: int):
     return run
 
 
-def across_components(members: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+def across_components(members: DataFrame, marks: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """Candidate pairs from keys whose ``members`` are in several components.
 
-    ``members``: (key, doc_id, n_shingles, bits, component).  A key's members are
+    ``members``: (key, doc_id, component); ``marks``: (doc_id, n_shingles, bits),
+    which join last, so that bitmaps move once.  A key's members are
     ordered by component and cut into blocks; each pair of blocks is one group of
     at most twice ``block`` rows, left out when both hold one and the same component.
     """
@@ -272,7 +273,7 @@ def across_components(members: DataFrame, percent: int, block: int = BLOCK) -> D
     left, right = kinds.select("key", F.col("block").alias("i"), F.col("lo").alias("lo_i"), F.col("hi").alias("hi_i")), kinds.select("key", F.col("block").alias("j"), F.col("lo").alias("lo_j"), F.col("hi").alias("hi_j"))
     met = left.join(right, "key").filter("i <= j and not (lo_i = hi_i and lo_j = hi_j and lo_i = lo_j)").select("key", "i", "j")
     sides = met.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
-    tile = sides.join(placed, ["key", "block"]).select("key", "i", "j", "doc_id", "n_shingles", "bits", "component", "block")
+    tile = sides.join(placed, ["key", "block"]).join(marks, "doc_id").select("key", "i", "j", "doc_id", "n_shingles", "bits", "component", "block")
     return tile.groupBy("key", "i", "j").applyInPandas(_compare_blocks(percent), "a long, b long").distinct()
 
 
@@ -319,7 +320,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     apart = per_key.groupBy("n", "members").agg(F.min("key").alias("key")).select("key")
     mixed = materialize(placed.select("key", "doc_id", "component").join(apart, "key"), "apart")
     if not mixed.isEmpty():
-        pairs = materialize(across_components(mixed.join(marks, "doc_id"), percent), "pairs")
+        pairs = materialize(across_components(mixed, marks, percent), "pairs")
         untried = materialize(pairs.join(bounded, ["a", "b"], "left_anti"), "untried")
         if not untried.isEmpty():
             found = components(links.unionByName(verified(untried, docs, k, percent)))

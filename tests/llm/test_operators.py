@@ -251,10 +251,11 @@ def test_apart_members_are_compared(spark):
         h = np.unique(np.concatenate([sets[i % 3][2:], rng.integers(0, 2**63, 1, dtype=np.uint64)]))
         members.append((7, i, len(h), jaccard.bitmap(h).tobytes(), i))
     df = spark.createDataFrame(members, "key long, doc_id long, n_shingles long, bits binary, component long")
-    pairs = {(r.a, r.b) for r in jaccard.across_components(df, 80, block=8).collect()}
+    marks, df = df.select("doc_id", "n_shingles", "bits"), df.select("key", "doc_id", "component")
+    pairs = {(r.a, r.b) for r in jaccard.across_components(df, marks, 80, block=8).collect()}
     assert {(a, b) for a in range(30) for b in range(a + 1, 30) if a % 3 == b % 3} <= pairs
     one = df.withColumn("component", F.lit(0).cast("long"))
-    assert jaccard.across_components(one, 80, block=8).count() == 0
+    assert jaccard.across_components(one, marks, 80, block=8).count() == 0
 
 
 def test_long_chains_are_one_component(spark):
