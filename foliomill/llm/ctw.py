@@ -1,21 +1,22 @@
 """Context-tree weighting over bytes, trained on the corpus and used to score it.
 
 Bytes are decomposed into binary decisions.  A decision's contexts are the 0 to
-``DEPTH`` preceding bytes of its word (a word's own separator bounds them), and
-every node mixes its Krichevsky-Trofimov estimate with its children's product,
-half and half, so all depths weigh in by how well they have predicted.  Scoring
-uses the mixture posterior of the trained tree: exact, no pruning, no hashing.
-
-As contexts end at the separator, a word's code length does not depend on its
-neighbours, and the model is evaluated once for each distinct word:
-
-1. a map counts the words of each task; a grouping sums them (training counts);
-2. blocks of distinct words emit their byte 6-grams; a grouping sums those;
+``DEPTH`` preceding bytes of the running text, lower-cased as the words of the
+base model are, white space and word boundaries included; before its first byte a
+text has ``EDGE`` bytes, and it ends with one.  Every node mixes its
+Krichevsky-Trofimov estimate with its children's product, half and half, so all
+depths weigh in by how well they have predicted.  Scoring uses the mixture
+posterior of the trained tree: exact, no pruning, no hashing.
+
+1. a map counts the words of each task; a grouping sums them (base model);
+2. chunks of texts emit their distinct byte 6-grams with training counts; a
+   grouping sums those;
 3. the tree below each pair of nearest bytes is worked out inside one bucket;
    the two upper depths (at most 256 x 255 nodes) are finished on the driver;
-4. code lengths return to the blocks of words by a join on the 6-gram;
-5. documents add up their words: the ``HOT`` most frequent words are broadcast,
-   a bounded number; all other words of a document join the word table.
+4. code lengths return to the chunks by a join on the 6-gram, and each text adds
+   up those of its own 6-grams;
+5. documents add up their words' base scores: the ``HOT`` most frequent words are
+   broadcast, a bounded number; all other words join the word table.
 
 Defined results: a null text is empty and has one token, its end; repeated rows
 are scored each; with no training rows all counts are 0; an empty table gives no
@@ -41,6 +42,8 @@ HOT, HOT_BYTES = 200_000, 64
 #: distinct words of a block, distinct 6-grams of a bucket, bytes of text counted together
 BLOCK_WORDS, BUCKET_GRAMS, TASK_BYTES = 400_000, 500_000, 24 << 20
 SEPARATOR, END_OF_TEXT = 0x20, 0x0A
+#: no byte of UTF-8: what stands before and after a text
+EDGE = 0xFF
 #: additive smoothing of the base model
 ALPHA = 0.1
 
@@ -158,6 +161,58 @@ def block_grams(words: DataFrame) -> DataFrame:
     return words.groupBy("block").applyInArrow(run, "block long, g long, n long")
 
 
+def text_grams(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All contexts with their next byte over whole texts, and each text's first position.
+
+    ``at`` holds row offsets into ``buf`` starting at 0; 6-grams are laid out as in ``word_grams``.
+    """
+    rows = len(at) - 1
+    first = at + np.arange(rows + 1)
+    coded = np.full(first[-1], EDGE, np.uint64)
+    inner = np.ones(len(coded), bool)
+    inner[first[1:] - 1] = False
+    coded[inner] = buf
+    into = np.arange(len(coded)) - np.repeat(first[:-1], np.diff(first))
+    g = coded.copy()
+    for d in range(1, DEPTH + 1):
+        back = np.full(len(coded), EDGE, np.uint64)
+        back[d:] = coded[:-d]
+        back[into < d] = EDGE
+        g |= back << np.uint64(8 * (DEPTH + 1 - d))
+    return g, first
+
+
+def _tallied(g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct 6-grams in order, and the sums of their counts."""
+    order = np.argsort(g)
+    g = g[order]
+    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+    return g[first], np.add.reduceat(n[order], first)
+
+
+def chunk_grams(dealt: DataFrame) -> DataFrame:
+    """(chunk, g, n): each chunk's distinct 6-grams of whole texts with training counts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        train = ~np.asarray(table["held_out"].to_numpy(), bool)
+        buf, off = V.text_buffers(table["text"].chunk(0))
+        seen, counts = [], []
+        for a, b in V.slices(off):
+            g, first = text_grams(V.LOWER[buf[off[a] : off[b]]], off[a : b + 1] - off[a])
+            counted = np.repeat(train[a:b], np.diff(first))
+            for part, weight in ((g[counted], 1), (g[~counted], 0)):
+                if len(part):
+                    part = np.sort(part)
+                    at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+                    seen.append(part[at[:-1]])
+                    counts.append(np.diff(at) * weight)
+        u, n = _tallied(np.concatenate(seen), np.concatenate(counts))
+        return pa.table({"chunk": pa.array(np.full(len(u), table["chunk"][0].as_py(), np.int64)), "g": pa.array(u.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+    return dealt.select("chunk", "held_out", "text").groupBy("chunk").applyInArrow(run, "chunk long, g long, n long")
+
+
 # --- 3. the tree --------------------------------------------------------------------
 
 
@@ -280,7 +335,10 @@ def gram_bits(grams: DataFrame) -> DataFrame:
 
 
 def word_model(docs: DataFrame) -> DataFrame:
-    """(word, c, ctw): every distinct word with its count and log10 probability."""
+    """(word, c, ctw): every distinct word with its count and log10 probability, each word a text by itself.
+
+    Its contexts end at the word's separator; texts are scored by ``score`` on running contexts.
+    """
     counted = materialize(word_counts(docs), "words")
     blocks = max(1, math.ceil(counted.count() / BLOCK_WORDS))
     words = counted.withColumn("block", F.pmod(F.xxhash64("word"), F.lit(blocks)))
@@ -305,6 +363,8 @@ def word_model(docs: DataFrame) -> DataFrame:
 # --- 5. documents -------------------------------------------------------------------
 
 PARTIAL = "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base double, ctw double, word binary, tf long"
+_TYPES = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
+PARTIAL_ARROW = pa.schema([(n, _TYPES[t]) for n, t in (x.split() for x in PARTIAL.split(", "))])
 
 
 def hot_threshold(model: DataFrame, most: int = HOT) -> int:
@@ -327,7 +387,14 @@ def hot_threshold(model: DataFrame, most: int = HOT) -> int:
 def score(docs: DataFrame) -> DataFrame:
     """Base and model log10 probabilities of every text of ``docs``."""
     spark = docs.sparkSession
-    model = word_model(docs)
+    model = materialize(word_counts(docs), "words")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks = max(1, math.ceil(size / TASK_BYTES))
+    # rows are dealt by what they hold, so both passes agree
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("binary").alias("text"))
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
+    grams = materialize(chunk_grams(dealt), "chunk_grams")
+    coded = grams.select("chunk", "g").join(gram_bits(grams.select("g", "n")), "g")
     n, v = model.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
     below = n + ALPHA * (v + 1)
     hot = model.filter((F.octet_length("word") <= HOT_BYTES) & (F.col("c") >= hot_threshold(model))).toArrow().combine_chunks()
@@ -336,10 +403,10 @@ def score(docs: DataFrame) -> DataFrame:
     hashes = V.word_hashes(buf, off[:-1], off[1:]) if len(words) else np.zeros(0, np.uint64)
     order = np.argsort(hashes)
     c = hot["c"].to_numpy()[order] if hot.num_rows else np.zeros(0)
-    known = spark.sparkContext.broadcast((hashes[order], np.log10((c + ALPHA) / below), hot["ctw"].to_numpy()[order] if hot.num_rows else np.zeros(0), c > 0))
+    known = spark.sparkContext.broadcast((hashes[order], np.log10((c + ALPHA) / below), c > 0))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, base, ctw, is_known = known.value
+    def partial(batches: list[pa.RecordBatch], key: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+        table, base, is_known = known.value
         names = [x.split()[0] for x in PARTIAL.split(", ")]
         for batch in batches:
             row, doc, out = batch.column(0), batch.column(1), batch.column(2)
@@ -353,7 +420,12 @@ def score(docs: DataFrame) -> DataFrame:
                 i[i == len(table)] = 0
                 hit = table[i] == h if len(table) else np.zeros(len(h), bool)
                 add = lambda values: np.bincount(of[hit], weights=values[i[hit]], minlength=b - a)
-                whole = [row[a:b], doc[a:b], out[a:b], pa.array(np.diff(first) + 1), pa.array(np.diff(at)), pa.array(add(is_known.astype(float)).astype(np.int64)), pa.array(add(base)), pa.array(add(ctw))]
+                g, at_gram = text_grams(part, at)
+                by = np.argsort(g)
+                each = np.empty(len(g))
+                each[by] = bits[np.searchsorted(key, g[by])]
+                ctw = -np.add.reduceat(each, at_gram[:-1]) * math.log10(2)
+                whole = [row[a:b], doc[a:b], out[a:b], pa.array(np.diff(first) + 1), pa.array(np.diff(at)), pa.array(add(is_known.astype(float)).astype(np.int64)), pa.array(add(base)), pa.array(ctw)]
                 # the row itself, under a key that is no word
                 keys = pa.array([b" %d" % x for x in row[a:b].to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*whole, keys, pa.nulls(b - a, pa.int64())], names=names)
@@ -366,16 +438,22 @@ def score(docs: DataFrame) -> DataFrame:
                     none = lambda t: pa.nulls(m, t)
                     yield pa.RecordBatch.from_arrays([row[a:b].take(pa.array(of[pick])), none(pa.int64()), none(pa.bool_()), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.float64()), none(pa.float64()), binary_array(data, to), pa.array(np.bincount(where, minlength=m).astype(np.int64))], names=names)
 
-    end = model.filter(F.octet_length("word") == 0).select("c", "ctw").first()
-    end_c, end_ctw = (end["c"], end["ctw"]) if end else (0, 0.0)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("binary").alias("text")).mapInArrow(run, PARTIAL)
-    joined = rows.join(model.filter(F.octet_length("word") > 0).select("word", "c", F.col("ctw").alias("word_ctw")), "word", "left")
+    def run(texts: pa.Table, coded: pa.Table) -> pa.Table:
+        key, bits = coded["g"].to_numpy().view(np.uint64), coded["bits"].to_numpy()
+        order = np.argsort(key)
+        made = partial(texts.select(["row", "doc_id", "held_out", "text"]).combine_chunks().to_batches(), key[order], bits[order])
+        return pa.Table.from_batches(made, schema=PARTIAL_ARROW)
+
+    end = model.filter(F.octet_length("word") == 0).select("c").first()
+    end_c = end["c"] if end else 0
+    parts = dealt.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(run, PARTIAL)
+    joined = parts.join(model.filter(F.octet_length("word") > 0).select("word", "c"), "word", "left")
     tf = F.col("tf").cast("double")
     out = joined.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.max("n_bytes").alias("n_bytes"),
         (F.sum(F.coalesce("n_known", F.lit(0))) + F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)) + F.lit(int(end_c > 0))).alias("n_known"),
         (F.sum(F.coalesce("base", F.lit(0.0))) + F.sum(F.coalesce(tf * F.log10((F.col("c") + ALPHA) / F.lit(below)), F.lit(0.0))) + F.lit(math.log10((end_c + ALPHA) / below))).alias("base_score"),
-        (F.sum(F.coalesce("ctw", F.lit(0.0))) + F.sum(F.coalesce(tf * F.col("word_ctw"), F.lit(0.0))) + F.lit(end_ctw)).alias("score"),
+        F.sum("ctw").alias("score"),
     )
     bits = -F.col("score") / F.lit(math.log10(2))
     return out.select("doc_id", "held_out", "n_tokens", F.col("n_known").cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", F.try_divide(bits, F.col("n_bytes").cast("double")).alias("bits_per_byte"))

@@ -367,6 +367,51 @@ def test_held_out_text_is_predicted(spark):
     assert got < 1.6
 
 
+def test_contexts_cross_words(spark):
+    """Scores by the recursive definition over whole texts; the order of words and runs of white space count."""
+    texts = {1: "the cat sat on the mat the cat sat", 2: "sat cat the mat the on sat cat the", 3: "The cat  sat\n\non the mat", 4: "", 5: None}
+    got = rows(ctw.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
+    coded = {i: (t or "").lower().encode() + b"\xff" for i, t in texts.items()}
+    train = [c for i, c in coded.items() if not got[i].held_out]
+    assert 0 < len(train)
+
+    def events(text):
+        for i, byte in enumerate(text):
+            context = bytes(reversed((b"\xff" * ctw.DEPTH + text[:i])[-ctw.DEPTH :]))
+            for j in range(8):
+                yield context, (1 << j) | (byte >> (8 - j)), byte >> (7 - j) & 1
+
+    counts = defaultdict(lambda: [0, 0])
+    for text, n in [(c, 1) for c in train] + [(c, 0) for c in coded.values()]:
+        for context, node, bit in events(text):
+            for d in range(ctw.DEPTH + 1):
+                counts[context[:d], node][bit] += n
+    children = defaultdict(set)
+    for context, node in list(counts):
+        if context:
+            children[context[:-1], node].add((context, node))
+    kt = lambda c: math.lgamma(c[0] + 0.5) + math.lgamma(c[1] + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(sum(c) + 1)
+
+    def weighted(key):
+        own = kt(counts[key])
+        if len(key[0]) == ctw.DEPTH:
+            return own, 1.0
+        total = np.logaddexp(own, sum(weighted(k)[0] for k in children[key])) - math.log(2)
+        return total, math.exp(own - math.log(2) - total)
+
+    for i, text in coded.items():
+        want = 0.0
+        for context, node, bit in events(text):
+            p, rest = 0.0, 1.0
+            for d in range(ctw.DEPTH + 1):
+                c, w = counts[context[:d], node], weighted((context[:d], node))[1]
+                p += rest * w * (c[bit] + 0.5) / (sum(c) + 1)
+                rest *= 1 - w
+            want += math.log10(p)
+        assert math.isclose(got[i].score, want, rel_tol=1e-7), i
+    assert not math.isclose(got[1].score, got[2].score, rel_tol=1e-3)
+
+
 def test_cold_words_take_the_join(docs, monkeypatch):
     whole = rows(ctw.score(docs))
     monkeypatch.setattr(ctw, "hot_threshold", lambda model: 3)
