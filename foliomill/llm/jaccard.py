@@ -20,6 +20,11 @@ and again verified exactly.  No link is lost; none is inferred.
 
 Components come from large-star and small-star steps, all as joins.
 
+``jaccard_components`` verifies what components need, not every link.  The join
+itself is ``jaccard_join`` (all linked pairs) and ``link_counts``: there every two
+different sets that share a key are bounded and verified exactly, by set and not
+by doc_id, so repeated doc_ids keep all their texts.
+
 Defined results: a null or empty text has no shingles, links with nothing and is
 its own component; a null doc_id likewise, with a null component; repeated rows
 are reported each; rows that repeat a doc_id with other text share its component,
@@ -329,3 +334,67 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     out = sets.select("doc_id", "n_shingles", "s1", "s2").join(of_class, ["n_shingles", "s1", "s2"], "left")
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     return out.select("doc_id", "n_shingles", F.when(linked, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(cls, doc_id, n_shingles, keys, bits) of the rows that can link; equal sets have one ``cls``."""
+    signed = signatures(docs, k, percent).filter("n_shingles > 0 and doc_id is not null")
+    return materialize(signed.select(F.xxhash64("n_shingles", "s1", "s2").alias("cls"), "doc_id", "n_shingles", "keys", "bits"), "classes")
+
+
+def _class_links(rows: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): every two different classes whose sets reach the threshold."""
+    sets = materialize(rows.dropDuplicates(["cls"]).select(F.col("cls").alias("doc_id"), "n_shingles", "keys", "bits"), "sets")
+    keys = sets.select("doc_id", F.explode("keys").alias("key"))
+    members = F.sum(F.xxhash64("doc_id").cast("decimal(38,0)"))
+    # keys with the same members count once
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), members.alias("members")).filter("n > 1")
+    once = materialize(shared.groupBy("n", "members").agg(F.min("key").alias("key")).select("key"), "shared")
+    held = keys.join(once, "key").withColumn("component", F.col("doc_id"))
+    pairs = materialize(across_components(held, sets.select("doc_id", "n_shingles", "bits"), percent), "pairs")
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "wanted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, s1, s2, packed = [], [], [], []
+            for h in shingle_sets(batch.column(0), k):
+                n.append(len(h))
+                s1.append(V.mix64(h + np.uint64(1)).sum(dtype=np.uint64))
+                s2.append(V.mix64(h + np.uint64(2)).sum(dtype=np.uint64))
+                packed.append(h.tobytes())
+            sums = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (s1, s2)]
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), *sums, pa.array(packed, pa.binary())], names=["n", "s1", "s2", "h"])
+
+    arrays = docs.filter("doc_id is not null").select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "n long, s1 long, s2 long, h binary")
+    arrays = arrays.select(F.xxhash64("n", "s1", "s2").alias("cls"), "h").join(small(wanted), "cls", "left_semi").dropDuplicates(["cls"])
+    arrays = materialize(arrays, "arrays")
+    both = pairs.join(arrays.select(F.col("cls").alias("b"), F.col("h").alias("hb")), "b").join(arrays.select(F.col("cls").alias("a"), F.col("h").alias("ha")), "a")
+    return materialize(_exact(both, percent), "links")
+
+
+def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """(a, b), a < b: every two doc_ids with texts whose sets reach the threshold, each pair once."""
+    rows = _classes(docs, k, percent)
+    links = _class_links(rows, docs, k, percent)
+    members = rows.select("cls", "doc_id").distinct()
+    left, right = members.select(F.col("cls").alias("a"), F.col("doc_id").alias("x")), members.select(F.col("cls").alias("b"), F.col("doc_id").alias("y"))
+    between = links.join(left, "a").join(right, "b").select("x", "y")
+    inside = left.join(right, F.col("a") == F.col("b")).filter("x < y").select("x", "y")
+    return between.unionByName(inside).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def link_counts(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_links) for every row of ``docs``: the other rows it links with.
+
+    Copies are counted by their class, so their pairs are never made.
+    """
+    rows = _classes(docs, k, percent)
+    links = _class_links(rows, docs, k, percent)
+    sizes = rows.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
+    ways = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = ways.join(sizes.withColumnRenamed("cls", "b"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("others"))
+    each = sizes.join(others, "cls", "left").select("cls", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    linked = rows.select("cls", "doc_id").join(each, "cls").select("doc_id", "n_links")
+    # rows without shingles or id
+    rest = signatures(docs, k, percent).filter("n_shingles = 0 or doc_id is null").select("doc_id", F.lit(0).cast("long").alias("n_links"))
+    return linked.unionByName(rest)

@@ -54,6 +54,10 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op5_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_counts(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op6_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(table(spark, sf_dir, "documents"))
 
@@ -94,7 +98,7 @@ def op10_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_format, op3_secret_scan, op4_quality_rules, op5_ngram_jaccard_join, op6_ctw_score, op7_byte_bpe, op8_url_filter, op9_license_scan, op10_merkle_fingerprint)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_format, op3_secret_scan, op4_quality_rules, op5_ngram_jaccard_join, op5_link_counts, op6_ctw_score, op7_byte_bpe, op8_url_filter, op9_license_scan, op10_merkle_fingerprint)}
 
 _CHAT_SQL = rf"""
 WITH t AS (

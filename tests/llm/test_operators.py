@@ -258,6 +258,37 @@ def test_apart_members_are_compared(spark):
     assert jaccard.across_components(one, marks, 80, block=8).count() == 0
 
 
+def test_join_finds_every_link(spark):
+    """All pairs by brute force: large groups of near copies, exact copies, an id with two texts, rows without id."""
+    rng = random.Random(5)
+    data = []
+    for n in (80, 250):
+        base = [f"v{rng.randrange(5000)}" for _ in range(n)]
+        for i in range(40):
+            words = list(base)
+            words[rng.randrange(n)] = f"v{rng.randrange(5000)}" if i % 4 else words[0]
+            data.append((len(data), " ".join(words)))
+    data += [(100 + i, data[0][1]) for i in range(3)] + [(7, data[50][1]), (None, data[0][1]), (200, ""), (201, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    for k, percent in ((3, 90), (5, 80)):
+        sets = []
+        for i, t in data:
+            w = (t or "").lower().split()
+            size = min(k, len(w))
+            sets.append((i, {tuple(w[j : j + size]) for j in range(len(w) - size + 1)} if w and i is not None else set()))
+        linked = [(x, y) for x in range(len(sets)) for y in range(x + 1, len(sets)) if (common := len(sets[x][1] & sets[y][1])) and 100 * common >= percent * len(sets[x][1] | sets[y][1])]
+        pairs = {tuple(sorted((sets[x][0], sets[y][0]))) for x, y in linked}
+        assert len(linked) > 100
+        got = [(r.a, r.b) for r in jaccard.jaccard_join(df, k, percent).collect()]
+        assert len(got) == len(set(got)) and set(got) == {p for p in pairs if p[0] != p[1]}
+        counts = defaultdict(int)
+        for x, y in linked:
+            counts[x] += 1
+            counts[y] += 1
+        got = sorted(((r.doc_id, r.n_links) for r in jaccard.link_counts(df, k, percent).collect()), key=str)
+        assert got == sorted(((i, counts[x]) for x, (i, _) in enumerate(sets)), key=str)
+
+
 def test_long_chains_are_one_component(spark):
     edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = jaccard.components(edges)
