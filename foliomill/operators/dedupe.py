@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -26,18 +28,52 @@ def edit_similarity(a: Column, b: Column) -> Column:
 
 def _may_reach(a: Column, b: Column, least: float) -> Column:
     """The ratio is at most 2 min / (sum of lengths): what cannot reach ``least`` is left out."""
-    return 2 * F.least(F.length(a), F.length(b)) >= least * (F.length(a) + F.length(b))
+    return 2 * F.least(F.length(a), F.length(b)) >= least * (F.length(a) + F.length(b)) - 1e-9
 
 
-def similar_pairs(names: DataFrame, block: Column, least: float = 0.8, key: str = "id", name: str = "name") -> DataFrame:
-    """Pairs of names in one block whose ratio reaches ``least``.
+#: letters from rare to common; an order that is the same for all names, so only speed depends on it
+_RARE_FIRST = "zqxjkvbpgwyfmucldrhsnioate "
 
-    ``block`` keeps the join an equi-join; names are distinct values, not rows.
+
+def _letters(name: str) -> list[str]:
+    """Each character with the number of its occurrence, rare ones first: a set that overlaps as the characters do."""
+    seen: Counter = Counter()
+    out = []
+    for c in name:
+        seen[c] += 1
+        out.append((_RARE_FIRST.find(c) - 4 * (seen[c] - 1), c, seen[c]))
+    return [f"{c}{n}" for _, c, n in sorted(out)]
+
+
+def _candidates(n: DataFrame, least: float, before: Column) -> DataFrame:
+    """Pairs (a, b) of rows of ``n``, which has ``low``, that can reach ``least``; none that does is left out.
+
+    The ratio is 2 m / (sum of lengths) with m matched characters, at most the
+    common ones of ``_letters``.  A pair that reaches ``least`` has at least
+    length * least / (2 - least) in common on either side, so the first letters
+    beyond that number share one: the join is an equi-join on it, and a pair is
+    kept at the first letter that it shares.
     """
-    n = names.select(F.col(key).alias("id"), F.lower(name).alias("name"), block.alias("block"))
-    a, b = n.alias("a"), n.alias("b")
-    pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.id") < F.col("b.id")) & _may_reach(F.col("a.name"), F.col("b.name"), least))
-    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), ratio(F.col("a.name"), F.col("b.name")).alias("similarity")).filter(F.col("similarity") >= least)
+
+    def first(names: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else _letters(x)[: len(x) - math.ceil(len(x) * least / (2 - least) - 1e-9) + 1] if x else [""] for x in names])
+
+    letters = F.pandas_udf(lambda names: pd.Series([None if x is None else _letters(x) for x in names]), "array<string>")
+    keyed = n.withColumn("letters", letters("low")).withColumn("first", F.pandas_udf(first, "array<string>")("low")).withColumn("k", F.explode("first"))
+    pairs = keyed.alias("a").join(keyed.alias("b"), (F.col("a.k") == F.col("b.k")) & before & _may_reach(F.col("a.low"), F.col("b.low"), least))
+    common = F.size(F.array_intersect("a.letters", "b.letters"))
+    once = F.element_at(F.array_intersect("a.first", "b.first"), 1) == F.col("a.k")
+    return pairs.filter(once & (2 * common >= least * (F.length("a.low") + F.length("b.low")) - 1e-9))
+
+
+def similar_pairs(names: DataFrame, block: Column | None = None, least: float = 0.8, key: str = "id", name: str = "name") -> DataFrame:
+    """Pairs of names whose ratio reaches ``least``: all of them, or those in one ``block``.
+
+    Names are distinct values, not rows.
+    """
+    n = names.select(F.col(key).alias("id"), F.lower(name).alias("low"), (F.lit(0) if block is None else block).alias("block"))
+    pairs = _candidates(n, least, (F.col("a.block") == F.col("b.block")) & (F.col("a.id") < F.col("b.id")))
+    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), ratio(F.col("a.low"), F.col("b.low")).alias("similarity")).filter(F.col("similarity") >= least)
 
 
 def greedy_groups(rows: pd.DataFrame, least: float) -> list[list[int]]:
@@ -56,11 +92,34 @@ def greedy_groups(rows: pd.DataFrame, least: float) -> list[list[int]]:
     return out
 
 
-def fuzzy_groups(names: DataFrame, block: Column, least: float = 0.8) -> DataFrame:
-    """(canonical, members): greedy groups in each block; the most used name stands for its group.
+def _groups_of_pairs(names: DataFrame, least: float) -> DataFrame:
+    """``fuzzy_groups`` over all names: ``greedy_groups`` in rounds over the similar pairs.
+
+    A name that no earlier open name is like leads; the names it is like are taken.
+    A taken name goes to the first leader that it is like.
+    """
+    edges = similar_pairs(names, None, least).select("a", "b").localCheckpoint()
+    taken, open_ = None, edges
+    while not open_.isEmpty():
+        lead = open_.select("a").distinct().join(open_.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        new = open_.join(lead, "a", "left_semi").select("b").distinct().localCheckpoint()
+        taken = new if taken is None else taken.unionByName(new)
+        open_ = open_.join(new, "b", "left_anti").join(new.withColumnRenamed("b", "a"), "a", "left_anti").localCheckpoint()
+    if taken is None:
+        return names.select(F.col("id").cast("long").alias("canonical"), F.array(F.col("id").cast("long")).alias("members")).limit(0)
+    owned = edges.join(taken, "b", "left_semi").join(taken.withColumnRenamed("b", "a"), "a", "left_anti").groupBy("b").agg(F.min("a").alias("a"))
+    members = owned.select("a", F.col("b").alias("id")).unionByName(owned.select("a", F.col("a").alias("id")).distinct())
+    used = members.join(names.select("id", "books"), "id").withColumn("id", F.col("id").cast("long"))
+    return used.groupBy("a").agg(F.max_by("id", F.struct("books", -F.col("id"))).alias("canonical"), F.array_sort(F.collect_list("id")).alias("members")).select("canonical", "members")
+
+
+def fuzzy_groups(names: DataFrame, block: Column | None = None, least: float = 0.8) -> DataFrame:
+    """(canonical, members): greedy groups of all names, or in each ``block``; the most used name stands for its group.
 
     ``names`` has id, name and books (its number of uses).
     """
+    if block is None:
+        return _groups_of_pairs(names, least)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         used = dict(zip(rows["id"], rows["books"]))
@@ -91,19 +150,28 @@ def weighted_duplicates(df: DataFrame, block: Column, fields: dict[str, tuple[st
     return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), score.alias("similarity")).filter(F.col("similarity") >= least)
 
 
+#: longest part of a tag by which the tags that contain it are found
+PART = 4
+
+
+def _parts(names: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else sorted({x[i : i + q] for q in range(PART + 1) for i in range(len(x) - q + 1)}) for x in names])
+
+
 def similar_tags(tags: DataFrame, least: float = 0.8) -> DataFrame:
     """(tag, canonical): the shorter of two tags that are alike or contain one another.
 
-    Candidates share a word or their first three letters, so the join is an equi-join.
+    Alike tags come from ``_candidates``; a tag is met by its first characters
+    with every tag that has them anywhere.  Both are equi-joins that lose no pair.
     """
-    low = F.lower(F.trim("name"))
-    keys = F.array_distinct(F.concat(F.split(low, r"\s+"), F.array(F.substring(low, 1, 3))))
-    n = tags.select(F.col("name"), low.alias("low"), F.explode(keys).alias("k"))
-    a, b = n.alias("a"), n.alias("b")
+    n = tags.select("name", F.lower(F.trim("name")).alias("low"))
     shorter = (F.length("a.low") < F.length("b.low")) | ((F.length("a.low") == F.length("b.low")) & (F.col("a.low") < F.col("b.low")))
-    pairs = a.join(b, (F.col("a.k") == F.col("b.k")) & shorter).select(F.col("a.low").alias("x"), F.col("b.low").alias("y"), F.col("a.name").alias("canonical"), F.col("b.name").alias("tag")).distinct()
-    alike = F.col("y").contains(F.col("x")) | (_may_reach(F.col("x"), F.col("y"), least) & (ratio(F.col("x"), F.col("y")) >= least))
-    return pairs.filter(alike).groupBy("tag").agg(F.min_by("canonical", F.struct(F.length("canonical"), "canonical")).alias("canonical"))
+    kept = [F.col("a.name").alias("canonical"), F.col("b.name").alias("tag")]
+    alike = _candidates(n, least, shorter).filter(ratio(F.col("a.low"), F.col("b.low")) >= least).select(*kept)
+    whole = n.withColumn("k", F.substring("low", 1, PART)).alias("a")
+    parts = n.withColumn("k", F.explode(F.pandas_udf(_parts, "array<string>")("low"))).alias("b")
+    inside = whole.join(parts, (F.col("a.k") == F.col("b.k")) & shorter & F.contains(F.col("b.low"), F.col("a.low"))).select(*kept)
+    return alike.unionByName(inside).groupBy("tag").agg(F.min_by("canonical", F.struct(F.length("canonical"), "canonical")).alias("canonical"))
 
 
 def clean_tags(rows: DataFrame, tags: str, shortest: int = 2, longest: int = 50) -> DataFrame:

@@ -136,13 +136,13 @@ def progress_percent(s: SparkSession, d: str) -> DataFrame:
 @query()
 def fuzzy_tag_groups(s: SparkSession, d: str) -> DataFrame:
     names = C.books(s, d).groupBy(F.col("title").alias("name")).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("books"))
-    return D.fuzzy_groups(names, F.substring("name", 1, 1), 0.8)
+    return D.fuzzy_groups(names, least=0.8)
 
 
 @query()
 def similar_name_pairs(s: SparkSession, d: str) -> DataFrame:
     names = C.books(s, d).groupBy(F.col("title").alias("name")).agg(F.min("id").alias("id"))
-    return D.similar_pairs(names, F.substring("name", 1, 3), 0.75)
+    return D.similar_pairs(names, least=0.75)
 
 
 @query(sql("SELECT a.id AS a, b.id AS b, round((0.5 * (1 - levenshtein(a.title, b.title) / greatest(length(a.title), length(b.title))) + 0.4 * (a.tag = b.tag)::INT) / 0.9, 6) AS similarity FROM books a JOIN books b ON a.series = b.series AND a.series_index = b.series_index AND a.id < b.id WHERE (0.5 * (1 - levenshtein(a.title, b.title) / greatest(length(a.title), length(b.title))) + 0.4 * (a.tag = b.tag)::INT) / 0.9 >= 0.6"))

@@ -1,5 +1,6 @@
 """Scalar, text, chunking and request functions against plain Python."""
 
+import random
 from datetime import date
 
 import pytest
@@ -130,6 +131,36 @@ def test_fuzzy_groups(spark):
     assert [(x.canonical, sorted(x.members)) for x in r] == [(2, [1, 2])]
 
 
+def test_similar_names_match_all_pairs(spark):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(3)
+    names = ["mystery", "mistery", "Fantasy", "fantasy", "scifi", "hardscifi", "sci-fi", "xfantasy", "Éa", "éa", "a", ""]
+    while len(names) < 120:
+        w = list(rng.choice(names[:60]) or "seed")
+        w[rng.randrange(len(w))] = rng.choice(["", "e", "xy", "T"])
+        if "".join(w) not in names:
+            names.append("".join(w))
+    df = spark.createDataFrame([(i, x, i % 5) for i, x in enumerate(names)], "id long, name string, books long").repartition(3)
+    low = [x.lower() for x in names]
+    like = lambda i, j: SequenceMatcher(None, low[i], low[j]).ratio()
+    for least in (0.75, 0.8):
+        want = {(i, j) for i in range(len(low)) for j in range(i + 1, len(low)) if like(i, j) >= least}
+        got = [(r.a, r.b) for r in dedupe.similar_pairs(df, least=least).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and (2, 3) in want and (0, 1) in want
+        groups = dedupe.greedy_groups(df.toPandas(), least)
+        assert sorted(sorted(r.members) for r in dedupe.fuzzy_groups(df, least=least).collect()) == sorted(groups)
+    best = {}
+    for i, x in enumerate(low):
+        for j, y in enumerate(low):
+            if (len(x), x) < (len(y), y) and (x in y or like(i, j) >= 0.8):
+                best[names[j]] = min(best.get(names[j], names[i]), names[i], key=lambda n: (len(n), n))
+    got = {r.tag: r.canonical for r in dedupe.similar_tags(df.select("name"), 0.8).collect()}
+    assert got == best
+    one = spark.createDataFrame([("scifi",), ("hardscifi",), ("mystery",), ("mistery",)], "name string")
+    assert {r.tag: r.canonical for r in dedupe.similar_tags(one).collect()} == {"hardscifi": "scifi", "mystery": "mistery"}
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.1]), (4, [0.0, 0.0])], "id int, vector array<double>")
     assert [r.id for r in vectors.nearest_to_row(df, 1, 2).collect()] == [3, 4]
