@@ -175,3 +175,26 @@ def statistics(c: Column) -> dict[str, Column]:
 def capitalised_runs(c: Column) -> Column:
     """Runs of capitalised words, an approximation of named spans."""
     return F.regexp_extract_all(c, F.lit(r"(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)+)"), F.lit(1))
+
+
+def documents_with(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item_id, docs): the number of documents that contain each item's whole ``needle``.
+
+    ``needle`` is in lower case.  The second and third word of a needle of four
+    and more, and the second of one of three, stand between white space and so are
+    whole words of every document with the needle: candidates join on them.
+    Shorter needles may begin and end inside words and are tested in every document.
+    """
+    w = F.split("needle", r"\s+")
+    n = items.select("item_id", "needle", w.alias("w"))
+    key = F.when(F.size("w") > 3, F.concat_ws(" ", F.get("w", F.lit(1)), F.get("w", F.lit(2)))).when(F.size("w") == 3, F.get("w", F.lit(1)))
+    keyed = n.withColumn("k", key).select("item_id", "needle", "k")
+    texts = docs.select("doc_id", F.lower("text").alias("text"))
+    v = F.split("text", r"\s+")
+    pairs = F.zip_with(v, F.slice(v, F.lit(2), F.greatest(F.size(v) - 1, F.lit(1))), lambda x, y: F.concat_ws(" ", x, y))
+    words = texts.select("doc_id", F.explode(F.array_distinct(F.concat(v, pairs))).alias("k"))
+    hits = words.join(keyed.filter("k is not null"), "k").select("item_id", "doc_id", "needle").distinct()
+    long = hits.join(texts, "doc_id").filter(F.contains(F.col("text"), F.col("needle"))).select("item_id")
+    short = texts.join(keyed.filter("k is null and needle is not null").select("item_id", "needle"), F.contains(F.col("text"), F.col("needle"))).select("item_id")
+    found = long.unionByName(short).groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"))
+    return items.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("docs", F.lit(0)).cast("long").alias("docs"))

@@ -157,15 +157,13 @@ def page_links(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT item_id, count(doc_id) AS docs FROM benchmark b LEFT JOIN documents d ON contains(lower(d.text), lower(substr(b.text, 1, 60))) GROUP BY 1")
 def benchmark_in_documents(s: SparkSession, d: str) -> DataFrame:
-    """Passages found in documents: candidates by a hashed opening word pair, then the exact test."""
+    """The first 60 characters of each passage, as its SQL has them."""
     b = C.table(s, d, "benchmark").select("item_id", F.lower(F.substring("text", 1, 60)).alias("needle"))
-    opening = lambda c: F.array_join(F.slice(F.split(c, r"\s+"), 1, 2), " ")
-    keyed = b.withColumn("k", opening(F.col("needle")))
-    docs = C.table(s, d, "documents").select("doc_id", F.lower("text").alias("text"))
-    w = F.split("text", r"\s+")
-    # passages begin at a word of theirs, so their first two words are two whole words of the document
-    pairs = docs.select("doc_id", F.explode(F.array_distinct(F.zip_with(w, F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(1))), lambda x, y: F.concat_ws(" ", x, y)))).alias("k"))
-    # few passages against all documents: the passages are the bounded side
-    hits = pairs.join(keyed, "k").select("item_id", "doc_id", "needle").distinct()
-    sure = hits.join(docs, "doc_id").filter(F.col("text").contains(F.col("needle"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"))
-    return b.select("item_id").join(sure, "item_id", "left").select("item_id", F.coalesce("docs", F.lit(0)).cast("long").alias("docs"))
+    return X.documents_with(b, C.table(s, d, "documents"))
+
+
+@query("SELECT item_id, count(doc_id) AS docs FROM benchmark b LEFT JOIN documents d ON contains(lower(d.text), lower(b.text)) GROUP BY 1")
+def benchmark_passages_in_documents(s: SparkSession, d: str) -> DataFrame:
+    """Whole passages."""
+    b = C.table(s, d, "benchmark").select("item_id", F.lower("text").alias("needle"))
+    return X.documents_with(b, C.table(s, d, "documents"))

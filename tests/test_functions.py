@@ -161,6 +161,17 @@ def test_similar_names_match_all_pairs(spark):
     assert {r.tag: r.canonical for r in dedupe.similar_tags(one).collect()} == {"hardscifi": "scifi", "mystery": "mistery"}
 
 
+def test_documents_with_whole_passages(spark):
+    from foliomill.functions import text as X
+
+    opening = "w" * 60
+    needles = {1: "fox", 2: "two words", 3: "the quick fox", 4: "wn fox jumps ov", 5: f"{opening} and the end", 6: "absent words are not there", 7: " led by space", 8: None}
+    docs = {1: "foxes in two wordsmiths", 2: "the quick fox: a brown fox jumps over it", 3: f"{opening} and another end", 4: f"{opening} and the end", 5: "it is led by spaces", 6: "the end", 7: None}
+    got = X.documents_with(spark.createDataFrame(list(needles.items()), "item_id long, needle string"), spark.createDataFrame(list(docs.items()), "doc_id long, text string"))
+    want = {i: sum(n in t for t in docs.values() if t) if n else 0 for i, n in needles.items()}
+    assert {r.item_id: r.docs for r in got.collect()} == want and want[4] == 1 and want[5] == 1
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.1]), (4, [0.0, 0.0])], "id int, vector array<double>")
     assert [r.id for r in vectors.nearest_to_row(df, 1, 2).collect()] == [3, 4]
