@@ -89,6 +89,14 @@ def pivot_updates(s: SparkSession, d: str) -> DataFrame:
     return M.pivot_updates(r.unionByName(p), ["rating", "pubdate"]).withColumn("invalid", F.array_join("invalid", ","))
 
 
+@query("SELECT o_orderkey AS book, CAST(o_orderkey % 7 AS VARCHAR) AS rating, CASE WHEN o_orderkey % 2 = 0 THEN 'soon' END AS pubdate, concat_ws(',', CASE WHEN o_orderkey % 7 NOT BETWEEN 1 AND 5 THEN 'rating' END, CASE WHEN o_orderkey % 2 = 0 THEN 'pubdate' END) AS invalid FROM orders")
+def pivot_updates_all(s: SparkSession, d: str) -> DataFrame:
+    o = C.table(s, d, "orders").select(F.col("o_orderkey").alias("book"))
+    r = o.select("book", F.lit("rating").alias("field"), (F.col("book") % 7).cast("string").alias("value"))
+    p = o.filter("book % 2 = 0").select("book", F.lit("pubdate").alias("field"), F.lit("soon").alias("value"))
+    return M.pivot_updates(r.unionByName(p), ["rating", "pubdate"]).withColumn("invalid", F.array_join("invalid", ","))
+
+
 @query(sql("SELECT CAST(floor(id / 100) AS BIGINT) AS batch, CASE WHEN size < 1000 THEN 'success' ELSE 'failed' END AS status, count(*) AS n FROM books GROUP BY 1, 2"))
 def batch_tally(s: SparkSession, d: str) -> DataFrame:
     b = M.batches(C.books(s, d), 100)
@@ -119,6 +127,12 @@ def job_transition(s: SparkSession, d: str) -> DataFrame:
     return M.transition(j, 4, ["O", "P"], "X")
 
 
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey = 4 AND o_orderstatus IN ('O', 'P') THEN 'X' ELSE o_orderstatus END AS status FROM orders")
+def job_transition_all(s: SparkSession, d: str) -> DataFrame:
+    j = C.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    return M.transition(j, 4, ["O", "P"], "X")
+
+
 @query("SELECT DISTINCT user_id AS src, CAST(length(event_type) AS INT) AS dst FROM events UNION SELECT 1, 99")
 def follow_edges(s: SparkSession, d: str) -> DataFrame:
     e = C.table(s, d, "events").select(F.col("user_id").alias("src"), F.length("event_type").alias("dst"))
@@ -130,6 +144,11 @@ def progress_percent(s: SparkSession, d: str) -> DataFrame:
     return C.table(s, d, "documents").filter("doc_id < 40").select("lang", "source", "n_chars", M.percent_done(F.col("n_chars"), F.lit(50000)).alias("done"))
 
 
+@query("SELECT lang, source, n_chars, round(n_chars * 100.0 / 50000, 1) AS done FROM documents")
+def progress_percent_all(s: SparkSession, d: str) -> DataFrame:
+    return C.table(s, d, "documents").select("lang", "source", "n_chars", M.percent_done(F.col("n_chars"), F.lit(50000)).alias("done"))
+
+
 # --- duplicates ---------------------------------------------------------------------------
 
 

@@ -199,6 +199,12 @@ def graph_degrees(s: SparkSession, d: str) -> DataFrame:
     return T.degrees(edges).select("user", "n")
 
 
+@query("SELECT l_suppkey AS user, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1")
+def graph_degrees_all(s: SparkSession, d: str) -> DataFrame:
+    edges = C.table(s, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
+    return T.degrees(edges).select("user", "n")
+
+
 @query("SELECT event_id AS id, value AS rating FROM events WHERE user_id = 5 AND event_type <> 'error' ORDER BY value DESC, event_id LIMIT 10 OFFSET 5")
 def item_reviews(s: SparkSession, d: str) -> DataFrame:
     e = C.sessions(s, d).filter("user = 5 and kind <> 'error'")

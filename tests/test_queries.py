@@ -51,3 +51,24 @@ def test_entry():
 
     assert set(registry.queries()) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name, table", [("progress_percent_all", "documents"), ("pivot_updates_all", "orders"), ("job_transition_all", "orders")])
+def test_every_row_has_a_result(spark, duck, name, table):
+    assert registry.queries()[name](spark, DIRECTORY).count() == duck.execute(f"SELECT count(*) FROM {table}").fetchone()[0]
+
+
+def test_every_key_has_a_result(spark, duck):
+    of = lambda name, key: {r[key] for r in registry.queries()[name](spark, DIRECTORY).collect()}
+    assert of("graph_degrees_all", "user") == {r[0] for r in duck.execute("SELECT DISTINCT l_suppkey FROM lineitem").fetchall()}
+    assert of("series_gaps_all", "series") == of("series_missing_from_one_all", "series") == {r[0] for r in duck.execute("SELECT DISTINCT p_brand FROM part").fetchall()}
+    assert len(of("cross_library_search_all", "library_name")) > 3
+
+
+def test_gaps_of_a_small_series(spark):
+    from foliomill.operators import sequence
+
+    df = spark.createDataFrame([("a", 2.0), ("a", 3.0), ("a", 6.0), ("b", 1.0)], "series string, i double")
+    assert {r.series: r.missing for r in sequence.gaps(df, "series", "i").collect()} == {"a": [4, 5], "b": []}
+    assert {r.series: r.missing for r in sequence.gaps(df, "series", "i", from_one=True).collect()} == {"a": [1, 4, 5], "b": []}
+    assert [tuple(r) for r in sequence.gap_ranges(df, "series", "i").collect()] == [("a", 4, 5)]
