@@ -1,52 +1,58 @@
-"""All pairs of documents whose word-shingle sets overlap, as exact components.
+"""Documents whose word-shingle sets overlap: exact links, link counts and components.
 
 Method: size-banded tiles with hashed bitmap signatures.  A document's set is
-held as sorted 64-bit shingle hashes.  Equal sets are one class, so copies cost
-one comparison.  Sizes fall into geometric bands; a tile joins a band with the
-sizes above it that can still reach the threshold.
+held as sorted 64-bit shingle hashes.  Equal sets are one class, and a class is
+one node, so copies cost one comparison.  Sizes fall into geometric bands; a tile
+joins a band with the sizes above it that can still reach the threshold.
 
 Within a tile, the hash space is cut into segments.  Two sets that reach the
 threshold differ in at most K shingles (K follows from the tile's sizes), so of
 K + 2 segments at least two are equal.  A set is filed under a hash of each of
 its non-empty segments, and under the empty ones only if it has two or more:
 whatever pair links shares a key.  Keys hash whole segments, so a passage that
-many documents share does not bring them together.
-
-Each key links its members to its smallest one; bit counts of the two bitmap
-signatures bound the overlap from above, and what passes is decided by exact
-intersection of the sorted arrays.  Members of a key that are still in
-different components are compared in blocks of bitmaps, without emitting pairs,
-and again verified exactly.  No link is lost; none is inferred.
+many documents share does not bring them together; keys with the same members
+count once.
+
+Bit counts of two bitmap signatures bound the overlap from above.  The members of
+a key that the bound leaves in reach of each other form a graph; its task sends a
+spanning forest of that graph, at most one edge less than it has members, never
+the pairs.  Components of all forests are the candidate clusters: every link lies
+inside one, and a node is in one only, so its sorted array moves once.  In a
+cluster the exact intersections of all pairs are counted at once as a product of
+incidence matrices, and again only a spanning forest of the links leaves the
+task, with each node's number of links.  No link is lost; none is inferred.
+
+Hot groups: a key or cluster of more than ``BLOCK`` members is dealt in blocks.
+First every block with the group's first member; then, only where the group is
+still in several components, the members outside its largest component against
+all others.  Link counts compare all pairs of blocks instead: rows then grow with
+n * n / BLOCK for a group of n different near copies, which no exact count avoids.
 
 Components come from large-star and small-star steps, all as joins.
 
-``jaccard_components`` verifies what components need, not every link.  The join
-itself is ``jaccard_join`` (all linked pairs) and ``link_counts``: there every two
-different sets that share a key are bounded and verified exactly, by set and not
-by doc_id, so repeated doc_ids keep all their texts.
-
 Defined results: a null or empty text has no shingles, links with nothing and is
-its own component; a null doc_id likewise, with a null component; repeated rows
-are reported each; rows that repeat a doc_id with other text share its component,
-and one of the texts stands for the id where candidates are verified;
-an empty table gives no rows; other columns are ignored.
+its own component; a row without a doc_id likewise, with a null component (in
+``keep_one`` such rows are grouped by their text); repeated rows are reported each;
+rows that repeat a doc_id with other text all count and share its component; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as V
 from .store import drop, materialize, small
 
-#: rows of one block of bitmaps
-BLOCK = 512
+#: members of one block of a hot group, and the bytes of their arrays
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
+#: columns of an incidence matrix that are multiplied at once
+COLUMNS = 4096
 BAND_RATIO = 1.4
 BITS_PER_SHINGLE = 2
 MAX_BITS = 1 << 14
@@ -138,80 +144,38 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield np.unique(V.shingle_hashes(words[i:j], k))
 
 
-SIGNED = "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>, bits binary"
+ROW = "uid long, doc_id long, tag long, n_shingles long, s1 long, s2 long"
+CLASS = ["n_shingles", "s1", "s2"]
+
+
+def _sums(h: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """Two sums that tell sets apart."""
+    return V.mix64(h + np.uint64(1)).sum(dtype=np.uint64), V.mix64(h + np.uint64(2)).sum(dtype=np.uint64)
+
 
+def signatures(docs: DataFrame, k: int, percent: int, tag: Column) -> DataFrame:
+    """A row for each row of ``docs``: a number, the class of its set, keys and bitmap."""
 
-def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, s1, s2, keys, bits = [], [], [], [], []
-            for h in shingle_sets(batch.column(1), k):
+            for h in shingle_sets(batch.column(3), k):
                 n.append(len(h))
-                s1.append(V.mix64(h + np.uint64(1)).sum(dtype=np.uint64))
-                s2.append(V.mix64(h + np.uint64(2)).sum(dtype=np.uint64))
+                a, b = _sums(h)
+                s1.append(a)
+                s2.append(b)
                 keys.append(segment_keys(h, percent).view(np.int64))
                 bits.append(bitmap(h).tobytes() if len(h) else b"")
             ends = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
+            sums = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (s1, s2)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(s1, np.uint64).view(np.int64)), pa.array(np.array(s2, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(bits, pa.binary())],
-                names=["doc_id", "n_shingles", "s1", "s2", "keys", "bits"],
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(n, pa.int64()), *sums, pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(bits, pa.binary())],
+                names=["uid", "doc_id", "tag", *CLASS, "keys", "bits"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, SIGNED)
-
-
-def shingle_arrays(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, h): the exact sets, as packed sorted hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tobytes() for h in shingle_sets(batch.column(1), k)], pa.binary())], names=["doc_id", "h"])
-
-    return docs.mapInArrow(run, "doc_id long, h binary")
-
-
-def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose bit counts leave the threshold in reach; needs na, ba, nb, bb."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, na, ba, nb, bb = (batch.column(n) for n in ("a", "b", "na", "ba", "nb", "bb"))
-            keep = []
-            for x, i, y, j in zip(na.to_pylist(), ba, nb.to_pylist(), bb):
-                bound = overlap_bound(np.frombuffer(i.as_buffer(), np.uint64), x, np.frombuffer(j.as_buffer(), np.uint64), y)
-                keep.append(reaches(bound, x, y, percent))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
-
-    return pairs.select("a", "b", "na", "ba", "nb", "bb").mapInArrow(run, "a long, b long")
-
-
-def _exact(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sorted arrays reach the threshold; needs ha and hb."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for i, j in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(i.as_buffer(), np.uint64), np.frombuffer(j.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                keep.append(reaches(int((both[1:] == both[:-1]).sum()), len(x), len(y), percent))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
-
-    return pairs.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The links among candidate ``pairs``, decided on whole texts."""
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(small(wanted), "doc_id", "left_semi")
-    arrays = materialize(shingle_arrays(texts, k).dropDuplicates(["doc_id"]), "arrays")
-    both = pairs.join(arrays.select(F.col("doc_id").alias("b"), F.col("h").alias("hb")), "b").join(arrays.select(F.col("doc_id").alias("a"), F.col("h").alias("ha")), "a")
-    links = materialize(_exact(both, percent), "links")
-    drop(arrays)
-    return links
+    chosen = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), tag.alias("tag"), F.col("text").cast("binary").alias("text"))
+    return chosen.mapInArrow(run, f"{ROW}, keys array<long>, bits binary")
 
 
 def _settled(edges: DataFrame) -> tuple:
@@ -229,7 +193,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u <> v").distinct()
-        e = materialize(small, "edges")
+        e, old = materialize(small, "edges"), e
+        drop(old)
         if (now := _settled(e)) == before:
             break
         before = now
@@ -237,164 +202,325 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-TILE = "key long, i int, j int, doc_id long, n_shingles long, bits binary, component long, block int"
+# --- tiles: groups of members in blocks that fit a task ------------------------------------
 
+TILE = ["g", "i", "j", "block", "known", "node"]
 
-def _compare_blocks(percent: int):
-    """Bitmap comparison of two blocks of one key's members; emits what passes."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-        side = {b: rows[rows["block"] == b] for b in (i, j)}
-        size = min(len(x) for x in rows["bits"]) // 8
-        bits = {b: np.stack([fold(np.frombuffer(x, np.uint64), size) for x in f["bits"]]) for b, f in side.items()}
-        n = {b: f["n_shingles"].to_numpy() for b, f in side.items()}
-        comp = {b: f["component"].to_numpy() for b, f in side.items()}
-        ids = {b: f["doc_id"].to_numpy() for b, f in side.items()}
-        found = []
-        for r in range(len(n[i])):
-            rest = slice(r + 1, None) if i == j else slice(None)
-            other = bits[j][rest]
-            x = bits[i][r]
-            bound = np.minimum(n[i][r] - np.bitwise_count(x & ~other).sum(axis=1, dtype=np.int64), n[j][rest] - np.bitwise_count(other & ~x).sum(axis=1, dtype=np.int64))
-            hit = (100 * bound >= percent * (n[i][r] + n[j][rest] - bound)) & (comp[j][rest] != comp[i][r])
-            found += [(min(ids[i][r], y), max(ids[i][r], y)) for y in ids[j][rest][hit]]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The runs of equal (g, i, j) in sorted batches, each as one table."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(3)])
+        cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            part = batch.slice(a, b - a)
+            if held and [held[0].column(c)[0] for c in range(3)] != [part.column(c)[0] for c in range(3)]:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def words_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All 64-bit words of a binary column, and where each row's begin."""
+    buf, off = V.text_buffers(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
+    return np.frombuffer(buf[off[0] : off[-1]].tobytes(), np.uint64), (off - off[0]) // 8
+
+
+def spanning_forest(known: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Edges (of positions) that join what ``near`` joins; members of one ``known`` component are joined already."""
+    left, edges = np.arange(len(known)), []
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            x = queue.pop()
+            same = known[left] == known[x]
+            hit = same.copy()
+            if not same.all():
+                hit[~same] = near(x, left[~same])
+            edges += [(x, int(y)) for y in left[hit & ~same]]
+            queue += left[hit].tolist()
+            left = left[~hit]
+    return edges
+
+
+def bounded_near(table: pa.Table, percent: int) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Whether bit counts leave the threshold in reach, for one member against others."""
+    flat, at = words_of(table.column("bits"))
+    lengths, n = np.diff(at), table.column("n_shingles").to_numpy()
+    size = int(lengths.min())
+    rows = np.empty((len(n), size), np.uint64)
+    for length in np.unique(lengths):
+        which = np.flatnonzero(lengths == length)
+        cells = flat[at[which][:, None] + np.arange(length)]
+        rows[which] = np.bitwise_or.reduce(cells.reshape(len(which), length // size, size), axis=1)
+
+    def near(x: int, others: np.ndarray) -> np.ndarray:
+        a, b = rows[x], rows[others]
+        bound = np.minimum(n[x] - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64), n[others] - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
+        return 100 * bound >= percent * (n[x] + n[others] - bound)
+
+    return near
+
+
+def intersections(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many elements each two of the sets have in common; the diagonal is not meant."""
+    n = len(at) - 1
+    _, place, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times[place] > 1
+    column = (np.cumsum(times > 1) - 1)[place[shared]]
+    row = np.repeat(np.arange(n), np.diff(at))[shared]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((n, n))
+    total = int(column[-1]) + 1 if len(column) else 0
+    for a in range(0, total, COLUMNS):
+        part = slice(*np.searchsorted(column, [a, a + COLUMNS]))
+        cells = np.zeros((n, min(COLUMNS, total - a)), np.float32)
+        cells[row[part], column[part] - a] = 1
+        common += cells @ cells.T
+    return common.astype(np.int64)
+
+
+def linked(table: pa.Table, percent: int) -> np.ndarray:
+    """The links between members of a tile, as a square of booleans."""
+    flat, at = words_of(table.column("h"))
+    n = np.diff(at)
+    common = intersections(flat, at)
+    out = 100 * common >= percent * (n[:, None] + n[None, :] - common)
+    np.fill_diagonal(out, False)
+    return out
 
-    return run
 
+def _tile(members: DataFrame, payload: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """Members with their payload, one (g, i, j) after the other in a task."""
+    ready = members.join(payload, "node").select(*TILE, *[c for c in payload.columns if c != "node"])
+    return ready.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "node").mapInArrow(run, schema)
 
-def across_components(members: DataFrame, marks: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Candidate pairs from keys whose ``members`` are in several components.
 
-    ``members``: (key, doc_id, component); ``marks``: (doc_id, n_shingles, bits),
-    which join last, so that bitmaps move once.  A key's members are
-    ordered by component and cut into blocks; each pair of blocks is one group of
-    at most twice ``block`` rows, left out when both hold one and the same component.
-    """
-    rank = Window.partitionBy("key").orderBy("component", "doc_id")
-    placed = members.withColumn("block", F.floor((F.row_number().over(rank) - 1) / block).cast("int"))
-    kinds = placed.groupBy("key", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    left, right = kinds.select("key", F.col("block").alias("i"), F.col("lo").alias("lo_i"), F.col("hi").alias("hi_i")), kinds.select("key", F.col("block").alias("j"), F.col("lo").alias("lo_j"), F.col("hi").alias("hi_j"))
-    met = left.join(right, "key").filter("i <= j and not (lo_i = hi_i and lo_j = hi_j and lo_i = lo_j)").select("key", "i", "j")
-    sides = met.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
-    tile = sides.join(placed, ["key", "block"]).join(marks, "doc_id").select("key", "i", "j", "doc_id", "n_shingles", "bits", "component", "block")
-    return tile.groupBy("key", "i", "j").applyInPandas(_compare_blocks(percent), "a long, b long").distinct()
+def forests(members: DataFrame, payload: DataFrame, percent: int) -> DataFrame:
+    """(a, b): spanning forests of what is near (payload ``bits``) or linked (payload ``h``) in each tile."""
+    exact = "h" in payload.columns
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups_of(batches):
+            if exact:
+                links = linked(t, percent)
+                near = lambda x, others: links[x][others]
+            else:
+                near = bounded_near(t, percent)
+            edges = np.array(spanning_forest(t.column("known").to_numpy(), near), np.int64).reshape(-1, 2)
+            nodes = t.column("node").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[edges[:, 0]]), pa.array(nodes[edges[:, 1]])], names=["a", "b"])
+
+    return _tile(members, payload, run, "a long, b long").distinct()
+
+
+def _block(n: Column) -> Column:
+    """A member's block of ``n``."""
+    return F.pmod(F.xxhash64("node"), n).cast("int")
+
+
+def first_round(members: DataFrame) -> DataFrame:
+    """Tiles of (g, node, blocks, first): a group's blocks, each with its first member."""
+    alone = members.filter("blocks = 1").select("g", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"), F.col("node").alias("known"), "node")
+    hot = members.filter("blocks > 1")
+    parts = hot.withColumn("block", _block(F.col("blocks")))
+    firsts = hot.select("g", "blocks", F.col("first").alias("node")).distinct().withColumn("block", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
+    dealt = parts.select("g", "block", "node").unionByName(firsts.select("g", "block", "node")).distinct()
+    return alone.unionByName(dealt.select("g", F.col("block").alias("i"), F.col("block").alias("j"), "block", F.col("node").alias("known"), "node"))
+
+
+def second_round(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Tiles of hot groups that are still in several components: those outside the largest against all."""
+    hot = members.filter("blocks > 1").select("g", "node", "size").join(found, "node", "left").withColumn("known", F.coalesce("component", "node"))
+    kinds = hot.groupBy("g", "known").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    of = kinds.groupBy("g").agg(F.max(F.struct("n", "known")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.max_by("size", F.struct("n", "known")).alias("top_size")).filter("top.n < n")
+    count = lambda n, size: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+    of = of.select("g", F.col("top.known").alias("main"), count(F.col("top.n"), F.col("top_size")).alias("mains"), count(F.col("n") - F.col("top.n"), F.col("size") - F.col("top_size")).alias("others"))
+    placed = hot.join(of, "g").withColumn("main", F.col("known") == F.col("main"))
+    block = F.when(F.col("main"), F.col("others") + _block(F.col("mains"))).otherwise(_block(F.col("others")))
+    placed = placed.withColumn("block", block.cast("int"))
+    # blocks of others come first: (i, j) with i among them, and i <= j
+    low = F.sequence(F.lit(0), F.col("others") - 1)
+    met = F.when(F.col("main"), F.transform(low, lambda i: F.struct(i.alias("i"), F.col("block").alias("j")))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
+    )
+    return placed.select("g", F.explode(met).alias("p"), "block", "known", "node").select("g", "p.i", "p.j", "block", "known", "node")
+
+
+def all_rounds(members: DataFrame) -> DataFrame:
+    """Tiles of every two blocks of each group."""
+    placed = members.withColumn("block", _block(F.col("blocks")))
+    met = F.transform(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
+    return placed.select("g", F.explode(met).alias("p"), "block", F.col("node").alias("known"), "node").select("g", "p.i", "p.j", "block", "known", "node")
+
+
+def joined(members: DataFrame, payload: DataFrame, percent: int) -> DataFrame | None:
+    """(node, component) over all groups, or None if nothing joins."""
+    edges = materialize(forests(first_round(members), payload, percent), "forest")
+    hot = not members.filter("blocks > 1").isEmpty()
+    if edges.isEmpty() and not hot:
+        return None
+    found = components(edges)
+    if hot:
+        more = materialize(forests(second_round(members, found), payload, percent), "forest")
+        if not more.isEmpty():
+            found = components(edges.unionByName(more))
+    return found
+
+
+# --- candidate clusters and links -----------------------------------------------------------
+
+
+class Sets:
+    """Rows, classes and candidate clusters of ``docs``, as written tables."""
+
+    def __init__(self, docs: DataFrame, k: int, percent: int, tag: Column, linking: str):
+        self.docs, self.k, self.percent, self.tag = docs, k, percent, tag
+        signed = materialize(signatures(docs, k, percent, tag), "signatures")
+        self.rows = materialize(signed.drop("keys", "bits"), "rows")
+        self.linking = f"n_shingles > 0 and {linking}"
+        some = self.rows.filter(self.linking)
+        self.classes = materialize(some.groupBy(*CLASS).agg(F.min("uid").alias("node"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "classes")
+        # copies are left out of the keys
+        copies = materialize(some.join(self.classes.filter("n > 1").select(*CLASS, "node"), CLASS).filter("uid <> node").select("uid"), "copies")
+        reps = signed.filter(self.linking).join(small(copies), "uid", "left_anti").withColumnRenamed("uid", "node")
+        keys = reps.select("node", F.explode("keys").alias("g"))
+        digest = F.sum(F.xxhash64("node").cast("decimal(38,0)"))
+        shared = keys.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"), digest.alias("members")).filter("n > 1")
+        # keys with the same members count once
+        once = materialize(shared.groupBy("n", "members").agg(F.min("g").alias("g"), F.min("first").alias("first")).select("g", "first", "n"), "shared")
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        held = materialize(keys.join(once, "g").select("g", "node", "first", blocks.alias("blocks"), F.lit(0).cast("long").alias("size")), "tiles")
+        drop(once)
+        found = joined(held, reps.select("node", "n_shingles", "bits"), percent)
+        drop(held)
+        if found is None:
+            found = docs.sparkSession.createDataFrame([], "node long, component long")
+        # (g, node, n_shingles, doc_id, tag): the cluster, and the row that has the text
+        chosen = found.join(self.rows.select(F.col("uid").alias("node"), "doc_id", "tag", "n_shingles"), "node")
+        self.clusters = materialize(chosen.withColumnRenamed("component", "g"), "clusters")
+        drop(copies)
+        drop(signed)
+
+    def arrays(self) -> DataFrame:
+        """(node, h): the sets of all cluster members, from whole texts."""
+        k = self.k
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tobytes() for h in shingle_sets(batch.column(1), k)], pa.binary())], names=["node", "h"])
+
+        wanted = small(self.clusters.select(F.col("doc_id").alias("w_id"), F.col("tag").alias("w_tag"), "node"))
+        texts = self.docs.select(F.col("doc_id").cast("long").alias("t_id"), self.tag.alias("t_tag"), F.col("text").cast("binary").alias("t"))
+        same = F.col("t_id").eqNullSafe(F.col("w_id")) & (F.col("t_tag") == F.col("w_tag"))
+        return materialize(texts.join(wanted, same).select("node", "t").mapInArrow(run, "node long, h binary").dropDuplicates(["node"]), "arrays")
+
+    def members(self) -> DataFrame:
+        """Cluster members with the number of their cluster's blocks."""
+        per = self.clusters.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("n_shingles") * 8).alias("bytes"), F.min("node").alias("first"))
+        blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+        return materialize(self.clusters.select("g", "node", (F.col("n_shingles") * 8).alias("size")).join(per.select("g", "first", blocks.alias("blocks")), "g"), "members")
+
+    def one_id(self) -> DataFrame:
+        """Edges between classes that hold texts of one doc_id."""
+        held = self.rows.filter(self.linking).filter("doc_id is not null").join(self.classes.select(*CLASS, "node"), CLASS).select("doc_id", "node")
+        many = held.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z")
+        return held.join(many, "doc_id").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
+
+    def by_class(self, found: DataFrame | None) -> DataFrame:
+        """The classes with their ``component`` (a node)."""
+        if found is None:
+            return self.classes.withColumn("component", F.col("node"))
+        return self.classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _counted(members: DataFrame, payload: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n): forest edges of each tile, and as (node, node, n) the rows its links lead to."""
 
-def across(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components."""
-    side = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    apart = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    return apart.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups_of(batches):
+            i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+            block, nodes = t.column("block").to_numpy(), t.column("node").to_numpy()
+            links = linked(t, percent)
+            if i != j:
+                links &= block[:, None] != block[None, :]
+            edges = np.array(spanning_forest(nodes, lambda x, others: links[x][others]), np.int64).reshape(-1, 2)
+            n = links @ t.column("weight").to_numpy()
+            some = np.flatnonzero(n)
+            a, b = np.concatenate([nodes[edges[:, 0]], nodes[some]]), np.concatenate([nodes[edges[:, 1]], nodes[some]])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.concatenate([np.zeros(len(edges), np.int64), n[some]]))], names=["a", "b", "n"])
 
+    return _tile(members, payload, run, "a long, b long, n long")
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id for every row of ``docs``."""
-    signed = materialize(signatures(docs, k, percent), "signatures")
-    sets = materialize(signed.drop("keys"), "sets")
-    some = sets.filter("n_shingles > 0 and doc_id is not null")
-    classes = materialize(some.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
-    # copies are left out of the keys
-    repeated = some.join(classes.filter("n > 1"), ["n_shingles", "s1", "s2"]).filter("doc_id <> rep").select("doc_id", "s1", "s2").distinct()
-    copies = materialize(repeated, "copies")
-    reps = signed.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "s1", "s2", "keys").join(small(copies), ["doc_id", "s1", "s2"], "left_anti")
-    keys = reps.select("doc_id", F.explode("keys").alias("key"))
-    shared = materialize(keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")
-    held = materialize(keys.join(shared, "key"), "tiles")
-    drop(signed)
-    drop(shared)
-    marks = some.dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "bits")
-
-    star = held.filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
-    marked = star.join(marks.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("bits").alias("bb")), "b").join(marks.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("bits").alias("ba")), "a")
-    bounded = materialize(_bounded(marked, percent), "bounded")
-    # one candidate of each document first; the others only where components are still apart
-    nearest = bounded.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = verified(nearest, docs, k, percent)
-    found = components(links)
-    others = materialize(across(bounded.join(nearest, ["a", "b"], "left_anti"), found), "others")
-    if not others.isEmpty():
-        links = links.unionByName(verified(others, docs, k, percent))
-        found = components(links)
-
-    # keys of three and more members whose members are still apart; keys with the same members count once
-    placed = held.filter("n > 2").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    members = F.sum(F.xxhash64("doc_id").cast("decimal(38,0)"))
-    per_key = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), members.alias("members")).filter("lo < hi")
-    apart = per_key.groupBy("n", "members").agg(F.min("key").alias("key")).select("key")
-    mixed = materialize(placed.select("key", "doc_id", "component").join(apart, "key"), "apart")
-    if not mixed.isEmpty():
-        pairs = materialize(across_components(mixed, marks, percent), "pairs")
-        untried = materialize(pairs.join(bounded, ["a", "b"], "left_anti"), "untried")
-        if not untried.isEmpty():
-            found = components(links.unionByName(verified(untried, docs, k, percent)))
-
-    of_class = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "s1", "s2", F.coalesce("component", "rep").alias("component"))
-    out = sets.select("doc_id", "n_shingles", "s1", "s2").join(of_class, ["n_shingles", "s1", "s2"], "left")
-    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    return out.select("doc_id", "n_shingles", F.when(linked, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
-
-
-def _classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(cls, doc_id, n_shingles, keys, bits) of the rows that can link; equal sets have one ``cls``."""
-    signed = signatures(docs, k, percent).filter("n_shingles > 0 and doc_id is not null")
-    return materialize(signed.select(F.xxhash64("n_shingles", "s1", "s2").alias("cls"), "doc_id", "n_shingles", "keys", "bits"), "classes")
-
-
-def _class_links(rows: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b): every two different classes whose sets reach the threshold."""
-    sets = materialize(rows.dropDuplicates(["cls"]).select(F.col("cls").alias("doc_id"), "n_shingles", "keys", "bits"), "sets")
-    keys = sets.select("doc_id", F.explode("keys").alias("key"))
-    members = F.sum(F.xxhash64("doc_id").cast("decimal(38,0)"))
-    # keys with the same members count once
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), members.alias("members")).filter("n > 1")
-    once = materialize(shared.groupBy("n", "members").agg(F.min("key").alias("key")).select("key"), "shared")
-    held = keys.join(once, "key").withColumn("component", F.col("doc_id"))
-    pairs = materialize(across_components(held, sets.select("doc_id", "n_shingles", "bits"), percent), "pairs")
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "wanted")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, s1, s2, packed = [], [], [], []
-            for h in shingle_sets(batch.column(0), k):
-                n.append(len(h))
-                s1.append(V.mix64(h + np.uint64(1)).sum(dtype=np.uint64))
-                s2.append(V.mix64(h + np.uint64(2)).sum(dtype=np.uint64))
-                packed.append(h.tobytes())
-            sums = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (s1, s2)]
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), *sums, pa.array(packed, pa.binary())], names=["n", "s1", "s2", "h"])
+def _by_id(sets: Sets, found: DataFrame | None) -> DataFrame | None:
+    """Components after the classes of one doc_id are joined too."""
+    ids = materialize(sets.one_id(), "one_id")
+    if ids.isEmpty():
+        return found
+    return components(ids if found is None else ids.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
 
-    arrays = docs.filter("doc_id is not null").select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "n long, s1 long, s2 long, h binary")
-    arrays = arrays.select(F.xxhash64("n", "s1", "s2").alias("cls"), "h").join(small(wanted), "cls", "left_semi").dropDuplicates(["cls"])
-    arrays = materialize(arrays, "arrays")
-    both = pairs.join(arrays.select(F.col("cls").alias("b"), F.col("h").alias("hb")), "b").join(arrays.select(F.col("cls").alias("a"), F.col("h").alias("ha")), "a")
-    return materialize(_exact(both, percent), "links")
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links (other rows linked with) for every row of ``docs``."""
+    sets = Sets(docs, k, percent, F.xxhash64("text"), "doc_id is not null")
+    weights = sets.classes.select("node", F.col("n").alias("weight"))
+    payload = sets.arrays().join(weights, "node")
+    told = materialize(_counted(all_rounds(sets.members()), payload, percent), "links")
+    links = told.filter("n = 0").select("a", "b")
+    found = _by_id(sets, None if links.isEmpty() else components(links))
+    counts = told.filter("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
+    placed = sets.by_class(found).join(counts, "node", "left")
+    low = placed.groupBy("component").agg(F.min("low").alias("component_id"))
+    of_class = placed.join(low, "component").select(*CLASS, "component_id", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    out = sets.rows.join(of_class, CLASS, "left")
+    linking = F.expr(sets.linking)
+    return out.select("doc_id", "n_shingles", F.when(linking, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(linking, F.col("n_links")).otherwise(F.lit(0).cast("long")).alias("n_links"))
+
+
+def class_links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(a, b), every two linked classes of different sets, and (cls, doc_id), their members."""
+    sets = Sets(docs, k, percent, F.xxhash64("text"), "doc_id is not null")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups_of(batches):
+            block, nodes = t.column("block").to_numpy(), t.column("node").to_numpy()
+            links = np.triu(linked(t, percent))
+            if t.column("i")[0] != t.column("j")[0]:
+                links &= block[:, None] != block[None, :]
+            a, b = np.nonzero(links)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], names=["a", "b"])
 
-def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(a, b), a < b: every two doc_ids with texts whose sets reach the threshold, each pair once."""
-    rows = _classes(docs, k, percent)
-    links = _class_links(rows, docs, k, percent)
-    members = rows.select("cls", "doc_id").distinct()
-    left, right = members.select(F.col("cls").alias("a"), F.col("doc_id").alias("x")), members.select(F.col("cls").alias("b"), F.col("doc_id").alias("y"))
-    between = links.join(left, "a").join(right, "b").select("x", "y")
-    inside = left.join(right, F.col("a") == F.col("b")).filter("x < y").select("x", "y")
-    return between.unionByName(inside).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    links = _tile(all_rounds(sets.members()), sets.arrays(), run, "a long, b long")
+    members = sets.rows.filter(sets.linking).join(sets.classes.select(*CLASS, "node"), CLASS)
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), members.select(F.col("node").alias("cls"), "doc_id")
 
 
-def link_counts(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_links) for every row of ``docs``: the other rows it links with.
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each component: its smallest doc_id's (rows without one come last).
 
-    Copies are counted by their class, so their pairs are never made.
+    Rows without words are kept.  Equal rows are told apart by nothing: one stays.
+    Here rows of one doc_id with different texts are different documents.
     """
-    rows = _classes(docs, k, percent)
-    links = _class_links(rows, docs, k, percent)
-    sizes = rows.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
-    ways = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = ways.join(sizes.withColumnRenamed("cls", "b"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("others"))
-    each = sizes.join(others, "cls", "left").select("cls", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    linked = rows.select("cls", "doc_id").join(each, "cls").select("doc_id", "n_links")
-    # rows without shingles or id
-    rest = signatures(docs, k, percent).filter("n_shingles = 0 or doc_id is null").select("doc_id", F.lit(0).cast("long").alias("n_links"))
-    return linked.unionByName(rest)
+    tag = F.xxhash64(*[docs[c] for c in docs.columns])
+    sets = Sets(docs, k, percent, tag, "true")
+    found = joined(sets.members(), sets.arrays(), percent)
+    placed = sets.rows.filter(sets.linking).join(sets.by_class(found).select(*CLASS, "component"), CLASS)
+    texts = placed.groupBy("component", "doc_id", "tag").agg(F.count(F.lit(1)).alias("n"))
+    best = texts.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag", "n")).alias("x")).select("component", "x.doc_id", "x.tag", "x.n")
+    first = best.select("component", F.struct(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "tag").alias("first"))
+    same = F.struct(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "tag") == F.col("first")
+    gone = materialize(texts.join(first, "component").filter(~same).select("doc_id", "tag"), "gone")
+    again = materialize(best.filter("n > 1").select("doc_id", "tag"), "again")
+    is_row = lambda other: docs["doc_id"].cast("long").eqNullSafe(other["doc_id"]) & (tag == other["tag"])
+    kept = docs.join(small(gone), is_row(gone), "left_anti")
+    if again.isEmpty():
+        return kept
+    twice = docs.join(small(again), is_row(again), "left_semi").dropDuplicates()
+    return kept.join(small(again), is_row(again), "left_anti").unionByName(twice)

@@ -2,7 +2,7 @@
 
 import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -243,50 +243,90 @@ def test_linked_sets_share_a_key():
                     assert jaccard.overlap_bound(jaccard.bitmap(a), len(a), jaccard.bitmap(b), len(b)) >= common
 
 
-def test_apart_members_are_compared(spark):
-    rng = np.random.default_rng(4)
-    sets = [np.unique(rng.integers(0, 2**63, 60, dtype=np.uint64)) for _ in range(3)]
-    members = []
-    for i in range(30):
-        h = np.unique(np.concatenate([sets[i % 3][2:], rng.integers(0, 2**63, 1, dtype=np.uint64)]))
-        members.append((7, i, len(h), jaccard.bitmap(h).tobytes(), i))
-    df = spark.createDataFrame(members, "key long, doc_id long, n_shingles long, bits binary, component long")
-    marks, df = df.select("doc_id", "n_shingles", "bits"), df.select("key", "doc_id", "component")
-    pairs = {(r.a, r.b) for r in jaccard.across_components(df, marks, 80, block=8).collect()}
-    assert {(a, b) for a in range(30) for b in range(a + 1, 30) if a % 3 == b % 3} <= pairs
-    one = df.withColumn("component", F.lit(0).cast("long"))
-    assert jaccard.across_components(one, marks, 80, block=8).count() == 0
-
-
-def test_join_finds_every_link(spark):
-    """All pairs by brute force: large groups of near copies, exact copies, an id with two texts, rows without id."""
+def near_copies(groups=((80, 40), (250, 40))):
+    """Rows (doc_id, text): groups of near copies, exact copies, an id with two texts, rows without id."""
     rng = random.Random(5)
     data = []
-    for n in (80, 250):
+    for n, copies in groups:
         base = [f"v{rng.randrange(5000)}" for _ in range(n)]
-        for i in range(40):
+        for i in range(copies):
             words = list(base)
-            words[rng.randrange(n)] = f"v{rng.randrange(5000)}" if i % 4 else words[0]
+            for _ in range(1 + i % 3):
+                words[rng.randrange(n)] = f"v{rng.randrange(5000)}" if i % 4 else words[0]
             data.append((len(data), " ".join(words)))
-    data += [(100 + i, data[0][1]) for i in range(3)] + [(7, data[50][1]), (None, data[0][1]), (200, ""), (201, None)]
+    return data + [(1000 + i, data[0][1]) for i in range(3)] + [(7, data[50][1]), (None, data[0][1]), (2000, ""), (2001, None)]
+
+
+def all_links(data, k, percent):
+    """Every two linked rows, by brute force."""
+    sets = [brute.shingles(t, k) if i is not None else set() for i, t in data]
+    return [(x, y) for x in range(len(sets)) for y in range(x + 1, len(sets)) if (common := len(sets[x] & sets[y])) and 100 * common >= percent * len(sets[x] | sets[y])]
+
+
+def by_links(data, linked):
+    """component_id of each row: rows linked, or of one doc_id, are together."""
+    low = {i: i for i, _ in data}
+    while True:
+        before = dict(low)
+        for x, y in linked:
+            a, b = data[x][0], data[y][0]
+            low[a] = low[b] = min(low[a], low[b])
+        if low == before:
+            return low
+
+
+@pytest.mark.parametrize("block", [1024, 16])
+def test_every_link_counts(spark, monkeypatch, block):
+    """Against all pairs; with small blocks every large group is hot."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    data = near_copies()
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
     for k, percent in ((3, 90), (5, 80)):
-        sets = []
-        for i, t in data:
-            w = (t or "").lower().split()
-            size = min(k, len(w))
-            sets.append((i, {tuple(w[j : j + size]) for j in range(len(w) - size + 1)} if w and i is not None else set()))
-        linked = [(x, y) for x in range(len(sets)) for y in range(x + 1, len(sets)) if (common := len(sets[x][1] & sets[y][1])) and 100 * common >= percent * len(sets[x][1] | sets[y][1])]
-        pairs = {tuple(sorted((sets[x][0], sets[y][0]))) for x, y in linked}
+        linked = all_links(data, k, percent)
         assert len(linked) > 100
-        got = [(r.a, r.b) for r in jaccard.jaccard_join(df, k, percent).collect()]
-        assert len(got) == len(set(got)) and set(got) == {p for p in pairs if p[0] != p[1]}
-        counts = defaultdict(int)
-        for x, y in linked:
-            counts[x] += 1
-            counts[y] += 1
-        got = sorted(((r.doc_id, r.n_links) for r in jaccard.link_counts(df, k, percent).collect()), key=str)
-        assert got == sorted(((i, counts[x]) for x, (i, _) in enumerate(sets)), key=str)
+        counts, low = Counter(x for p in linked for x in p), by_links(data, linked)
+        got = sorted(((r.doc_id, r.component_id, r.n_links) for r in jaccard.jaccard_components(df, k, percent).collect()), key=str)
+        assert got == sorted(((i, low[i], counts[x]) for x, (i, _) in enumerate(data)), key=str)
+        links, members = jaccard.class_links(df, k, percent)
+        of = defaultdict(set)
+        for r in members.collect():
+            of[r.cls].add(r.doc_id)
+        got = [(r.a, r.b) for r in links.collect()]
+        assert len(got) == len(set(got)) == len({tuple(sorted((data[x][1], data[y][1]))) for x, y in linked if data[x][1] != data[y][1]})
+        assert {tuple(sorted((x, y))) for a, b in got for x in of[a] for y in of[b]} == {tuple(sorted((data[x][0], data[y][0]))) for x, y in linked if data[x][1] != data[y][1]}
+
+
+def test_a_tile_sends_a_forest(spark):
+    """400 near copies that all share a key: fewer edges than members, whatever the order."""
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 2**63, 60, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([base[2:], rng.integers(0, 2**63, 1, dtype=np.uint64)])) for _ in range(400)]
+    members = spark.range(400).select(F.lit(7).alias("g"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"), F.col("id").alias("known"), F.col("id").alias("node"))
+    bits = spark.createDataFrame([(i, len(h), jaccard.bitmap(h).tobytes()) for i, h in enumerate(sets)], "node long, n_shingles long, bits binary")
+    arrays = spark.createDataFrame([(i, h.tobytes()) for i, h in enumerate(sets)], "node long, h binary")
+    for payload in (bits, arrays):
+        edges = jaccard.forests(members, payload, 80)
+        assert edges.count() == 399
+        assert {r.component for r in jaccard.components(edges).collect()} == {0}
+        assert jaccard.forests(members.withColumn("known", F.lit(3).cast("long")), payload, 80).count() == 0
+
+
+def test_texts_of_one_id_all_count(spark):
+    """Links do not depend on the order of rows that repeat an id."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    data = [(5, a), (5, b), (7, a + " x"), (9, b + " y")]
+    for order in (data, data[::-1], [data[1], data[3], data[0], data[2]]):
+        got = {(r.doc_id, r.component_id, r.n_links) for r in jaccard.jaccard_components(spark.createDataFrame(order, "doc_id long, text string")).collect()}
+        assert got == {(5, 5, 1), (7, 5, 1), (9, 5, 1)}
+
+
+def test_keep_one(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    data = [(5, a, "x"), (5, a, "x"), (4, a + " x", "y"), (None, a, "z"), (None, b, "z"), (None, b, "z"), (8, "", "q"), (8, "", "q"), (9, None, "q"), (5, "other words", "x")]
+    df = spark.createDataFrame(data, "doc_id long, text string, tag string").repartition(3)
+    got = sorted(((r.doc_id, r.text, r.tag) for r in jaccard.keep_one(df).collect()), key=str)
+    assert got == sorted([(4, a + " x", "y"), (None, b, "z"), (8, "", "q"), (8, "", "q"), (9, None, "q"), (5, "other words", "x")], key=str)
+    assert jaccard.keep_one(df.filter("doc_id < 0")).count() == 0
 
 
 def test_long_chains_are_one_component(spark):
@@ -299,8 +339,8 @@ def test_long_chains_are_one_component(spark):
 def test_jaccard_edge_cases(spark, empty):
     assert jaccard.jaccard_components(empty).count() == 0
     df = spark.createDataFrame([(None, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (3, "a b c d e f")], "doc_id long, text string")
-    got = sorted(((r.doc_id, r.component_id) for r in jaccard.jaccard_components(df).collect()), key=str)
-    assert got == [(2, 2), (2, 2), (3, 2), (None, None)]
+    got = sorted(((r.doc_id, r.component_id, r.n_links) for r in jaccard.jaccard_components(df).collect()), key=str)
+    assert got == [(2, 2, 2), (2, 2, 2), (3, 2, 2), (None, None, 0)]
 
 
 # --- context-tree weighting -------------------------------------------------------------
