@@ -25,10 +25,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one that names its component."""
-    groups = jaccard.jaccard_components(docs, k=5, percent=80)
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(first.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi").select(*COLUMNS)
+    """One document of each group: the row with its smallest doc_id.
+
+    Documents without words stay; equal rows count once; rows without a doc_id are
+    grouped by their text; rows of one doc_id with different texts are documents of
+    their own.  An empty table gives an empty one.
+    """
+    return jaccard.keep_one(docs.select(*COLUMNS), k=5, percent=80)
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
