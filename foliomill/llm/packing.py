@@ -8,20 +8,22 @@ patterns are opened and actual pieces take the slots of their group; a pattern's
 last slot goes to the longest piece that still fits.  What is left, the short
 pieces last, goes by best fit into the gaps.
 
-Scale: tokenising is a map.  Only (doc_id, piece, length) rows move, dealt at
-random into shards of a bounded number of rows, each packed by one task; a shard
-wastes a few sequences at most whatever the corpus size.
+Scale: tokenising is a map that writes the ids of every piece to the shared folder.
+Only (doc_id, piece, length) rows move, dealt at random into shards of a bounded
+number of rows, each packed by one task; a shard wastes a few sequences at most
+whatever the corpus size.  ``pack_sequences`` joins ids to their places and gives
+the sequences themselves.
 
 Defined results: a null text packs as an empty one (one token, the separator);
 repeated rows are packed each; an empty table gives no rows; columns other than
-``doc_id`` and ``text`` are ignored.
+``doc_id`` and ``text`` are ignored.  Strings of special tokens in a text are read
+as the library reads them, as those tokens.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +43,9 @@ SHORT = 1 / 8
 GROUPS = 64
 MEMO = 300_000
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
+PIECES = "doc_id long, piece int, start long, length long, ids binary"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+SEQUENCES = "sequence_id long, ids array<int>, pieces array<struct<offset:long,doc_id:long,piece:int,length:long>>"
 
 
 class WordEndEncoder(dict):
@@ -51,7 +54,8 @@ class WordEndEncoder(dict):
     The vocabulary drops white space and never merges across it, so a text's ids
     are its chunks' ids in order.  Chunks of ASCII and precomposed Latin-1 letters
     are encoded piece by piece with the vocabulary as byte-pair ranks, the word
-    end being one more byte; every other chunk goes to the tokenizer itself.
+    end being one more byte; every other chunk, and one that may hold the string of
+    a special token, goes to the tokenizer itself.
     """
 
     PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
@@ -66,7 +70,6 @@ class WordEndEncoder(dict):
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         # the byte-level alphabet: printable bytes stand for themselves, the rest follow in order
@@ -76,6 +79,7 @@ class WordEndEncoder(dict):
         rest = [b for b in range(256) if chr(b) not in set(kept)]
         to_byte = {c: ord(c) for c in kept} | dict(zip(moved, rest))
         special = {t["content"] for t in model["added_tokens"]}
+        self.openings = {t[:2] for t in special}
         ranks = {}
         for token, i in model["model"]["vocab"].items():
             if token in special:
@@ -87,7 +91,7 @@ class WordEndEncoder(dict):
 
     def __missing__(self, chunk: bytes) -> bytes:
         text = chunk.decode("utf-8", "surrogatepass")
-        if self.PLAIN.fullmatch(text):
+        if self.PLAIN.fullmatch(text) and not any(x in text for x in self.openings):
             one = self.core.encode_single_piece
             ids: list[int] = []
             for word in self.WORDS.findall(text.lower()):
@@ -103,33 +107,34 @@ class WordEndEncoder(dict):
 _encoders: dict[str, WordEndEncoder] = {}
 
 
-def encode(text: bytes, path: str) -> bytes:
-    """The ids of one text as packed uint32, without the separator."""
+def encoder(path: str) -> WordEndEncoder:
+    """This process's encoder for a vocabulary."""
     if path not in _encoders:
         _encoders[path] = WordEndEncoder(path)
-    return b"".join(map(_encoders[path].__getitem__, text.split()))
+    return _encoders[path]
+
+
+def encode(text: bytes, path: str) -> bytes:
+    """The ids of one text as packed uint32, without the separator."""
+    return b"".join(map(encoder(path).__getitem__, text.split()))
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """Tokenise ``docs`` (doc_id, text) and cut each into pieces of ``capacity``."""
+    """Tokenise ``docs`` (doc_id, text) and cut each into pieces of ``capacity``; ids are little-endian uint32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _encoders:
-            _encoders[path] = WordEndEncoder(path)
-        of = _encoders[path].__getitem__
+        of = encoder(path).__getitem__
         sep = np.asarray([SEPARATOR], "<u4").tobytes()
-        salt = 0
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = b"".join(map(of, (text.as_py() or b"").split())) + sep
                 for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    rows.append((doc, i, at // 4, len(part) // 4, zlib.crc32(part), salt))
-                    salt += 1
-            cols = list(zip(*rows)) if rows else [[]] * 6
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
+                    rows.append((doc, i, at // 4, len(part) // 4, part))
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, PIECES)
 
@@ -289,17 +294,39 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY, short: float = SHORT, gr
     return sequence, offset
 
 
+def written_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+    """``pieces`` in the shared folder, each with a number of its own."""
+    return materialize(pieces(docs, path, capacity).withColumn("uid", F.monotonically_increasing_id()), "pieces")
+
+
+def place(cut: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Places of written pieces: ``PLACED`` and the piece's uid."""
+    shards = max(1, math.ceil(cut.count() / shard_rows))
+
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        sequence, offset = pack(rows["length"].to_numpy(), capacity)
+        return rows.assign(sequence_id=(int(key[0]) << 32) + sequence, offset=offset)[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "uid"]]
+
+    sums = cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "uid")
+    return sums.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards))).groupBy("shard").applyInPandas(one, f"{PLACED}, uid long")
+
+
 def best_fit_pack(docs: DataFrame, path: str, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Pack ``docs`` into sequences of at most ``capacity`` tokens.
 
     One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
-    cut = materialize(pieces(docs, path, capacity), "pieces")
-    shards = max(1, math.ceil(cut.count() / shard_rows))
+    return place(written_pieces(docs, path, capacity), capacity, shard_rows).drop("uid")
 
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        sequence, offset = pack(rows["length"].to_numpy(), capacity)
-        return rows.assign(sequence_id=(int(key[0]) << 32) + sequence, offset=offset)[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 
-    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(one, PLACED)
+def pack_sequences(docs: DataFrame, path: str, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """The packed sequences: sequence_id, ids, and the pieces in order."""
+    cut = written_pieces(docs, path, capacity)
+
+    def join(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("offset")
+        ids = np.frombuffer(b"".join(rows["ids"]), "<u4").astype(np.int32)
+        return pd.DataFrame({"sequence_id": [rows["sequence_id"].iloc[0]], "ids": [ids], "pieces": [rows[["offset", "doc_id", "piece", "length"]].to_dict("records")]})
+
+    placed = place(cut, capacity, shard_rows).select("uid", "sequence_id", "offset", "doc_id", "piece", "length")
+    return placed.join(cut.select("uid", "ids"), "uid").groupBy("sequence_id").applyInPandas(join, SEQUENCES)

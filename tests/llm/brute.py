@@ -26,7 +26,6 @@ def pieces(docs: dict[int, str | None], path: str, capacity: int = 2048) -> dict
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     out = {}
     for doc, text in docs.items():
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")

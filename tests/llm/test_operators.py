@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -26,7 +27,7 @@ def rows(df, key="doc_id"):
 
 
 def test_pieces_match_the_tokenizer(docs, texts):
-    got = {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in packing.pieces(docs, WORD_BPE).collect()}
+    got = {(r.doc_id, r.piece): (r.start, r.length, zlib.crc32(r.ids)) for r in packing.pieces(docs, WORD_BPE).collect()}
     assert got == brute.pieces(texts, WORD_BPE)
 
 
@@ -55,6 +56,28 @@ def test_packing_is_whole_and_gapless(docs, texts):
 
 def test_packing_nothing(empty):
     assert packing.best_fit_pack(empty, WORD_BPE).count() == 0
+    assert packing.pack_sequences(empty, WORD_BPE).count() == 0
+
+
+def test_special_strings_are_read_as_the_library_reads_them():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORD_BPE)
+    for text in ("a <|endoftext|> b", "x<|endoftext|>y", "<|STARTOFTEXT|> <|endoftext", "<|startoftext|>é<|endoftext|>", "a<|b|>c"):
+        assert np.frombuffer(packing.encode(text.encode(), WORD_BPE), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_sequences_hold_the_ids(docs, texts):
+    """Documents read back from the packed sequences have the tokenizer's ids and the separator."""
+    from tokenizers import Tokenizer
+
+    library, parts = Tokenizer.from_file(WORD_BPE), defaultdict(dict)
+    for r in packing.pack_sequences(docs, WORD_BPE).collect():
+        assert sum(p.length for p in r.pieces) == len(r.ids) <= 2048
+        for p in r.pieces:
+            parts[p.doc_id][p.piece] = r.ids[p.offset : p.offset + p.length]
+    got = {d: [i for _, ids in sorted(ps.items()) for i in ids] for d, ps in parts.items()}
+    assert got == {d: [*library.encode(t or "", add_special_tokens=False).ids, 0] for d, t in texts.items()}
 
 
 @settings(max_examples=40, deadline=None)
