@@ -34,8 +34,22 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = "conv_id long, turn long, role string, text string"
     control = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], columns)
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(control)
-    parts = turns.select("conv_id", "turn", "role", chat.text_part(F.coalesce("text", F.lit(""))).alias("parts"))
-    return chat.read_back(chat.format_turns(parts)).drop("expanded_tokens", "n_attachments")
+    parts = turns.select("conv_id", "turn", "role", F.array(chat.part(text=F.coalesce("text", F.lit("")))).alias("parts"))
+    return chat.read_back(chat.conversations(parts)).drop("expanded_tokens", "n_attachments")
+
+
+def chat_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations with an attachment in each turn: an image, sound or document that follows from the turn's number and length."""
+    turns = table(spark, sf_dir, "conversations")
+    text, turn = F.coalesce("text", F.lit("")), F.coalesce("turn", F.lit(0)).cast("int")
+    n = F.length(text)
+    attached = (
+        F.when(turn % 3 == 0, chat.part(kind=F.lit("image"), ref=F.lit("i"), width=n + 1, height=F.lit(400)))
+        .when(turn % 3 == 1, chat.part(kind=F.lit("audio"), ref=F.lit("a"), seconds=n / 4))
+        .otherwise(chat.part(kind=F.lit("document"), ref=F.lit("d"), pages=n % 5 + 1))
+    )
+    parts = turns.select("conv_id", "turn", "role", F.array(chat.part(text=text), attached, chat.part(text=F.lit(" [end]"))).alias("parts"))
+    return chat.read_back(chat.conversations(parts))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +108,7 @@ def op10_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_format, op3_secret_scan, op4_quality_rules, op5_ngram_jaccard_join, op6_ctw_score, op7_byte_bpe, op8_url_filter, op9_license_scan, op10_merkle_fingerprint)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_format, chat_typed_parts, op3_secret_scan, op4_quality_rules, op5_ngram_jaccard_join, op6_ctw_score, op7_byte_bpe, op8_url_filter, op9_license_scan, op10_merkle_fingerprint)}
 
 _CHAT_SQL = rf"""
 WITH t AS (
@@ -111,6 +125,22 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+_PARTS_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS body, coalesce(text, '') || ' [end]' AS text, CAST(coalesce(turn, 0) AS INT) % 3 AS kind FROM conversations
+), e AS (
+  SELECT *, CASE kind WHEN 0 THEN CAST(ceil((length(body) + 1) / 336) AS BIGINT) * 2 * 576 WHEN 1 THEN CAST(ceil(length(body) / 4 * 25) AS BIGINT) ELSE (length(body) % 5 + 1) * 800 END AS tokens,
+    23 + length(regexp_replace(role, '([<\[\\])', '\1\\', 'g')) + length(regexp_replace(text, '([<\[\\])', '\1\\', 'g')) AS chars FROM t
+), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS at FROM e)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars + CASE kind WHEN 0 THEN 11 WHEN 1 THEN 11 ELSE 14 END) AS BIGINT) AS formatted_chars,
+  CAST(sum(tokens) AS BIGINT) AS expanded_tokens, count(*) AS n_attachments
+FROM n GROUP BY conv_id
+"""
+
 _URL_SQL = r"""
 WITH p AS (
   SELECT page_id, DATE '2024-01-01' + CAST(page_id % 365 AS INT) AS fetched,
@@ -157,4 +187,4 @@ SELECT doc_id, CAST(c AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, {_
   CAST({_like_sql('a', 'b')} AS DOUBLE) AS near_edited, CAST({_like_sql('a', 'x')} AS DOUBLE) AS near_next FROM l
 """
 
-ORACLES: dict[str, str] = {"op2_chat_format": _CHAT_SQL, "op8_url_filter": _URL_SQL, "op10_merkle_fingerprint": _FINGERPRINT_SQL}
+ORACLES: dict[str, str] = {"op2_chat_format": _CHAT_SQL, "chat_typed_parts": _PARTS_SQL, "op8_url_filter": _URL_SQL, "op10_merkle_fingerprint": _FINGERPRINT_SQL}

@@ -115,8 +115,11 @@ def test_escapes_round_trip(text):
     e = chat.escape(text)
     assert chat.unescape(e) == text
     assert not any(mark in e for mark in ("<|", "[INST]", "</s>", "<s>"))
-    segment, _, _, a, b = chat.format_turn("assistant", [{"kind": "text", "text": text}])
-    assert chat.read_turn(segment) == ("assistant", text) and chat.unescape(segment[a:b]) == text
+    segment, _, loss = chat.format_turn("assistant", [{"kind": "text", "text": text}])
+    assert list(chat.read_turns(segment * 2)) == [("assistant", text)] * 2
+    assert [chat.unescape(segment[a:b]) for a, b in loss] == ([text] if text else [])
+    with pytest.raises(ValueError):
+        list(chat.read_turns(segment + "x"))
 
 
 @given(st.text(alphabet="<>[]\\|aé\n", max_size=40))
@@ -126,25 +129,40 @@ def test_escape_is_reversible(text):
 
 def test_parts_become_placeholders():
     part = {"text": None, "ref": None, "width": None, "height": None, "seconds": None, "pages": None}
-    parts = [part | {"kind": "text", "text": "see "}, part | {"kind": "image", "ref": "i.png", "width": 672, "height": 336}, part | {"kind": "audio", "ref": "a.wav", "seconds": 2.0}, part | {"kind": "document", "ref": "d.pdf", "pages": 3}]
-    segment, attachments, tokens, _, _ = chat.format_turn("user", parts)
-    assert segment == "<|turn|>user<|text|>see <|image:0|><|audio:1|><|document:2|><|end|>"
+    parts = [part | {"kind": "text", "text": "see "}, part | {"kind": "image", "ref": "i.png", "width": 672, "height": 336}, part | {"kind": "audio", "ref": "a.wav", "seconds": 2.0}, part | {"kind": "document", "ref": "d.pdf", "pages": 3}, part | {"kind": "text", "text": "<|image:0|>"}]
+    segment, attachments, loss = chat.format_turn("assistant", parts)
+    assert segment == "<|turn|>assistant<|text|>see <|image:0|><|audio:1|><|document:2|><\\|image:0|><|end|>"
     assert [(a[1], a[2], a[4]) for a in attachments] == [("image", "i.png", 1152), ("audio", "a.wav", 50), ("document", "d.pdf", 2400)]
-    assert tokens == 3602 and all(segment[a[3] :].startswith(f"<|{a[1]}:{a[0]}|>") for a in attachments)
+    assert all(segment[a[3] :].startswith(f"<|{a[1]}:{a[0]}|>") for a in attachments)
+    assert [chat.unescape(segment[a:b]) for a, b in loss] == ["see ", "<|image:0|>"]  # only texts are under the mask
+    assert list(chat.read_turns(segment)) == [("assistant", "see <|image:0|>")]
+    assert chat.format_turn("user", parts)[2] == []
     with pytest.raises(ValueError):
         chat.format_turn("user", [part | {"kind": "video"}])
 
 
-def test_conversations_read_back(spark):
-    turns = [(1, 0, "user", HARD[3]), (1, 1, "assistant", HARD[2]), (1, 1, "assistant", HARD[2]), (1, 2, None, None), (None, 0, "assistant", "x"), (2, 0, "system", "s")]
-    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
-    parts = df.select("conv_id", "turn", "role", chat.text_part(F.coalesce("text", F.lit(""))).alias("parts"))
-    got = rows(chat.read_back(chat.format_turns(parts)), "conv_id")
-    assert set(got) == {1, 2, None}
+@pytest.mark.parametrize("longest", [1 << 20, 30])
+def test_conversations_read_back(spark, monkeypatch, longest):
+    monkeypatch.setattr(chat, "LONGEST", longest)
+    turns = [(1, 0, "user", HARD[3]), (1, 1, "assistant", HARD[2]), (1, 1, "assistant", HARD[2]), (1, 2, None, None), (None, 0, "assistant", "x"), (2, 0, "system", "s"), (3, 0, "assistant", "y" * 100), (3, 1, "assistant", "z")]
+    df = spark.createDataFrame([(*t, "p", "k") for t in turns], "conv_id long, turn long, role string, text string, part string, conv_key string")
+    parts = df.select("*", F.array(chat.part(text=F.coalesce("text", F.lit(""))), chat.part(kind=F.lit("image"), ref=F.lit("r"))).alias("parts"))
+    formatted = chat.conversations(parts)
+    whole = defaultdict(dict)
+    for r in formatted.collect():
+        whole[r.conv_id][r.part] = r.formatted
+        for a in r.attachments:
+            assert r.formatted[a["at"] :].startswith(f"<|image:")
+        assert all(len(r.formatted) >= longest for p in whole[r.conv_id] if p < r.part)
+    assert "".join(whole[3][p] for p in sorted(whole[3])).count("<|turn|>") == 2
+    got = rows(chat.read_back(formatted), "conv_id")
+    assert set(got) == {1, 2, 3, None}
     one = sorted(turns[:4], key=lambda t: t[1])
     assert got[1].n_turns == 4 and got[1].turns_sha256 == brute.sha("".join(f"{r or ''}\n{t or ''}\n" for _, _, r, t in one))
     assert got[1].loss_sha256 == brute.sha(HARD[2] * 2) and got[1].loss_chars == 2 * len(HARD[2]) and got[2].loss_chars == 0
-    assert chat.read_back(chat.format_turns(parts.filter("turn > 99"))).count() == 0
+    assert got[3].loss_chars == 101 and got[3].n_attachments == 2 and got[3].expanded_tokens == 1152
+    assert chat.read_back(chat.conversations(parts.filter("turn > 99"))).count() == 0
+    assert [r.formatted for r in chat.conversations(parts.filter("conv_id = 2").withColumn("parts", F.lit(None).cast(parts.schema["parts"].dataType))).collect()] == ["<|turn|>system<|text|><|end|>"]
 
 
 # --- secrets ----------------------------------------------------------------------------
