@@ -54,7 +54,7 @@ def chat_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     held, ledger = secrets.update_ledger(table(spark, sf_dir, "documents"))
-    found = secrets.findings_by_path(held, ledger, one_scan=True)
+    found = secrets.findings_by_path(held, ledger)
     columns = secrets.span_columns(F.col("findings"))
     return found.select(F.col("path").alias("doc_id"), *[c.alias(k) for k, c in columns.items()])
 

@@ -6,10 +6,10 @@ scan takes only the (blob, rule version) pairs that the ledger lacks, one copy
 of each blob, and findings are joined back to all paths that hold the blob.
 
 Scale: a first pass reads the texts to hash them; only (path, blob) moves.  The
-second pass reads again, keeps one path of each unseen blob by a hash join and
-scans in the same stage.  Copies of one blob, however many, cost one scan; the
-join back to paths has a unique ledger row on one side, so a hot blob is split
-by adaptive execution.
+second pass scans where the texts lie.  It needs to know which rows to leave out
+(other copies of a blob, blobs already scanned) or, if fewer, which to take; that
+list is broadcast where it has at most ``store.MOST`` rows, and joined by shuffle
+beyond.  Only findings are joined back to paths, a blob without any moves no further.
 
 Defined results: a null text scans as an empty one; a path with several texts
 has each scanned; repeated rows are reported each; an empty table gives no rows;
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import MOST, drop, materialize, small
 
 #: fixed values: the base rules.  A kind's pattern, and the length its token must reach
 BASE = ("assign", "access", "hex")
@@ -93,12 +93,20 @@ def unseen(held: DataFrame, ledger: DataFrame | None) -> DataFrame:
     return blobs.join(seen, "blob_id", "left").select("blob_id", "path", missing.alias("missing")).filter(F.size("missing") > 0)
 
 
-def scan_unseen(docs: DataFrame, todo: DataFrame, path: str = "doc_id", text: str = "text") -> DataFrame:
-    """Scan the chosen copy of each blob; rows to add to the ledger."""
+def scan_unseen(docs: DataFrame, held: DataFrame, todo: DataFrame, path: str = "doc_id", text: str = "text") -> DataFrame:
+    """Scan the chosen copy of each blob of ``todo``; rows to add to the ledger."""
     whole = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(F.col(path).alias("path"), F.sha2(whole.cast("binary"), 256).alias("blob_id"), whole.alias("text"))
-    left, right = texts.alias("l"), todo.alias("r").hint("shuffle_hash")
-    picked = left.join(right, F.col("l.path").eqNullSafe(F.col("r.path")) & (F.col("l.blob_id") == F.col("r.blob_id"))).select("l.blob_id", "l.text", "r.missing")
+    current = list(rule_versions().values())
+    everything = F.array(*[F.lit(v) for v in current])
+    row = lambda other: texts["path"].eqNullSafe(other["path"]) & (texts["blob_id"] == other["blob_id"])
+    same = held["path"].eqNullSafe(todo["path"]) & (held["blob_id"] == todo["blob_id"])
+    fresh = todo.count() > MOST and todo.filter(F.size("missing") < len(current)).isEmpty()
+    left_out = materialize(held.join(todo, same, "left_anti").distinct(), "left_out") if fresh else None
+    if left_out is not None and left_out.count() <= MOST:
+        picked = texts.join(F.broadcast(left_out), row(left_out), "left_anti").select("blob_id", "text", everything.alias("missing"))
+    else:
+        picked = texts.join(small(todo), row(todo)).select(texts["blob_id"], "text", "missing")
     kind_of = {v: k for k, v in rule_versions().items()}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,21 +118,22 @@ def scan_unseen(docs: DataFrame, todo: DataFrame, path: str = "doc_id", text: st
 
 
 def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, path: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Scan what the ledger lacks; returns (versions, the grown ledger)."""
+    """Scan what the ledger lacks; returns (versions, the grown ledger), both written."""
     held = materialize(versions(docs, path, text), "versions")
-    new = scan_unseen(docs, unseen(held, ledger), path, text).dropDuplicates(["blob_id"])
-    return held, new if ledger is None else ledger.unionByName(new)
-
-
-def findings_by_path(held: DataFrame, ledger: DataFrame, one_scan: bool = False) -> DataFrame:
-    """(path, blob_id, findings) for every row of ``held``.
-
-    ``one_scan`` says that the ledger has one row for each blob already.
-    """
-    if not one_scan:
-        ledger = ledger.groupBy("blob_id").agg(F.flatten(F.collect_list("findings")).alias("findings"))
+    todo = materialize(unseen(held, ledger), "todo")
+    # a row that occurs twice is scanned twice
+    new = scan_unseen(docs, held, todo, path, text).dropDuplicates(["blob_id"])
+    grown = materialize(new if ledger is None else ledger.unionByName(new), "ledger")
+    drop(todo)
+    return held, grown
+
+
+def findings_by_path(held: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(path, blob_id, findings) for every row of ``held``."""
+    some = ledger.filter(F.size("findings") > 0)
+    hits = materialize(some.groupBy("blob_id").agg(F.flatten(F.collect_list("findings")).alias("findings")), "hits")
     none = F.array().cast(FINDINGS)
-    return held.join(ledger.select("blob_id", "findings"), "blob_id", "left").select("path", "blob_id", F.coalesce("findings", none).alias("findings"))
+    return held.join(small(hits, MOST // 4), "blob_id", "left").select("path", "blob_id", F.coalesce("findings", none).alias("findings"))
 
 
 def span_columns(findings) -> dict[str, F.Column]:
@@ -140,7 +149,7 @@ def span_columns(findings) -> dict[str, F.Column]:
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     """``text`` with every span, overlapping ones merged, replaced by its first kind."""
     out, at = [], 0
-    for kind, a, b in spans:
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]))):
         if a >= at:
             out += [text[at:a], f"[{kind.upper()}]"]
         at = max(at, b)

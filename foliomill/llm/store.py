@@ -70,7 +70,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def small(df: DataFrame, most: int = 200_000) -> DataFrame:
+#: rows of a table of ids that may be broadcast
+MOST = 200_000
+
+
+def small(df: DataFrame, most: int = MOST) -> DataFrame:
     """A written table of ids, to be broadcast if it has at most ``most`` rows and joined by shuffle beyond."""
     return F.broadcast(df) if df.count() <= most else df
 

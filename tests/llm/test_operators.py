@@ -176,7 +176,10 @@ def test_base_spans(texts):
         assert [s for s in secrets.scan(t) if s[0] in secrets.BASE] == brute.base_spans(t)
 
 
-def test_ledger_scans_only_what_is_new(docs, texts):
+@pytest.mark.parametrize("most", [200_000, 9, 0])
+def test_ledger_scans_only_what_is_new(docs, texts, monkeypatch, most, tmp_path):
+    """Also where the list of rows to take, or to leave out, is too long to broadcast."""
+    monkeypatch.setattr(secrets, "MOST", most)
     held, ledger = secrets.update_ledger(docs)
     found = rows(secrets.findings_by_path(held, ledger), "path")
     assert {p: [tuple(f) for f in r.findings] for p, r in found.items()} == {i: secrets.scan(t or "") for i, t in texts.items()}
@@ -186,8 +189,17 @@ def test_ledger_scans_only_what_is_new(docs, texts):
     assert secrets.unseen(held2, ledger).count() == 2
     old = ledger.withColumn("rules", F.array_except("rules", F.array(F.lit(secrets.rule_versions()["hex"]))))
     assert {tuple(r.missing) for r in secrets.unseen(secrets.versions(docs), old).collect()} == {(secrets.rule_versions()["hex"],)}
-    _, grown = secrets.update_ledger(more, ledger)
+    # a second, incremental pass on a stored ledger
+    ledger.write.parquet(f"{tmp_path}/ledger")
+    stored = docs.sparkSession.read.parquet(f"{tmp_path}/ledger")
+    held3, grown = secrets.update_ledger(more, stored)
     assert grown.count() == ledger.count() + 2
+    found = defaultdict(list)
+    for r in secrets.findings_by_path(held3, grown).collect():
+        found[r.path].append([tuple(f) for f in r.findings])
+    assert found[50] == [[("assign", 0, 26), ("hex", 8, 26)]] and len(found[1]) == 2 and found[7] == [secrets.scan(texts[7])]
+    twice, _ = secrets.update_ledger(docs.union(docs))
+    assert secrets.findings_by_path(twice, ledger).count() == 2 * len(texts)
 
 
 def test_further_rules_and_redaction():
