@@ -14,13 +14,17 @@ from pyspark.sql import functions as F
 
 from foliomill.llm import jaccard, packing, quality, secrets
 from foliomill.llm.queries import table, tokenizer_path
-from foliomill.llm.store import materialize
+from foliomill.llm.store import materialize, small
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule and the learned decision list keep."""
+    """Documents that the base rule and the learned decision list keep.
+
+    A document is judged by its text, repeated rows alike; one without words fails
+    the base rule.  An empty table gives an empty one.
+    """
     return quality.keep(docs, table(spark, sf_dir, "labels"), tuple(COLUMNS))
 
 
@@ -35,12 +39,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with each secret replaced by its kind."""
+    """Every document, with each secret replaced by its kind.
+
+    Repeated rows and rows without a doc_id stay, each redacted; a null text becomes
+    null again; ``n_chars`` follows the text.  An empty table gives an empty one.
+    """
     held, ledger = secrets.update_ledger(docs)
-    hits = materialize(secrets.findings_by_path(held, ledger, one_scan=True).filter(F.size("findings") > 0).dropDuplicates(["path", "blob_id"]), "hits")
-    texts = docs.withColumn("blob", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    same = F.col("doc_id").eqNullSafe(F.col("path")) & (F.col("blob") == F.col("blob_id"))
-    found = texts.join(hits.hint("shuffle_hash"), same, "left")
+    by_path = secrets.findings_by_path(held, ledger).filter(F.size("findings") > 0)
+    hits = small(materialize(by_path.groupBy("path", "blob_id").agg(F.first("findings").alias("findings")), "hits"))
+    texts = docs.select("doc_id", "text", "lang", "source", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("blob"))
+    found = texts.join(hits, F.col("doc_id").eqNullSafe(F.col("path")) & (F.col("blob") == F.col("blob_id")), "left")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -54,7 +62,7 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents, placed in sequences."""
+    """Pieces of the remaining documents, placed in sequences; an empty table gives none."""
     return packing.best_fit_pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
