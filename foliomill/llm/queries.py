@@ -141,15 +141,16 @@ SELECT conv_id, count(*) AS n_turns,
 FROM n GROUP BY conv_id
 """
 
-_URL_SQL = r"""
+_URL_SQL = rf"""
 WITH p AS (
   SELECT page_id, DATE '2024-01-01' + CAST(page_id % 365 AS INT) AS fetched,
-    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*?)\.?(?::[0-9]*)?(?:[/?#]|$)', 1)) AS host
+    lower(regexp_extract(url, '{urls.HOST}', 1)) AS host
   FROM pages
 ), hosts AS (SELECT DISTINCT host, string_split(host, '.') AS l FROM p WHERE host <> ''),
 suffix AS (
   SELECT DISTINCT host, array_to_string(l[i:len(l)], '.') AS domain
-  FROM (SELECT host, l, unnest(generate_series(1, greatest(len(l) - 1, 1))) AS i FROM hosts)
+  FROM (SELECT host, l, unnest(generate_series(1, greatest(len(l) - 1, 1))) AS i FROM hosts WHERE NOT regexp_matches(host, '{urls.ADDRESS}'))
+  UNION SELECT host, host FROM hosts WHERE regexp_matches(host, '{urls.ADDRESS}')
 ), seed AS (
   SELECT domain, CAST('0x' || substr(md5(domain), 1, 2) AS INT) AS a, CAST('0x' || substr(md5(domain), 3, 2) AS INT) AS b, CAST('0x' || substr(md5(domain), 5, 2) AS INT) AS c
   FROM (SELECT DISTINCT domain FROM suffix)

@@ -11,11 +11,17 @@ its intervals, which is bounded by the list's own history of that domain.  One
 join brings the array to the captures: its host side is unique, so adaptive
 execution can split a host that holds a third of all captures.
 
-Defined results: a null url has a null host and no matches; an entry that is
-added twice in a row counts from the first; a removal without an addition has no
-effect; several events of one entry at one time count as the last action in
-alphabetical order; repeated rows are reported each; empty lists match nothing; captures' own columns
-named host or matches are replaced.
+Hosts are read as browsers read them: a web scheme may lack its slashes
+(``http:a.com``) and a link may lack its scheme (``//a.com/x``); user, port and a
+trailing dot are dropped; an address in brackets or of four numbers is a host
+without parent domains.
+
+Defined results: a null url has a null host and no matches; one without a host has
+an empty host and no matches; an entry that is added twice in a row counts from
+the first; a removal without an addition has no effect; several events of one
+entry at one time count as the last action in alphabetical order; repeated rows
+are reported each; empty lists match nothing, and no captures give no rows;
+captures' own columns named host or matches are replaced, all others are kept.
 """
 
 from __future__ import annotations
@@ -26,9 +32,14 @@ from pyspark.sql import functions as F
 MATCH = "array<struct<list:string,domain:string,valid_from:date,valid_to:date>>"
 
 
+#: the host is the first group
+HOST = r"^[\x00-\x20]*(?:(?:[Hh][Tt][Tt][Pp][Ss]?|[Ff][Tt][Pp]|[Ww][Ss][Ss]?):[/\\]*|[A-Za-z][A-Za-z0-9+.-]*://|//)(?:[^/?#\\]*@)?(\[[^\]/?#\\]*\]|[^/?#:@\\\[\]]*?)\.?(?::[0-9]*)?[\x00-\x20]*(?:[/?#\\]|$)"
+ADDRESS = r"^(?:\[.*\]|[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$"
+
+
 def host(url: Column) -> Column:
     """Lower-cased host without user, port and trailing dot."""
-    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*?)\.?(?::[0-9]*)?(?:[/?#]|$)", 1))
+    return F.lower(F.regexp_extract(url, HOST, 1))
 
 
 def suffixes(host_: Column) -> Column:
@@ -36,7 +47,7 @@ def suffixes(host_: Column) -> Column:
     labels = F.split(host_, r"\.")
     n = F.size(labels)
     cut = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, n), "."))
-    return F.array_distinct(cut)
+    return F.when(host_.rlike(ADDRESS), F.array(host_)).otherwise(F.array_distinct(cut))
 
 
 def intervals(events: DataFrame) -> DataFrame:
@@ -49,12 +60,13 @@ def intervals(events: DataFrame) -> DataFrame:
 
 def evaluate(captures: DataFrame, events: DataFrame, url: str = "url", fetched: str = "fetched") -> DataFrame:
     """``captures`` with ``host`` and ``matches``: the entries active when each was fetched."""
-    given = [c for c in captures.columns if c not in ("host", "matches")]
-    named = captures.select(*given, host(F.col(url)).alias("_host"))
+    # the capture travels as one column, so no name of its own can clash
+    named = captures.select(F.struct("*").alias("capture"), host(F.col(url)).alias("host"))
     spans = intervals(events)
-    hosts = named.select(F.col("_host").alias("host")).distinct().filter("host is not null and host <> ''")
+    hosts = named.select("host").distinct().filter("host is not null and host <> ''")
     domains = hosts.select("host", F.explode(suffixes(F.col("host"))).alias("domain"))
-    of_host = domains.join(spans, "domain").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("list", "domain", "valid_from", "valid_to"))).alias("_entries")).withColumnRenamed("host", "_host")
-    t = F.col(fetched)
-    active = F.filter(F.coalesce("_entries", F.array().cast(MATCH)), lambda e: (e["valid_from"] <= t) & (e["valid_to"].isNull() | (t < e["valid_to"])))
-    return named.join(of_host, "_host", "left").select(*given, F.col("_host").alias("host"), active.alias("matches"))
+    of_host = domains.join(spans, "domain").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("list", "domain", "valid_from", "valid_to"))).alias("entries"))
+    t = F.col("capture")[fetched]
+    active = F.filter(F.coalesce("entries", F.array().cast(MATCH)), lambda e: (e["valid_from"] <= t) & (e["valid_to"].isNull() | (t < e["valid_to"])))
+    kept = [F.col("capture")[c].alias(c) for c in captures.columns if c.lower() not in ("host", "matches")]
+    return named.join(of_host, "host", "left").withColumn("matches", active).select(*kept, "host", "matches")

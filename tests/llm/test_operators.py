@@ -604,6 +604,43 @@ def test_entries_hold_as_of_the_fetch(spark):
     assert urls.evaluate(caps, events.limit(0)).filter(F.size("matches") > 0).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("url", "want"),
+    [
+        ("http://[2001:db8::1]:80/x", "[2001:db8::1]"), ("//bad.com/x", "bad.com"), ("http:bad.com", "bad.com"), ("HTTPS:/\\Bad.com.", "bad.com"), (" http://u:p@x@a.b.com:8080?q", "a.b.com"),
+        ("gopher://a.com#f", "a.com"), ("mailto:a@b.com", ""), ("/relative/path", ""), ("bad.com/x", ""), ("", ""), ("http://1.2.3.4/", "1.2.3.4"), ("http://a.com@b.com/", "b.com"), ("https://a.com:99x/", ""),
+    ],
+)
+def test_hosts(spark, url, want):
+    assert spark.createDataFrame([(url,)], "url string").select(urls.host(F.col("url"))).first()[0] == want
+
+
+def test_lists_that_know_nothing_of_the_captures(spark):
+    """Random list histories against a day-by-day replay in Python."""
+    import datetime as dt
+
+    rng = random.Random(9)
+    names = [f"{a}{i}.{b}" for i in range(150) for a in "xy" for b in ("com", "co.uk")]
+    day = lambda: dt.date(2024, 1, 1) + dt.timedelta(rng.randrange(300))
+    history = {(rng.choice(("spam", "adult")), rng.choice(names), day()): rng.choice(("add", "add", "remove")) for _ in range(2500)}
+    events = [(name, domain, action, at) for (name, domain, at), action in history.items()]
+    captures = [(i, f"http://{rng.choice(('', 'www.', 'a.b.'))}{rng.choice(names) if rng.random() < 0.7 else 'hot.x1.com'}/{i}", day(), "c") for i in range(4000)]
+    df = spark.createDataFrame(captures, "page_id long, url string, fetched date, entries string")
+    log = spark.createDataFrame(events, "list string, domain string, action string, day date")
+    got = {r.page_id: {(m["list"], m["domain"]) for m in r.matches} for r in urls.evaluate(df, log).collect()}
+    for i, url, fetched, _ in captures:
+        host = url.split("/")[2]
+        last = {}
+        for name, domain, action, at in sorted(events, key=lambda e: e[3]):
+            if at <= fetched and (host == domain or host.endswith("." + domain)):
+                last[name, domain] = action
+        assert got[i] == {k for k, action in last.items() if action == "add"}
+    clash = df.withColumnsRenamed({"entries": "host"}).withColumn("capture", F.lit(1)).withColumn("_host", F.lit(2))
+    out = urls.evaluate(clash, log)
+    assert out.columns == ["page_id", "url", "fetched", "capture", "_host", "host", "matches"] and out.count() == 4000
+    assert urls.evaluate(df.filter("page_id < 0"), log).count() == 0 and urls.evaluate(df, log.filter("day is null")).filter("size(matches) > 0").count() == 0
+
+
 # --- licenses ---------------------------------------------------------------------------
 
 
