@@ -1,16 +1,22 @@
 """Merkle fingerprints of texts, in DataFrame functions only.
 
-A text is cut into paragraphs: sentences or lines, at most ``LONGEST`` characters
-before their closing marks.  Each paragraph's digest is a leaf.  Sections are runs
-of leaves that end where a leaf's digest ends in 0, so an insertion moves only
-the section it falls in.  The root hashes the sections' digests.
+A text is cut into paragraphs where its own characters say so: after a line's or
+sentence's closing marks (of any script listed), after some word ends, and, for
+texts without spaces, after a few pairs of letters and digits and one in 64 of the
+wide characters.  Each cut depends on a character or two, never on a length, so
+cuts before and after an edit stay where they were.  Each paragraph's digest is a
+leaf.  Sections are runs of leaves that end where a leaf's digest ends in 0, so an
+insertion moves only the section it falls in.  The root hashes the sections' digests.
 
 A fingerprint is written ``root:section;section`` with each section a list of
-leaves.  Equal roots mean equal texts; where roots differ, equal sections are
-skipped and differing ones locate the edit.
+leaves.  Likeness walks two trees: equal roots are alike without a look below;
+else equal sections count as they stand, and only the leaves of sections that
+differ are compared.  ``differing`` numbers those sections: where the edit lies.
 
 Defined results: a null text is an empty one; the fingerprint of an empty text
-has no leaves; two empty texts are alike (1.0); repeated rows are reported each.
+has no leaves; two empty texts are alike (1.0), an empty and another not (0.0);
+repeated rows are reported each; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -20,11 +26,16 @@ from pyspark.sql import functions as F
 
 from .store import partitions
 
-LONGEST = 200
 #: rows of a range of ids that is sorted on its own, and the most ranges
 RANGE_ROWS, MAX_RANGES = 20_000, 10_000
 LEAF_DIGITS = 12
-PARAGRAPH = rf"[^\n.!?]{{0,{LONGEST}}}[\n.!?]+|[^\n.!?]{{1,{LONGEST}}}"
+#: closing marks; word ends after which a paragraph may end; pairs that end one in text without spaces
+MARKS = r"\n.!?…。！？．｡؟।"
+WORD_END = r"[gm][ \t]"
+PAIRS = r"[ad][05AZ]"
+#: 64 of each 4096 wide characters
+WIDE = "".join(rf"\x{{{at:04X}}}-\x{{{at + 0x3F:04X}}}" for at in range(0x3000, 0x10000, 0x1000) if at != 0xE000)
+PARAGRAPH = rf"(?s).*?(?:[{MARKS}]+|{WORD_END}|{PAIRS}|[{WIDE}])|.+"
 
 
 def leaves(text: Column) -> Column:
@@ -48,22 +59,25 @@ def root(print_: Column) -> Column:
     return F.substring_index(print_, ":", 1)
 
 
-def leaves_of(print_: Column) -> Column:
-    """The leaves that a fingerprint holds."""
-    return F.filter(F.split(F.substring_index(print_, ":", -1), "[,;]"), lambda h: h != "")
+def sections_of(print_: Column) -> Column:
+    """The sections that a fingerprint holds."""
+    return F.filter(F.split(F.substring_index(print_, ":", -1), ";"), lambda s: s != "")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Share of distinct leaves that two leaf arrays have in common; 1 if both are empty."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
+def with_likeness(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """``rows`` with the likeness (0 to 1) of its fingerprint columns ``a`` and ``b``."""
+    leaves_in = lambda parts: F.flatten(F.transform(parts, lambda s: F.split(s, ",")))
+    cut = rows.withColumns({"_a": sections_of(F.col(a)), "_b": sections_of(F.col(b))})
+    walked = cut.withColumns({"_same": leaves_in(F.array_intersect("_a", "_b")), "_left": leaves_in(F.array_except("_a", "_b")), "_right": leaves_in(F.array_except("_b", "_a"))})
+    same, common, either = F.size("_same"), F.size(F.array_intersect("_left", "_right")), F.size(F.array_union("_left", "_right"))
+    like = F.when(root(F.col(a)) == root(F.col(b)), F.lit(1.0)).otherwise((same + common) / (same + either))
+    return walked.select(*rows.columns, like.alias(name))
 
 
 def differing(print_a: Column, print_b: Column) -> Column:
     """Numbers (from 0) of a's sections that b lacks: where to look for the edit."""
-    cut = lambda p: F.split(F.substring_index(p, ":", -1), ";")
-    other = cut(print_b)
-    marked = F.transform(cut(print_a), lambda s, i: F.when(~F.array_contains(other, s), i))
+    other = sections_of(print_b)
+    marked = F.transform(sections_of(print_a), lambda s, i: F.when(~F.array_contains(other, s), i))
     return F.when(root(print_a) == root(print_b), F.array().cast("array<int>")).otherwise(F.array_compact(marked))
 
 
@@ -111,13 +125,12 @@ def compare(docs: DataFrame) -> DataFrame:
     many first code points of the next document, or all it has.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    both = with_next(texts.withColumn("leaf", leaves(F.col("text"))), ["text", "leaf"])
+    both = with_next(texts.withColumn("fingerprint", fingerprint(leaves(F.col("text")))), ["text", "fingerprint"])
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third))
-    made = both.select("doc_id", n.cast("long").alias("n_chars"), "leaf", "next_leaf", edited.alias("edited")).withColumn("edited_leaf", leaves(F.col("edited")))
-    return made.select(
-        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        fingerprint(F.col("leaf")).alias("fingerprint"), fingerprint(F.col("edited_leaf")).alias("edited_fingerprint"),
-        likeness(F.col("leaf"), F.col("edited_leaf")).alias("near_edited"), likeness(F.col("leaf"), F.col("next_leaf")).alias("near_next"),
-    )
+    made = both.select("doc_id", n.cast("long").alias("n_chars"), "fingerprint", "next_fingerprint", edited.alias("edited"))
+    printed = made.select("*", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint(leaves(F.col("edited"))).alias("edited_fingerprint")).drop("edited")
+    alike = with_likeness(with_likeness(printed, "fingerprint", "edited_fingerprint", "near_edited"), "fingerprint", "next_fingerprint", "near_next")
+    where = F.array_join(differing(F.col("fingerprint"), F.col("edited_fingerprint")).cast("array<string>"), ",")
+    return alike.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", where.alias("differing_sections"))

@@ -175,17 +175,27 @@ def _print_sql(leaf: str) -> str:
 
 
 def _like_sql(a: str, b: str) -> str:
-    both, common = f"len(list_distinct(list_concat({a}, {b})))", f"len(list_intersect(list_distinct({a}), list_distinct({b})))"
-    return f"CASE WHEN {both} = 0 THEN 1.0 ELSE {common} / {both} END"
+    """Likeness of fingerprint columns, by sections and then leaves."""
+    cut = lambda p: f"list_filter(string_split(split_part({p}, ':', 2), ';'), lambda s: s <> '')"
+    lack = lambda x, y: f"flatten(list_transform(list_filter(list_distinct({cut(x)}), lambda s: NOT list_contains({cut(y)}, s)), lambda s: string_split(s, ',')))"
+    same = f"len(flatten(list_transform(list_intersect(list_distinct({cut(a)}), list_distinct({cut(b)})), lambda s: string_split(s, ','))))"
+    common, either = f"len(list_intersect(list_distinct({lack(a, b)}), list_distinct({lack(b, a)})))", f"len(list_distinct(list_concat({lack(a, b)}, {lack(b, a)})))"
+    return f"CASE WHEN split_part({a}, ':', 1) = split_part({b}, ':', 1) THEN 1.0 ELSE ({same} + {common}) / ({same} + {either}) END"
+
+
+def _differing_sql(a: str, b: str) -> str:
+    cut = lambda p: f"list_filter(string_split(split_part({p}, ':', 2), ';'), lambda s: s <> '')"
+    return f"array_to_string(list_transform(list_filter(generate_series(1, len({cut(a)})), lambda i: NOT list_contains({cut(b)}, {cut(a)}[i])), lambda i: CAST(i - 1 AS VARCHAR)), ',')"
 
 
 _FINGERPRINT_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 n AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id DESC, text), first_value(text) OVER (ORDER BY doc_id DESC, text)) AS next FROM d),
 e AS (SELECT doc_id, text, next, length(text) AS c, left(text, CAST(length(text) - length(text) // 3 AS INT)) || left(next, CAST(length(text) // 3 AS INT)) AS edited FROM n),
-l AS (SELECT doc_id, c, edited, {_leaves_sql('text')} AS a, {_leaves_sql('edited')} AS b, {_leaves_sql('next')} AS x FROM e)
-SELECT doc_id, CAST(c AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, {_print_sql('a')} AS fingerprint, {_print_sql('b')} AS edited_fingerprint,
-  CAST({_like_sql('a', 'b')} AS DOUBLE) AS near_edited, CAST({_like_sql('a', 'x')} AS DOUBLE) AS near_next FROM l
+l AS (SELECT doc_id, c, edited, {_leaves_sql('text')} AS a, {_leaves_sql('edited')} AS b, {_leaves_sql('next')} AS x FROM e),
+p AS (SELECT doc_id, c, edited, {_print_sql('a')} AS pa, {_print_sql('b')} AS pb, {_print_sql('x')} AS px FROM l)
+SELECT doc_id, CAST(c AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, pa AS fingerprint, pb AS edited_fingerprint,
+  CAST({_like_sql('pa', 'pb')} AS DOUBLE) AS near_edited, CAST({_like_sql('pa', 'px')} AS DOUBLE) AS near_next, {_differing_sql('pa', 'pb')} AS differing_sections FROM p
 """
 
 ORACLES: dict[str, str] = {"op2_chat_format": _CHAT_SQL, "chat_typed_parts": _PARTS_SQL, "op8_url_filter": _URL_SQL, "op10_merkle_fingerprint": _FINGERPRINT_SQL}

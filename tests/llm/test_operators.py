@@ -696,6 +696,45 @@ def test_differing_sections_locate_the_edit(spark):
     assert r.same == [] and 1 <= len(r.d) <= 2 and r.n > 5
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "".join(chr(0x4E00 + (i * 7919) % 20000) + ("。" if i % 30 == 29 else "") for i in range(6000)),
+        "".join(chr(0x4E00 + (i * 7919) % 20000) for i in range(6000)),
+        " ".join(random.Random(3).choices(("going", "them", "red", "house", "and", "to", "a", "with"), k=3000)),
+        "".join(random.Random(4).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=60_000)),
+        "".join(f"A line of text, number {i}, with some words in it\n" for i in range(300)),
+    ],
+    ids=["marked", "unmarked", "words", "base64", "lines"],
+)
+def test_one_inserted_character(spark, text):
+    """Wherever it is inserted, nearly all of the tree stays."""
+    edits = [("x" + text, 0), (text[: len(text) // 2] + "é" + text[len(text) // 2 :], 1), (text + "x", 2)]
+    df = spark.createDataFrame([(text, e, i) for e, i in edits], "a string, b string, i int")
+    both = df.select("i", *[fingerprints.fingerprint(fingerprints.leaves(F.col(c))).alias(c) for c in "ab"])
+    for r in fingerprints.with_likeness(both, "a", "b", "like").withColumn("d", fingerprints.differing(F.col("a"), F.col("b"))).collect():
+        assert 0.9 < r.like < 1 and 1 <= len(r.d) <= 3, (r.i, r.like, len(r.d))
+
+
+def test_likeness_counts_leaves_of_differing_sections(spark):
+    """The walk against the tree spelled out in Python."""
+    rng = random.Random(8)
+    pool = [f"{i:012x}" for i in range(40)]
+    prints = []
+    for _ in range(60):
+        start = rng.randrange(30)
+        leaf = [x for x in pool[start : start + rng.randrange(12)] if rng.random() < 0.8]
+        prints.append((leaf,))
+    df = spark.createDataFrame(prints, "x array<string>").select(fingerprints.fingerprint(F.col("x")).alias("a"))
+    texts = [r.a for r in df.collect()]
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts[:20]], "a string, b string")
+    for r in fingerprints.with_likeness(pairs, "a", "b", "like").collect():
+        a, b = ([tuple(s.split(",")) for s in p.split(":")[1].split(";") if s] for p in (r.a, r.b))
+        same = sum(len(s) for s in set(a) & set(b))
+        left, right = {x for s in a if s not in b for x in s}, {x for s in b if s not in a for x in s}
+        assert r.like == (1.0 if a == b else (same + len(left & right)) / (same + len(left | right)))
+
+
 # --- shared -----------------------------------------------------------------------------
 
 
