@@ -101,7 +101,9 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    scanned = licenses.scan(table(spark, sf_dir, "documents"))
+    spans = F.transform("spans", lambda s: F.concat_ws(":", s["label"], s["from"].cast("string"), s["to"].cast("string")))
+    return scanned.withColumn("spans", F.array_join(spans, ","))
 
 
 def op10_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -657,6 +657,37 @@ def test_notices_survive_edits(docs, texts):
     assert r.labels == "mit" and r.base_labels == "" and 0.5 < r.score < 1
 
 
+def test_license_texts(spark):
+    """Every text finds itself, whole, edited and twice; tags too; other prose finds nothing."""
+    from foliomill.llm.license_texts import SPDX, TEXTS
+
+    opening = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"
+    inserted = opening.replace("charge,", "charge in money or goods,").replace("copy of", "copy or some part of")
+    many = [(label, t) for label, ts in TEXTS.items() for t in ts]
+    rng = random.Random(6)
+    edited = []
+    for label, t in many:
+        words = t.split()
+        for _ in range(len(words) // 25):
+            at = rng.randrange(len(words))
+            words[at : at + 1] = rng.choice(([], ["other"], [words[at], "really", "new", "words", "here"]))
+        edited.append((label, " ".join(words)))
+    data = [*many, *edited, *[(label, f"{t}\n\n{'x ' * 9}{t}") for label, t in many], ("mit", inserted), *[(label, f"# SPDX-License-Identifier: {tag}\n") for tag, label in SPDX.items()]]
+    data += [("", "the software is a copy of the software and of any person " * 40), ("", "this list of conditions and the following words are free of charge")]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(data)], "doc_id long, text string")
+    got = rows(licenses.scan(df))
+    for i, (label, text) in enumerate(data):
+        assert {x for x in got[i].labels.split(",") if x} - set(got[i].base_labels.split(",")) <= {label} and (label in got[i].labels.split(",") or not label), (label, got[i].labels, text[:60])
+        assert all(0 <= s["from"] < s["to"] <= got[i].n_words for s in got[i].spans)
+    n = len(many)
+    for i, (label, text) in enumerate(many):
+        size = len(licenses.template_words(text).split())
+        near = lambda s, at: abs(s["from"] - at) + abs(s["to"] - at - size) <= 6
+        assert any(near(s, 0) and (s["share"], s["label"]) == (1.0, label) for s in got[i].spans)
+        # two copies are two spans
+        assert [len([s for s in got[2 * n + i].spans if near(s, at)]) for at in (0, size + 9)] == [1, 1]
+
+
 def test_license_edge_cases(spark, empty):
     assert licenses.scan(empty).count() == 0
     df = spark.createDataFrame([(1, "mit license"), (1, "mit license"), (2, "MIT-LICENSE mit license mit"), (3, "mit\nK license")], "doc_id long, text string")
