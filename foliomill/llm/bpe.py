@@ -24,9 +24,12 @@ each; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
+import re
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,10 @@ from pyspark.sql import functions as F
 MAX_STATES, MEMO, MEMO_CHARS = 400_000, 400_000, 48
 
 
+#: a run of white space stays in one piece with what comes before it
+_CUT = re.compile(r"(?<=\S)(?= \S)")
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -136,11 +143,16 @@ class Transducer:
 
     def _look(self, pending: bytes) -> tuple[tuple[tuple[int, int], ...], tuple[int, ...]]:
         """Tokens that end the pending bytes, longest first, with their starts; and where later ones can start."""
-        n = len(pending)
-        ends = tuple((j, t) for j in range(max(0, n - self.m.longest), n) if (t := self.reached.get(pending[j:])) is not None)
-        # a later token can start where the rest is the start of some token, or at the end
-        live = tuple(j for j in range(n) if pending[j:] in self.m.prefixes)
-        return ends, (*live, n)
+        n, reached, prefixes = len(pending), self.reached, self.m.prefixes
+        ends, live = [], []
+        for j in range(max(0, n - self.m.longest), n):
+            rest = pending[j:]
+            if rest in reached:
+                ends.append((j, reached[rest]))
+            # a later token can start where the rest is the start of some token, or at the end
+            if rest in prefixes:
+                live.append(j)
+        return tuple(ends), (*live, n)
 
     def step(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
         """The next state and the tokens that are now certain."""
@@ -158,19 +170,19 @@ class Transducer:
                 break
         else:
             raise ValueError("bytes that the vocabulary does not cover")
-        if live[0] == 0:
-            return (committed, pending, last), ()
-        shared = self._chain(last, live[0])
-        for j in live[1:]:
-            chain = self._chain(last, j)
-            k, most = 0, min(len(shared), len(chain))
-            while k < most and shared[k] == chain[k]:
-                k += 1
-            shared = shared[:k]
-        if not shared:
+        # each end's predecessor is where its token starts; what all ways share ends where they meet
+        size, cut = self.size, live[0]
+        for j in live:
+            if not cut:
+                return (committed, pending, last), ()
+            while j != cut:
+                if j > cut:
+                    j -= size[last[j - 1]]
+                else:
+                    cut -= size[last[cut - 1]]
+        if not cut:
             return (committed, pending, last), ()
-        cut = shared[-1]
-        out = tuple(last[e - 1] for e in shared)
+        out = tuple(last[e - 1] for e in self._chain(last, cut))
         return (out[-1], pending[cut:], last[cut:]), out
 
     def finish(self, state: State) -> tuple[int, ...]:
@@ -231,15 +243,7 @@ class Encoder(dict):
     @staticmethod
     def cuts(text: str) -> list[str]:
         """Cuts before each space that stands between two non-spaces."""
-        first, *rest = text.split(" ")
-        out = [first]
-        for part in rest:
-            # a run of white space stays in one piece with what comes before it
-            if part and not part[0].isspace() and out[-1] and not out[-1][-1].isspace():
-                out.append(" " + part)
-            else:
-                out[-1] += " " + part
-        return out
+        return _CUT.split(text)
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as packed little-endian uint32."""
@@ -298,10 +302,18 @@ class Decoder:
             return "".join(map(self.whole.__getitem__, ids))
         except KeyError:
             pass
-        machine, out = Utf8Decoder(), []
-        for i in ids:
-            text = None if machine.need else self.whole.get(i)
-            out.append(machine.feed(self.bytes[i]) if text is None else text)
+        machine, out, at, n = Utf8Decoder(), [], 0, len(ids)
+        whole, broken = self.whole, [k for k, i in enumerate(ids) if i not in self.whole]
+        for k in broken:
+            if k < at:  # taken while a character was open
+                continue
+            out += map(whole.__getitem__, ids[at:k])
+            out.append(machine.feed(self.bytes[ids[k]]))
+            at = k + 1
+            while machine.need and at < n:
+                out.append(machine.feed(self.bytes[ids[at]]))
+                at += 1
+        out += map(whole.__getitem__, ids[at:])
         return "".join(out) + machine.close()
 
 
@@ -316,6 +328,18 @@ def codec(path: str, pattern: str) -> tuple[Encoder, Decoder]:
     return _made[path, pattern]
 
 
+@contextmanager
+def no_collection() -> Iterator[None]:
+    """States and memos hold no cycles, so looking for some among millions of them is left out."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode and decode every text: doc_id, n_tokens and digests of ids and text."""
 
@@ -323,12 +347,13 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         enc, dec = codec(path, pattern)
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
-            for text in batch.column(1):
-                packed = enc.encode(text.as_py() or "")
-                n.append(len(packed) // 4)
-                ids_sha.append(hashlib.sha256(packed).hexdigest())
-                decoded = dec.decode(np.frombuffer(packed, "<u4").tolist())
-                text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
+            with no_collection():
+                for text in batch.column(1):
+                    packed = enc.encode(text.as_py() or "")
+                    n.append(len(packed) // 4)
+                    ids_sha.append(hashlib.sha256(packed).hexdigest())
+                    decoded = dec.decode(np.frombuffer(packed, "<u4").tolist())
+                    text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -340,7 +365,8 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, _ = codec(path, pattern)
         for batch in batches:
-            ids = [np.frombuffer(enc.encode(t.as_py() or ""), "<u4").astype(np.int32) for t in batch.column(1)]
+            with no_collection():
+                ids = [np.frombuffer(enc.encode(t.as_py() or ""), "<u4").astype(np.int32) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
