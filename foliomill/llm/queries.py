@@ -168,7 +168,10 @@ GROUP BY page_id
 """
 
 def _leaves_sql(text: str) -> str:
-    return f"list_transform(regexp_extract_all({text}, '{fingerprints.PARAGRAPH}'), lambda x: substr(md5(x), 1, {fingerprints.LEAF_DIGITS}))"
+    parts = f"regexp_extract_all({text}, '{fingerprints.PARAGRAPHS[0]}')"
+    for pattern in fingerprints.PARAGRAPHS[1:]:
+        parts = f"flatten(list_transform({parts}, lambda p: regexp_extract_all(p, '{pattern}')))"
+    return f"list_transform({parts}, lambda x: substr(md5(x), 1, {fingerprints.LEAF_DIGITS}))"
 
 
 def _print_sql(leaf: str) -> str:

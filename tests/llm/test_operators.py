@@ -735,7 +735,7 @@ def test_differing_sections_locate_the_edit(spark):
     [
         "".join(chr(0x4E00 + (i * 7919) % 20000) + ("。" if i % 30 == 29 else "") for i in range(6000)),
         "".join(chr(0x4E00 + (i * 7919) % 20000) for i in range(6000)),
-        " ".join(random.Random(3).choices(("going", "them", "red", "house", "and", "to", "a", "with"), k=3000)),
+        " ".join(random.Random(3).choices(("going", "them", "six", "house", "have", "to", "a", "with", "the", "of"), k=3000)),
         "".join(random.Random(4).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=60_000)),
         "".join(f"A line of text, number {i}, with some words in it\n" for i in range(300)),
     ],
