@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,13 +136,43 @@ def inverted_index(s: SparkSession, d: str) -> DataFrame:
     return p.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"))
 
 
-REQUESTS = ["books by Agatha Christie", "tagged as mystery", "published in 1987", "rated 4", "in series Foundation", "dune", "what books do we have", "german thrillers from last month", "title 3 stars"]
+NOW = date(2024, 5, 15)
+_LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 
 
 @query()
 def parsed_requests(s: SparkSession, d: str) -> DataFrame:
-    t = s.createDataFrame([(i, r) for i, r in enumerate(REQUESTS)], "id int, request string")
-    return t.select("id", *[c.alias(k) for k, c in nlquery.slots(F.col("request")).items()], nlquery.without_question(F.col("request")).alias("subject"), nlquery.hints(F.col("request")).alias("languages"))
+    """Every turn read as a request."""
+    read = nlquery.read_requests(C.table(s, d, "conversations").select("conv_id", "turn", "text"), "text", NOW)
+    languages = F.array_join("parsed.language_hints", ",").alias("languages")
+    return read.select("conv_id", "turn", *[f"parsed.{c}" for c in ("text", *nlquery.SLOT_NAMES, "content_type", "added_after", "added_before", "prefer_semantic_search")], languages)
+
+
+@query(f"SELECT conv_id, turn, array_to_string(list_filter({_LIST(nlquery.LANGUAGES)}, lambda x: regexp_matches(lower(text), '\\b' || x || '\\b')), ',') AS languages FROM (SELECT conv_id, turn, text || CASE turn % 3 WHEN 0 THEN ' from Japan, in japanese' WHEN 1 THEN ' (Polish edition)' ELSE ' germany' END AS text FROM conversations)")
+def language_hints(s: SparkSession, d: str) -> DataFrame:
+    place = F.when(F.col("turn") % 3 == 0, " from Japan, in japanese").when(F.col("turn") % 3 == 1, " (Polish edition)").otherwise(" germany")
+    c = C.table(s, d, "conversations").select("conv_id", "turn", F.concat("text", place).alias("text"))
+    return c.select("conv_id", "turn", F.array_join(nlquery.hints(F.col("text")), ",").alias("languages"))
+
+
+_MEANING = f"""
+WITH t AS (SELECT conv_id, turn, lower(CASE turn % 4 WHEN 0 THEN 'a locked room' WHEN 1 THEN 'which books are left' WHEN 2 THEN 'horror and crime by candle light' ELSE 'polish notes on logic' END || ' ' || role) AS low FROM conversations),
+w AS (SELECT *, len(string_split(low, ' ')) AS n, len(list_filter({_LIST(nlquery.GENRES)}, lambda g: contains(low, g))) AS genres,
+  nullif(regexp_extract(low, ' by\\s+(.+)', 1), '') AS author FROM t)
+SELECT conv_id, turn, len(list_filter({_LIST(nlquery.INVENTORY)}, lambda p: regexp_matches(low, p))) > 0
+  OR len(list_filter({_LIST(nlquery.CONCEPTS)}, lambda c: contains(low, c))) > 0
+  OR (len(list_filter({_LIST(nlquery.LANGUAGES)}, lambda x: regexp_matches(low, '\\b' || x || '\\b'))) > 0 AND n >= 4)
+  OR (genres > 1 AND n >= 5) OR (genres > 0 AND author IS NOT NULL AND n >= 6) OR (author IS NULL AND n >= 10) AS by_meaning FROM w
+"""
+
+
+@query(_MEANING)
+def search_by_meaning(s: SparkSession, d: str) -> DataFrame:
+    kind = F.col("turn") % 4
+    asked = F.when(kind == 0, "a locked room").when(kind == 1, "which books are left").when(kind == 2, "horror and crime by candle light").otherwise("polish notes on logic")
+    c = C.table(s, d, "conversations").select("conv_id", "turn", F.concat_ws(" ", asked, "role").alias("text"))
+    found = nlquery.slots(F.col("text"))
+    return c.select("conv_id", "turn", nlquery.prefers_meaning(F.col("text"), found["author"], found["series"]).alias("by_meaning"))
 
 
 @query("SELECT conv_id, turn, nullif(trim(regexp_extract(lower(text), ' by\\s+(.+)', 1)), '') AS author, nullif(regexp_extract(lower(text), '([1-5])\\s+stars?', 1), '') AS rating FROM (SELECT conv_id, turn, replace(text, chr(10), ' ') || ' by ' || role || ' ' || CAST(turn AS VARCHAR) || ' stars' AS text FROM conversations)")
@@ -155,15 +187,8 @@ def page_links(s: SparkSession, d: str) -> DataFrame:
     return C.table(s, d, "pages").select("page_id", F.size(files.anchors(F.col("html"))).cast("long").alias("n"))
 
 
-@query("SELECT item_id, count(doc_id) AS docs FROM benchmark b LEFT JOIN documents d ON contains(lower(d.text), lower(substr(b.text, 1, 60))) GROUP BY 1")
-def benchmark_in_documents(s: SparkSession, d: str) -> DataFrame:
-    """The first 60 characters of each passage, as its SQL has them."""
-    b = C.table(s, d, "benchmark").select("item_id", F.lower(F.substring("text", 1, 60)).alias("needle"))
-    return X.documents_with(b, C.table(s, d, "documents"))
-
-
 @query("SELECT item_id, count(doc_id) AS docs FROM benchmark b LEFT JOIN documents d ON contains(lower(d.text), lower(b.text)) GROUP BY 1")
-def benchmark_passages_in_documents(s: SparkSession, d: str) -> DataFrame:
+def benchmark_in_documents(s: SparkSession, d: str) -> DataFrame:
     """Whole passages."""
     b = C.table(s, d, "benchmark").select("item_id", F.lower("text").alias("needle"))
     return X.documents_with(b, C.table(s, d, "documents"))

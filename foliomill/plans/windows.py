@@ -11,44 +11,18 @@ from foliomill.registry import query
 from foliomill.sources import catalog as C
 
 
-def _thin(s: SparkSession, d: str) -> DataFrame:
-    """Part of the books, so that their series have gaps."""
-    return C.books(s, d).filter("id % 4 <> 0 and series_index % 7 <> 3")
-
-
-_THIN = "t AS (SELECT * FROM books WHERE id % 4 <> 0 AND series_index % 7 <> 3)"
-
-
-@query(sql(f", {_THIN} SELECT series, count(*) AS n, array_to_string(list_sort(list_filter(generate_series(CAST(min(series_index) AS INT), CAST(max(series_index) AS INT)), lambda x: NOT list_contains(list(CAST(series_index AS INT)), x))), ',') AS missing FROM t GROUP BY series").replace("\n, t AS", ", t AS"))
+@query(sql("SELECT series, count(*) AS n, array_to_string(list_sort(list_filter(generate_series(CAST(min(series_index) AS INT), CAST(max(series_index) AS INT)), lambda x: NOT list_contains(list(CAST(series_index AS INT)), x))), ',') AS missing FROM books GROUP BY series"))
 def series_gaps(s: SparkSession, d: str) -> DataFrame:
-    return Q.gaps(_thin(s, d), "series", "series_index").select("series", "n", F.array_join("missing", ",").alias("missing"))
-
-
-@query(sql(f", {_THIN} SELECT series, count(*) AS n, array_to_string(list_sort(list_filter(generate_series(1, CAST(max(series_index) AS INT)), lambda x: NOT list_contains(list(CAST(series_index AS INT)), x))), ',') AS missing, max(series_index) = count(DISTINCT series_index) AS complete FROM t GROUP BY series").replace("\n, t AS", ", t AS"))
-def series_missing_from_one(s: SparkSession, d: str) -> DataFrame:
-    return Q.gaps(_thin(s, d), "series", "series_index", from_one=True).select("series", "n", F.array_join("missing", ",").alias("missing"), "complete")
-
-
-@query(sql(f", {_THIN} SELECT series, CASE WHEN n = i + 2 THEN '#' || (i + 1) ELSE '#' || (i + 1) || '-#' || (n - 1) END AS gap FROM (SELECT series, i, lead(i) OVER (PARTITION BY series ORDER BY i) AS n FROM (SELECT DISTINCT series, CAST(series_index AS INT) AS i FROM t)) WHERE n > i + 1").replace("\n, t AS", ", t AS"))
-def gap_ranges(s: SparkSession, d: str) -> DataFrame:
-    return Q.gap_ranges(_thin(s, d), "series", "series_index").select("series", Q.range_text(F.col("first"), F.col("last")).alias("gap"))
-
-
-_WHOLE = "t AS (SELECT * FROM books)"
-
-
-@query(sql(f", {_WHOLE} SELECT series, count(*) AS n, array_to_string(list_sort(list_filter(generate_series(CAST(min(series_index) AS INT), CAST(max(series_index) AS INT)), lambda x: NOT list_contains(list(CAST(series_index AS INT)), x))), ',') AS missing FROM t GROUP BY series").replace("\n, t AS", ", t AS"))
-def series_gaps_all(s: SparkSession, d: str) -> DataFrame:
     return Q.gaps(C.books(s, d), "series", "series_index").select("series", "n", F.array_join("missing", ",").alias("missing"))
 
 
-@query(sql(f", {_WHOLE} SELECT series, count(*) AS n, array_to_string(list_sort(list_filter(generate_series(1, CAST(max(series_index) AS INT)), lambda x: NOT list_contains(list(CAST(series_index AS INT)), x))), ',') AS missing, max(series_index) = count(DISTINCT series_index) AS complete FROM t GROUP BY series").replace("\n, t AS", ", t AS"))
-def series_missing_from_one_all(s: SparkSession, d: str) -> DataFrame:
+@query(sql("SELECT series, count(*) AS n, array_to_string(list_sort(list_filter(generate_series(1, CAST(max(series_index) AS INT)), lambda x: NOT list_contains(list(CAST(series_index AS INT)), x))), ',') AS missing, max(series_index) = count(DISTINCT series_index) AS complete FROM books GROUP BY series"))
+def series_missing_from_one(s: SparkSession, d: str) -> DataFrame:
     return Q.gaps(C.books(s, d), "series", "series_index", from_one=True).select("series", "n", F.array_join("missing", ",").alias("missing"), "complete")
 
 
-@query(sql(f", {_WHOLE} SELECT series, CASE WHEN n = i + 2 THEN '#' || (i + 1) ELSE '#' || (i + 1) || '-#' || (n - 1) END AS gap FROM (SELECT series, i, lead(i) OVER (PARTITION BY series ORDER BY i) AS n FROM (SELECT DISTINCT series, CAST(series_index AS INT) AS i FROM t)) WHERE n > i + 1").replace("\n, t AS", ", t AS"))
-def gap_ranges_all(s: SparkSession, d: str) -> DataFrame:
+@query(sql("SELECT series, CASE WHEN n = i + 2 THEN '#' || (i + 1) ELSE '#' || (i + 1) || '-#' || (n - 1) END AS gap FROM (SELECT series, i, lead(i) OVER (PARTITION BY series ORDER BY i) AS n FROM (SELECT DISTINCT series, CAST(series_index AS INT) AS i FROM books)) WHERE n > i + 1"))
+def gap_ranges(s: SparkSession, d: str) -> DataFrame:
     return Q.gap_ranges(C.books(s, d), "series", "series_index").select("series", Q.range_text(F.col("first"), F.col("last")).alias("gap"))
 
 

@@ -71,6 +71,8 @@ NOW = date(2024, 5, 15)
     ("books by John Dickson Carr", {"author": "john dickson carr", "text": ""}), ("tagged as mystery", {"tag": "mystery"}), ("published in 1987", {"pubdate": "1987"}), ("rated 4", {"rating": 4}), ("5 stars", {"rating": 5}),
     ("in series Foundation", {"series": "foundation"}), ("manga naruto", {"content_type": "manga", "text": "naruto"}), ("dune from last month", {"added_after": "2024-04-01", "added_before": "2024-04-30", "text": "dune"}),
     ('"attention is all you need"', {"text": "attention is all you need"}), ("", {"text": ""}), ("german crime thriller stories in berlin", {"prefer_semantic_search": True, "language_hints": ["german"]}),
+    ("japan", {"language_hints": ["japan"], "prefer_semantic_search": False}), ("polish poetry", {"language_hints": ["polish"], "prefer_semantic_search": False}), ("swedish norwegian notes now", {"language_hints": ["swedish", "norwegian"], "prefer_semantic_search": True}),
+    ("locked room", {"prefer_semantic_search": True, "text": "locked room"}), ("how many books are there", {"prefer_semantic_search": True}), ("list all the books here", {"prefer_semantic_search": True}), ("about the boy", {"prefer_semantic_search": False}), ("recommend", {"prefer_semantic_search": False}),
 ])
 def test_requests(query, expected):
     got = nlquery.parse(query, NOW)

@@ -53,16 +53,16 @@ def test_entry():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name, table", [("progress_percent_all", "documents"), ("pivot_updates_all", "orders"), ("job_transition_all", "orders")])
+@pytest.mark.parametrize("name, table", [("progress_percent", "documents"), ("pivot_updates", "orders"), ("job_transition", "orders")])
 def test_every_row_has_a_result(spark, duck, name, table):
     assert registry.queries()[name](spark, DIRECTORY).count() == duck.execute(f"SELECT count(*) FROM {table}").fetchone()[0]
 
 
 def test_every_key_has_a_result(spark, duck):
     of = lambda name, key: {r[key] for r in registry.queries()[name](spark, DIRECTORY).collect()}
-    assert of("graph_degrees_all", "user") == {r[0] for r in duck.execute("SELECT DISTINCT l_suppkey FROM lineitem").fetchall()}
-    assert of("series_gaps_all", "series") == of("series_missing_from_one_all", "series") == {r[0] for r in duck.execute("SELECT DISTINCT p_brand FROM part").fetchall()}
-    assert len(of("cross_library_search_all", "library_name")) > 3
+    assert of("graph_degrees", "user") == {r[0] for r in duck.execute("SELECT DISTINCT l_suppkey FROM lineitem").fetchall()}
+    assert of("series_gaps", "series") == of("series_missing_from_one", "series") == {r[0] for r in duck.execute("SELECT DISTINCT p_brand FROM part").fetchall()}
+    assert len(of("cross_library_search", "library_name")) > 3
 
 
 def test_gaps_of_a_small_series(spark):
@@ -72,3 +72,22 @@ def test_gaps_of_a_small_series(spark):
     assert {r.series: r.missing for r in sequence.gaps(df, "series", "i").collect()} == {"a": [4, 5], "b": []}
     assert {r.series: r.missing for r in sequence.gaps(df, "series", "i", from_one=True).collect()} == {"a": [1, 4, 5], "b": []}
     assert [tuple(r) for r in sequence.gap_ranges(df, "series", "i").collect()] == [("a", 4, 5)]
+
+
+def test_requests_are_read_alike(spark):
+    """The column form against the parser of one request, over a table and over requests of every kind."""
+    import datetime
+
+    from pyspark.sql import functions as F
+
+    from foliomill.functions import nlquery
+
+    now = datetime.date(2024, 5, 15)
+    asked = ["books by Agatha Christie", "tagged as mystery", "published in 1987", "Rated 4", "in series Foundation", "dune", "what books do we have", "german thrillers from last  month", "title 3 stars", '"By the Sea" rated 5', "'only a title'", "manga naruto", "Some Comics", "show me", None, "", "  ",
+             "japan locked room puzzles", "polish crime and horror novels", "author Le Guin series Hainish", "list all the books about noir", "x added this week tag a b", "one two three four five six seven eight nine ten", "9 stars", "noir by somebody with plenty of words"]
+    rows = [(i, q) for i, q in enumerate(asked)]
+    rows += [(100 + i, r.text) for i, r in enumerate(spark.read.parquet(f"{DIRECTORY}/conversations.parquet").collect())]
+    df = spark.createDataFrame(rows, "id int, q string")
+    for r in nlquery.read_requests(df, "q", now).select("id", "q", F.col("parsed.*")).collect():
+        want = nlquery.parse(r.q, now)
+        assert {k: r[k] for k in vars(want)} == vars(want), r.q
