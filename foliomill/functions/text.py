@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,7 +59,8 @@ def bm25(docs: DataFrame, id_col: str, text: str, query: str, limit: int = 20, o
 
     One pass aggregates each document's length and the counts of the query's terms
     with higher-order functions, so no token is shuffled; only documents that hold
-    every term (any, for OR) go on.  A phrase also needs its words in sequence.
+    every term (any, for OR) go on.  A phrase also needs its words in sequence.  A
+    text that lacks a term's characters is not cut into words to be scored.
     """
     mode, terms = query_mode(query)
     if not terms:
@@ -66,14 +68,15 @@ def bm25(docs: DataFrame, id_col: str, text: str, query: str, limit: int = 20, o
     words = tokens(F.col(text))
     if stemmed:
         words, terms = F.transform(words, lambda w: stem(w)), [stem_word(t) for t in terms]
-    base = docs.select(F.col(id_col).alias("id"), words.alias("w"))
+    base = docs.select(F.col(id_col).alias("id"), words.alias("w"), F.lower(text).alias("low"))
     tf = [_count("w", t).alias(f"tf{i}") for i, t in enumerate(terms)]
-    runs = F.array_contains(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - len(terms), F.lit(0))), lambda i: F.array_join(F.slice("w", i + 1, len(terms)), " ")), " ".join(terms))
-    counted = base.select("id", F.size("w").alias("n"), *tf, (runs if mode == "phrase" and len(terms) > 1 else F.lit(True)).alias("in_order"))
+    either = or_ if mode == "or" else and_
+    in_order = F.contains(F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")), F.lit(f" {' '.join(terms)} ")) if mode == "phrase" and len(terms) > 1 else F.lit(True)
+    counted = base.select("id", F.size("w").alias("n"), *tf)
     totals = counted.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
-    has = [F.col(f"tf{i}") > 0 for i in range(len(terms))]
-    hit = reduce(lambda a, b: a | b, has) if mode == "or" else reduce(lambda a, b: a & b, has) & F.col("in_order")
-    scored = counted.filter(hit).crossJoin(F.broadcast(totals))  # one row of totals
+    may_hold = F.lit(True) if stemmed else reduce(either, [F.contains("low", F.lit(t)) for t in terms])
+    holds = reduce(either, [F.array_contains("w", t) for t in terms]) & in_order
+    scored = base.filter(may_hold & holds).select("id", F.size("w").alias("n"), *tf).crossJoin(F.broadcast(totals))  # one row of totals
     part = [
         F.log(1 + (F.col("docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("n") / F.col("mean")))
         for i in range(len(terms))

@@ -121,8 +121,9 @@ def needs_conversion(books: DataFrame, target: str, formats: str = "formats") ->
 
 
 def keep_newest(backups: DataFrame, k: int, ts: str = "modified", tie: str = "path") -> DataFrame:
-    """The backups that go: all but the newest ``k``."""
-    return backups.withColumn("_n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(ts), tie))).filter(F.col("_n") > k).drop("_n")
+    """The backups that go: all but the newest ``k``, which are a top-k and few enough to broadcast."""
+    stay = backups.orderBy(F.desc(ts), tie).limit(k).select(F.col(ts).alias("_ts"), F.col(tie).alias("_tie"))
+    return backups.join(F.broadcast(stay), F.col(ts).eqNullSafe(F.col("_ts")) & F.col(tie).eqNullSafe(F.col("_tie")), "left_anti")
 
 
 def target_path(author: Column, series: Column, index: Column, title: Column, ext: Column) -> Column:

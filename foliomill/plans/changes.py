@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +11,7 @@ from foliomill.operators import exports as X
 from foliomill.operators import mutations as M
 from foliomill.plans.search import sql
 from foliomill.registry import query
+from foliomill.session import shared_folder
 from foliomill.sources import catalog as C
 from foliomill.streaming import sessions as W
 
@@ -176,7 +175,7 @@ def _records(s: SparkSession, d: str) -> DataFrame:
 @query(sql("SELECT CAST(b.id AS VARCHAR) AS id, title, string_agg(name, ', ' ORDER BY a.id) AS authors, series, coalesce(CAST(any_value(rating) AS VARCHAR), '') AS rating, tag || ', ' || lower(tag) AS tags FROM books b JOIN links ON book = b.id JOIN authors a ON a.id = author LEFT JOIN ratings r ON r.book = b.id GROUP BY ALL"))
 def csv_export(s: SparkSession, d: str) -> DataFrame:
     """Written as CSV and read back."""
-    path = tempfile.mkdtemp(prefix="foliomill-csv-") if not (named := s.conf.get("spark.checkpoint.dir", None)) else f"{named}/exports/{s.sparkContext.applicationId}/csv"
+    path = f"{shared_folder(s)}/exports/{s.sparkContext.applicationId}/csv"
     X.write_csv(_records(s, d), path, ["id", "title", "authors", "series", "rating", "tags"])
     schema = "id string, title string, authors string, series string, rating string, tags string"
     return s.read.schema(schema).option("header", "true").option("escape", '"').csv(path).fillna("")
