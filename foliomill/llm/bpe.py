@@ -227,14 +227,18 @@ class Encoder(dict):
         self.pieces: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, cut: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.pattern.findall(cut):
-            got = self.pieces.get(piece)
-            if got is None:
-                got = self.transducer.encode(piece.encode())
-                if len(self.pieces) < MEMO and len(piece) <= MEMO_CHARS:
-                    self.pieces[piece] = got
-            ids += got
+        found, pieces, encode = self.pattern.findall(cut), self.pieces, self.transducer.encode
+        if len(found) == 1:  # kept as a cut, not as a piece too
+            ids = pieces.get(cut) or encode(cut.encode())
+        else:
+            ids = []
+            for piece in found:
+                got = pieces.get(piece)
+                if got is None:
+                    got = encode(piece.encode())
+                    if len(pieces) < MEMO and len(piece) <= MEMO_CHARS:
+                        pieces[piece] = got
+                ids += got
         packed = array("I", ids).tobytes()
         if len(self) < MEMO and len(cut) <= MEMO_CHARS:
             self[cut] = packed
