@@ -390,14 +390,16 @@ class Sets:
         # copies are left out of the keys
         copies = materialize(some.join(self.classes.filter("n > 1").select(*CLASS, "node"), CLASS).filter("uid <> node").select("uid"), "copies")
         reps = signed.filter(self.linking).join(small(copies), "uid", "left_anti").withColumnRenamed("uid", "node")
-        keys = reps.select("node", F.explode("keys").alias("g"))
+        # keys move once, as two longs; the grouping and the join below find them in place
+        keys = reps.select("node", F.explode("keys").alias("g")).repartition("g")
         digest = F.sum(F.xxhash64("node").cast("decimal(38,0)"))
         shared = keys.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"), digest.alias("members")).filter("n > 1")
+        filed = materialize(keys.join(shared, "g"), "filed")
         # keys with the same members count once
-        once = materialize(shared.groupBy("n", "members").agg(F.min("g").alias("g"), F.min("first").alias("first")).select("g", "first", "n"), "shared")
+        once = filed.filter(F.col("node") == F.col("first")).groupBy("n", "members").agg(F.min("g").alias("g")).select("g")
         blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        held = materialize(keys.join(once, "g").select("g", "node", "first", blocks.alias("blocks"), F.lit(0).cast("long").alias("size")), "tiles")
-        drop(once)
+        held = materialize(filed.join(once, "g").select("g", "node", "first", blocks.alias("blocks"), F.lit(0).cast("long").alias("size")), "tiles")
+        drop(filed)
         found = joined(held, reps.select("node", "n_shingles", "bits"), percent)
         drop(held)
         if found is None:
