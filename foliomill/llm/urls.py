@@ -8,8 +8,9 @@ host or any parent domain.
 Scale: captures are not exploded.  Distinct hosts (pre-aggregated) are matched to
 the lists by equi-join on their domain suffixes, and each host gets the array of
 its intervals, which is bounded by the list's own history of that domain.  One
-join brings the array to the captures: its host side is unique, so adaptive
-execution can split a host that holds a third of all captures.
+join brings the array to the captures: the listed hosts are broadcast up to a
+checked number and captures stay where they are; beyond it the host side is still
+unique, so adaptive execution can split a host that holds a third of all captures.
 
 Hosts are read as browsers read them: a web scheme may lack its slashes
 (``http:a.com``) and a link may lack its scheme (``//a.com/x``); user, port and a
@@ -29,6 +30,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import materialize, small
+
 MATCH = "array<struct<list:string,domain:string,valid_from:date,valid_to:date>>"
 
 
@@ -69,4 +72,5 @@ def evaluate(captures: DataFrame, events: DataFrame, url: str = "url", fetched:
     t = F.col("capture")[fetched]
     active = F.filter(F.coalesce("entries", F.array().cast(MATCH)), lambda e: (e["valid_from"] <= t) & (e["valid_to"].isNull() | (t < e["valid_to"])))
     kept = [F.col("capture")[c].alias(c) for c in captures.columns if c.lower() not in ("host", "matches")]
-    return named.join(of_host, "host", "left").withColumn("matches", active).select(*kept, "host", "matches")
+    listed = small(materialize(of_host, "listed"))
+    return named.join(listed, "host", "left").withColumn("matches", active).select(*kept, "host", "matches")
