@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, ctw, fingerprints, jaccard, licenses, packing, quality, secrets, urls
+from . import bpe, chat, ctw, fingerprints, jaccard, licenses, packing, quality, resampling, secrets, spelling, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -110,7 +110,15 @@ def op10_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_format, chat_typed_parts, op3_secret_scan, op4_quality_rules, op5_ngram_jaccard_join, op6_ctw_score, op7_byte_bpe, op8_url_filter, op9_license_scan, op10_merkle_fingerprint)}
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_format, chat_typed_parts, op3_secret_scan, op4_quality_rules, op5_ngram_jaccard_join, op6_ctw_score, op7_byte_bpe, op8_url_filter, op9_license_scan, op10_merkle_fingerprint, op12_spelling_variants, op13_importance_resampling)}
 
 _CHAT_SQL = rf"""
 WITH t AS (
@@ -203,4 +211,57 @@ SELECT doc_id, CAST(c AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, pa
   CAST({_like_sql('pa', 'pb')} AS DOUBLE) AS near_edited, CAST({_like_sql('pa', 'px')} AS DOUBLE) AS near_next, {_differing_sql('pa', 'pb')} AS differing_sections FROM p
 """
 
-ORACLES: dict[str, str] = {"op2_chat_format": _CHAT_SQL, "chat_typed_parts": _PARTS_SQL, "op8_url_filter": _URL_SQL, "op10_merkle_fingerprint": _FINGERPRINT_SQL}
+#: the crc32 of an ASCII or UTF-8 string, by a table of 256 remainders
+_CRC_TABLE = """crc AS (
+  SELECT list(list_reduce(generate_series(1, 8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i) ORDER BY i) AS remainders FROM generate_series(0, 255) g(i)
+)"""
+
+
+def _crc_sql(text: str) -> str:
+    digit = lambda at: f"(strpos('0123456789ABCDEF', substr(hex(encode({text})), {at}, 1)) - 1)"
+    return f"xor(4294967295, list_reduce(list_transform(generate_series(1, strlen({text})), lambda i: {digit('2 * i - 1')} * 16 + {digit('2 * i')}), lambda c, b: xor(remainders[xor(c, b) % 256 + 1], c // 256), 4294967295))"
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+_SPELLING_SQL = rf"""
+WITH {_CRC_TABLE}, runs AS (
+  SELECT doc_id, run, count(*) AS k
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[a-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents) GROUP BY doc_id, run
+), hashed AS (SELECT run, k, {_crc_sql("(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)")} AS h FROM runs, crc
+), words AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN h % 97 = 0 THEN left(run, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, k FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3
+), cut AS (
+  SELECT word, n, length(word) AS chars, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(generate_series(1, length(word))) AS i FROM (SELECT word, n, CAST(0 AS INT) FROM words)) s(word, n, i)
+), near AS (
+  SELECT a.word AS word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+), best AS (SELECT word, count(*) AS n_near, max(other_n) AS most, first(other ORDER BY other_n DESC, other) AS leader FROM near GROUP BY word),
+led AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * w.n THEN leader END AS form, CASE WHEN most >= 2 * w.n THEN most END AS form_n FROM words w LEFT JOIN best ON best.word = w.word),
+walk AS (SELECT word, word AS reached, 0 AS step FROM led UNION ALL SELECT walk.word, led.form, step + 1 FROM walk JOIN led ON led.word = walk.reached WHERE led.form IS NOT NULL)
+SELECT led.word, led.form, r.root, led.n, led.n_near, led.form_n FROM led JOIN (SELECT word, arg_max(reached, step) AS root FROM walk GROUP BY word) r ON r.word = led.word
+""".replace("WITH crc", "WITH RECURSIVE crc")
+
+_RESAMPLING_SQL = rf"""
+WITH {_CRC_TABLE}, d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), f AS (SELECT r, unnest(w) AS feature FROM d),
+b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS feature FROM benchmark),
+both_texts AS (SELECT feature, count(*) AS s, 0 AS t FROM f GROUP BY feature UNION ALL SELECT feature, 0, count(*) FROM b GROUP BY feature),
+distinct_features AS (SELECT feature, sum(s) AS s, sum(t) AS t FROM both_texts GROUP BY feature),
+hashed AS (SELECT feature, s, t, {_crc_sql('feature')} % 10000 AS bucket FROM distinct_features, crc),
+totals AS (SELECT coalesce(sum(s), 0) AS all_s, coalesce(sum(t), 0) AS all_t FROM hashed),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((CAST(sum(t) AS DOUBLE) + 1) * (CAST(any_value(all_s) AS DOUBLE) + 10000) / ((CAST(sum(s) AS DOUBLE) + 1) * (CAST(any_value(all_t) AS DOUBLE) + 10000)))) AS BIGINT) AS gain FROM hashed, totals GROUP BY bucket),
+summed AS (SELECT r, CAST(sum(gain) AS BIGINT) AS total, count(*) AS k FROM f JOIN hashed USING (feature) JOIN gains USING (bucket) GROUP BY r),
+scored AS (
+  SELECT doc_id, r, CAST(len(w) AS BIGINT) AS n_features, coalesce((total - ((total % k) + k) % k) // k, 0) AS weight, CAST(('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) AS h
+  FROM d LEFT JOIN summed USING (r)
+), s AS (SELECT doc_id, r, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM scored),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, r) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM s)
+SELECT doc_id, n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank, n_features AS n_words FROM placed
+"""
+
+ORACLES: dict[str, str] = {"op12_spelling_variants": _SPELLING_SQL, "op13_importance_resampling": _RESAMPLING_SQL, "op2_chat_format": _CHAT_SQL, "chat_typed_parts": _PARTS_SQL, "op8_url_filter": _URL_SQL, "op10_merkle_fingerprint": _FINGERPRINT_SQL}
