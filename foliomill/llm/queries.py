@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, ctw, fingerprints, jaccard, licenses, packing, quality, resampling, secrets, spelling, urls
+from . import bpe, chat, ctw, fingerprints, jaccard, licenses, neighbours, packing, quality, resampling, secrets, spelling, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -110,6 +110,10 @@ def op10_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(table(spark, sf_dir, "documents"))
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -118,7 +122,7 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_format, chat_typed_parts, op3_secret_scan, op4_quality_rules, op5_ngram_jaccard_join, op6_ctw_score, op7_byte_bpe, op8_url_filter, op9_license_scan, op10_merkle_fingerprint, op12_spelling_variants, op13_importance_resampling)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_format, chat_typed_parts, op3_secret_scan, op4_quality_rules, op5_ngram_jaccard_join, op6_ctw_score, op7_byte_bpe, op8_url_filter, op9_license_scan, op10_merkle_fingerprint, op11_nearest_neighbours, op12_spelling_variants, op13_importance_resampling)}
 
 _CHAT_SQL = rf"""
 WITH t AS (
