@@ -18,6 +18,7 @@ from foliomill.functions import scalars as S
 from foliomill.functions import text as X
 from foliomill.operators import dedupe, exports, mutations, predicates, relations, sequence, stats
 from foliomill.operators.relations import BookFilters, Linked
+from foliomill.operators.textindex import TextIndex
 
 Operation = Callable[..., DataFrame]
 
@@ -31,6 +32,7 @@ class Library:
     def __init__(self, tables: dict[str, DataFrame]):
         self.tables = dict(tables)
         self.collections = predicates.Collections()
+        self.text_index: TextIndex | None = None
         self.operations: dict[tuple[str, str], Operation] = {}
         for kind in ENTITIES:
             if ENTITIES[kind][0] in self.tables:
@@ -169,7 +171,13 @@ class Library:
                 stats=lambda: stats.coverage(c(), filled, F.length("text")),
                 by_letter=lambda letter: relations.by_letter(c().filter(filled), "title", letter),
             )
-            self._add("search_fulltext", search=lambda query, limit=20, offset=0, stemmed=False: X.bm25(t["comments"], "book", "text", query, limit, offset, stemmed))
+            self._add(
+                "search_fulltext",
+                search=lambda query, limit=20, offset=0, stemmed=False: X.bm25(t["comments"], "book", "text", query, limit, offset, stemmed),
+                build_index=self._build_text_index,
+                update_index=lambda changed, id="book", text="text": self._indexed().upsert(changed, id, text).texts().select("id", "n"),  # noqa: A002
+                find=self._find,
+            )
         self._add(
             "manage_times",
             added_in_range=lambda first=None, last=None, limit=50, offset=0: relations.page(t["books"].filter(relations.day_range(F.col("timestamp"), first, last)).orderBy(F.desc("timestamp"), "id"), limit, offset),
@@ -189,6 +197,21 @@ class Library:
             query=lambda name, limit=50, offset=0: relations.page(self.collections.query(name, t["books"]).orderBy("id"), limit, offset),
         )
 
+    def _indexed(self) -> TextIndex:
+        if self.text_index is None:
+            raise ValueError("build the index first: search_fulltext, build_index")
+        return self.text_index
+
+    def _build_text_index(self, path: str, stemmed: bool = False) -> DataFrame:
+        """A persisted index over the descriptions; (id, n) of what it holds."""
+        self.text_index = TextIndex(self.tables["books"].sparkSession, path).create(self.tables["comments"], "book", "text", stemmed)
+        return self.text_index.texts().select("id", "n")
+
+    def _find(self, query: str, limit: int = 20, offset: int = 0, enrich: bool = False) -> DataFrame:
+        """Ranked hits of the index with snippets, places and the total; with ``enrich`` the books' records too."""
+        hits = self._indexed().find(query, limit, offset)
+        return hits.join(relations.denormalise(self.tables), "id", "left").orderBy("rank") if enrich else hits.orderBy("rank")
+
     def _named(self, *names: str) -> DataFrame:
         return self.tables["books"].sparkSession.createDataFrame([(n,) for n in names], "name string")
 
