@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliomill.operators.textindex import TextIndex
+from foliomill.operators.vectorindex import VectorIndex
 from foliomill.plans.texts import _bm25_sql
 from foliomill.registry import query
 from foliomill.session import shared_folder
@@ -92,3 +93,58 @@ def fts_after_update(s: SparkSession, d: str) -> DataFrame:
         index.upsert(even.withColumn("text", F.expr("left(text, length(text) div 2)")), "doc_id")
         index.delete(docs.filter("doc_id % 7 = 0"), "doc_id")
     return index.search("apache OR license", 50)
+
+
+# --- vectors ------------------------------------------------------------------------------
+
+
+def vector_index(s: SparkSession, d: str) -> VectorIndex:
+    path, new = folder(s, d, "vectors")
+    index = VectorIndex(s, path)
+    return index.build(C.table(s, d, "embeddings"), "vec_id", "embedding", list_rows=100) if new else index
+
+
+def _asked(s: SparkSession, d: str, every: int) -> DataFrame:
+    return C.table(s, d, "embeddings").filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+def _join_sql(every: int, k: int, rows: str = "embeddings") -> str:
+    d2 = "list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))"
+    return f"SELECT query_id, rank, id, round(distance, 6) AS distance FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INT) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, sqrt({d2}) AS distance FROM {rows} e, embeddings q WHERE q.vec_id % {every} = 0 AND e.vec_id <> q.vec_id)) WHERE rank <= {k}"
+
+
+_rounded = lambda df: df.withColumn("distance", F.round("distance", 6))
+
+
+@query(_join_sql(10, 5))
+def knn_join(s: SparkSession, d: str) -> DataFrame:
+    """The five nearest rows of every tenth row, exactly."""
+    return _rounded(vector_index(s, d).nearest(_asked(s, d, 10), 5, leave_out_own=True))
+
+
+@query(_join_sql(10, 5, "(SELECT * FROM embeddings WHERE label IN (1, 2))"))
+def knn_join_filtered(s: SparkSession, d: str) -> DataFrame:
+    may = C.table(s, d, "embeddings").filter("label in (1, 2)").select("vec_id")
+    return _rounded(vector_index(s, d).nearest(_asked(s, d, 10), 5, where=may, leave_out_own=True))
+
+
+@query("SELECT count(*) AS vectors, 64 AS width, CAST(1 AS BIGINT) AS duplicates FROM embeddings")
+def vector_index_rebuilt(s: SparkSession, d: str) -> DataFrame:
+    """A second build without force adds nothing: all vectors once, each id with at most ``duplicates`` rows."""
+    path, new = folder(s, d, "rebuilt")
+    index = VectorIndex(s, path)
+    if new:
+        rows = C.table(s, d, "embeddings")
+        index.build(rows, "vec_id", "embedding").build(rows, "vec_id", "embedding")
+    twice = index.rows().groupBy("id").count().agg(F.max("count").alias("duplicates"))
+    return index.info().select("vectors", "width").join(twice)
+
+
+@query()
+def knn_join_recall(s: SparkSession, d: str) -> DataFrame:
+    """Of the five nearest, the share that a search of half the lists finds, over every tenth row."""
+    index, asked = vector_index(s, d), _asked(s, d, 10)
+    exact = index.nearest(asked, 5, leave_out_own=True).select("query_id", "id")
+    lists = index.info().select("lists").first()[0]
+    some = index.nearest(asked, 5, lists=max(1, -(-lists // 2)), leave_out_own=True).select("query_id", "id", F.lit(1).alias("hit"))
+    return exact.join(some, ["query_id", "id"], "left").agg(F.count("*").alias("wanted"), F.round(F.sum(F.coalesce("hit", F.lit(0))) / F.count("*"), 4).alias("recall"))
