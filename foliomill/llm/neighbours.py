@@ -5,7 +5,9 @@ distance.  A sample of at most ``SAMPLE`` vectors is halved again and again into
 clusters of equal size, whose means are the lists' centroids.  Every vector goes to
 its nearest list, and to further ones that are nearly as near (it lies on a boundary
 then).  A query walks a graph of the centroids, which each task holds in memory, and
-reads the lists whose distance is at most ``RATIO`` times the smallest.
+reads the lists whose distance is at most ``RATIO`` times the smallest.  The sample,
+which the tasks hold too, says what the k-th best of all scores at least, so a list
+sends only what is no worse.
 
 Equal vectors are indexed once with the ``k + 1`` smallest of their ids: no later id
 can be among k nearest, since ties go to smaller ids.  A list's rows and its
@@ -89,12 +91,22 @@ def halves(points: np.ndarray, most: int) -> list[np.ndarray]:
 
 @dataclass
 class Lists:
-    """Centroids of the posting lists, their graph, and the vectors' greatest norm."""
+    """Centroids of the posting lists, their graph, the vectors' greatest norm, and the sampled vectors."""
 
     centroids: np.ndarray
     graph: np.ndarray
     norm: float
     size: int
+    sample: np.ndarray
+
+    def least(self, vectors: np.ndarray, k: int) -> np.ndarray:
+        """For each query a product that ``k`` of the indexed vectors reach: that of its ``k``-th best in the sample."""
+        if len(self.sample) < k:
+            return np.full(len(vectors), -np.inf)
+        out, step = np.empty(len(vectors)), max(1, HELD // len(self.sample))
+        for i in range(0, len(vectors), step):
+            out[i : i + step] = np.partition(vectors[i : i + step] @ self.sample.T, -k, axis=1)[:, -k]
+        return out - 1e-9 * (1 + np.abs(out))
 
     def lifted(self, vectors: np.ndarray) -> np.ndarray:
         """Vectors with the coordinate that brings them to the greatest norm."""
@@ -151,8 +163,8 @@ class Lists:
 def fit(kinds: DataFrame, n: int, size: int, norm: float, sample: int = SAMPLE, most_lists: int = MOST_LISTS, list_rows: int = LIST_ROWS) -> Lists:
     """Centroids and their graph from at most ``sample`` vectors, picked by a hash of their digest."""
     picked = kinds.orderBy(F.xxhash64("h"), "h").limit(sample).select("v").toPandas()["v"]
-    lists = Lists(np.zeros((1, size + 1)), np.zeros((1, 1), int), norm, size)
-    points = lists.lifted(matrix(picked, size))
+    lists = Lists(np.zeros((1, size + 1)), np.zeros((1, 1), int), norm, size, matrix(picked, size))
+    points = lists.lifted(lists.sample)
     wanted = max(1, min(most_lists, -(-n // list_rows), len(points)))
     lists.centroids = np.array([points[own].mean(0) for own in halves(points, -(-len(points) // wanted))])
     degree = min(DEGREE, len(lists.centroids) - 1)
@@ -183,7 +195,7 @@ def postings(kinds: DataFrame, lists: Lists) -> DataFrame:
 
 
 def probes(asked: DataFrame, lists: Lists, held: dict[int, int], need: int, ratio: float = RATIO) -> DataFrame:
-    """(list, h, v): the lists that each query reads.
+    """(list, h, v, least): the lists that each query reads, and what its ``need``-th best scores at least.
 
     ``held`` has the ids whose nearest list is that one.  Where the lists that the
     ratio selects hold fewer than ``need``, the next nearest follow.
@@ -199,7 +211,8 @@ def probes(asked: DataFrame, lists: Lists, held: dict[int, int], need: int, rati
         for f in frames:
             for i in range(0, len(f), step):
                 part = f.iloc[i : i + step]
-                points = to.asked(matrix(part["v"], to.size))
+                vectors = matrix(part["v"], to.size)
+                points, least = to.asked(vectors), to.least(vectors, need)
                 take = to.near(points, ratio)
                 short = np.flatnonzero(take @ sizes < need)
                 if len(short):
@@ -209,17 +222,18 @@ def probes(asked: DataFrame, lists: Lists, held: dict[int, int], need: int, rati
                 at, which = np.nonzero(take)
                 out = part.iloc[at].copy()
                 out.insert(0, "list", which)
+                out["least"] = least[at]
                 yield out
 
-    return asked.select("h", "v").mapInPandas(run, "list int, h string, v array<double>")
+    return asked.select("h", "v").mapInPandas(run, "list int, h string, v array<double>, least double")
 
 
-def best(queries: np.ndarray, rows: np.ndarray, members: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, score) of the ``k`` best ids of each query; the product of two vectors is the same wherever it is made."""
+def best(queries: np.ndarray, rows: np.ndarray, members: list[np.ndarray], least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score) of the ``k`` best ids of each query that score ``least``; the product of two vectors is the same wherever it is made."""
     dots = queries @ rows.T
-    least = np.sort(dots, axis=1)[:, -min(k, dots.shape[1])][:, None]
     room = 1e-9 * np.sqrt(np.square(queries).sum(1).max() * np.square(rows).sum(1).max())
-    q, r = np.nonzero(dots >= least - room)
+    here = np.partition(dots, -min(k, dots.shape[1]), axis=1)[:, -min(k, dots.shape[1])]
+    q, r = np.nonzero(dots >= np.maximum(here, least)[:, None] - room)
     score = np.empty(len(q))
     step = max(1, HELD // rows.shape[1])
     for i in range(0, len(q), step):
@@ -232,13 +246,13 @@ def best(queries: np.ndarray, rows: np.ndarray, members: list[np.ndarray], k: in
     q, score, vec = np.repeat(q, n), np.repeat(score, n), ids[np.repeat(first[r], n) + inside]
     order = np.lexsort((vec, -score, q))
     q, score, vec = q[order], score[order], vec[order]
-    start = np.r_[True, q[1:] != q[:-1]]
+    start = np.r_[True, q[1:] != q[:-1]][: len(q)]
     place = np.arange(len(q)) - np.maximum.accumulate(np.where(start, np.arange(len(q)), 0))
     return q[place < k], vec[place < k], score[place < k]
 
 
 def candidates(posted: DataFrame, asked: DataFrame, size: int, k: int, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
-    """(h, vec_id, score): the ``k`` best ids of each block of a list that a query reads."""
+    """(h, vec_id, score): of each block of a list that a query reads, the ``k`` best ids that score enough."""
     spark = posted.sparkSession
     lengths = {r["list"]: r["n"] for r in posted.groupBy("list").agg(F.count("*").alias("n")).collect()}
     waiting = {r["list"]: r["n"] for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect()}
@@ -246,12 +260,12 @@ def candidates(posted: DataFrame, asked: DataFrame, size: int, k: int, block_row
     by = F.broadcast(spark.createDataFrame(blocks, "list int, row_blocks int, query_blocks int"))
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     here = posted.join(by, "list").select("list", F.pmod(F.xxhash64("h"), "row_blocks").cast("int").alias("rb"), every("query_blocks").alias("qb"), "v", "members")
-    there = asked.join(by, "list").select("list", every("row_blocks").alias("rb"), F.pmod(F.xxhash64("h"), "query_blocks").cast("int").alias("qb"), "h", "v")
+    there = asked.join(by, "list").select("list", every("row_blocks").alias("rb"), F.pmod(F.xxhash64("h"), "query_blocks").cast("int").alias("qb"), "h", "v", "least")
 
     def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(queries):
             return pd.DataFrame({"h": [], "vec_id": [], "score": []})
-        q, vec, score = best(matrix(queries["v"], size), matrix(rows["v"], size), [np.asarray(m) for m in rows["members"]], k)
+        q, vec, score = best(matrix(queries["v"], size), matrix(rows["v"], size), [np.asarray(m) for m in rows["members"]], queries["least"].to_numpy(), k)
         return pd.DataFrame({"h": queries["h"].to_numpy()[q], "vec_id": vec, "score": score})
 
     key = ["list", "rb", "qb"]
