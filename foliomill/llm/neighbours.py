@@ -5,9 +5,9 @@ distance.  A sample of at most ``SAMPLE`` vectors is halved again and again into
 clusters of equal size, whose means are the lists' centroids.  Every vector goes to
 its nearest list, and to further ones that are nearly as near (it lies on a boundary
 then).  A query walks a graph of the centroids, which each task holds in memory, and
-reads the lists whose distance is at most ``RATIO`` times the smallest.  The sample,
-which the tasks hold too, says what the k-th best of all scores at least, so a list
-sends only what is no worse.
+reads the lists whose distance is at most ``RATIO`` times the smallest.  The sampled
+vectors of these lists, which the tasks hold too, say what the k-th best scores at
+least, so a list sends only what is no worse.
 
 Equal vectors are indexed once with the ``k + 1`` smallest of their ids: no later id
 can be among k nearest, since ties go to smaller ids.  A list's rows and its
@@ -98,15 +98,17 @@ class Lists:
     norm: float
     size: int
     sample: np.ndarray
+    home: np.ndarray
 
-    def least(self, vectors: np.ndarray, k: int) -> np.ndarray:
-        """For each query a product that ``k`` of the indexed vectors reach: that of its ``k``-th best in the sample."""
+    def least(self, vectors: np.ndarray, read: np.ndarray, k: int) -> np.ndarray:
+        """For each query a product that ``k`` vectors of the lists it reads reach: that of the ``k``-th best sampled one there."""
+        out, step = np.full(len(vectors), -np.inf), max(1, HELD // len(self.sample))
         if len(self.sample) < k:
-            return np.full(len(vectors), -np.inf)
-        out, step = np.empty(len(vectors)), max(1, HELD // len(self.sample))
+            return out
         for i in range(0, len(vectors), step):
-            out[i : i + step] = np.partition(vectors[i : i + step] @ self.sample.T, -k, axis=1)[:, -k]
-        return out - 1e-9 * (1 + np.abs(out))
+            dots = np.where(read[i : i + step][:, self.home], vectors[i : i + step] @ self.sample.T, -np.inf)
+            out[i : i + step] = np.partition(dots, -k, axis=1)[:, -k]
+        return out - 1e-9 * np.where(np.isfinite(out), 1 + np.abs(out), 0)
 
     def lifted(self, vectors: np.ndarray) -> np.ndarray:
         """Vectors with the coordinate that brings them to the greatest norm."""
@@ -163,10 +165,12 @@ class Lists:
 def fit(kinds: DataFrame, n: int, size: int, norm: float, sample: int = SAMPLE, most_lists: int = MOST_LISTS, list_rows: int = LIST_ROWS) -> Lists:
     """Centroids and their graph from at most ``sample`` vectors, picked by a hash of their digest."""
     picked = kinds.orderBy(F.xxhash64("h"), "h").limit(sample).select("v").toPandas()["v"]
-    lists = Lists(np.zeros((1, size + 1)), np.zeros((1, 1), int), norm, size, matrix(picked, size))
+    lists = Lists(np.zeros((1, size + 1)), np.zeros((1, 1), int), norm, size, matrix(picked, size), np.zeros(len(picked), int))
     points = lists.lifted(lists.sample)
     wanted = max(1, min(most_lists, -(-n // list_rows), len(points)))
     lists.centroids = np.array([points[own].mean(0) for own in halves(points, -(-len(points) // wanted))])
+    for i in range(0, len(points), 256):
+        lists.home[i : i + 256] = lists.distances(points[i : i + 256]).argmin(1)
     degree = min(DEGREE, len(lists.centroids) - 1)
     graph = [np.argsort(lists.distances(lists.centroids[i : i + 256]), axis=1, kind="stable")[:, : degree + 1] for i in range(0, len(lists.centroids), 256)]
     own = np.arange(len(lists.centroids))
@@ -212,7 +216,7 @@ def probes(asked: DataFrame, lists: Lists, held: dict[int, int], need: int, rati
             for i in range(0, len(f), step):
                 part = f.iloc[i : i + step]
                 vectors = matrix(part["v"], to.size)
-                points, least = to.asked(vectors), to.least(vectors, need)
+                points = to.asked(vectors)
                 take = to.near(points, ratio)
                 short = np.flatnonzero(take @ sizes < need)
                 if len(short):
@@ -222,7 +226,7 @@ def probes(asked: DataFrame, lists: Lists, held: dict[int, int], need: int, rati
                 at, which = np.nonzero(take)
                 out = part.iloc[at].copy()
                 out.insert(0, "list", which)
-                out["least"] = least[at]
+                out["least"] = to.least(vectors, take, need)[at]
                 yield out
 
     return asked.select("h", "v").mapInPandas(run, "list int, h string, v array<double>, least double")

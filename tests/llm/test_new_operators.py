@@ -101,7 +101,7 @@ def test_halving_is_balanced_and_whole():
 def test_walk_finds_what_a_scan_finds():
     rng = np.random.default_rng(2)
     c = rng.normal(size=(400, 9))
-    lists = neighbours.Lists(c, np.zeros((1, 1), int), 1.0, 8, c[:5, :8])
+    lists = neighbours.Lists(c, np.zeros((1, 1), int), 1.0, 8, c[:5, :8], np.zeros(5, int))
     own = np.arange(400)
     lists.graph = np.hstack([np.argsort(lists.distances(c), axis=1)[:, : neighbours.DEGREE + 1], np.roll(own, 1)[:, None], np.roll(own, -1)[:, None]])
     points = rng.normal(size=(50, 9))
