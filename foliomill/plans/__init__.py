@@ -1,3 +1,3 @@
 """Named queries over the driver tables; importing registers them."""
 
-from foliomill.plans import changes, indexes, scalars, search, statistics, texts, vector, windows  # noqa: F401
+from foliomill.plans import changes, indexes, scalars, search, statistics, streams, texts, vector, windows  # noqa: F401

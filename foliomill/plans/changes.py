@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -218,6 +220,5 @@ def session_windows(s: SparkSession, d: str) -> DataFrame:
 def streamed_totals(s: SparkSession, d: str) -> DataFrame:
     """The events read as a stream and aggregated to the end."""
     e = W.read_events(s, f"{d}/events.parque[t]")
-    name = f"streamed_totals_{abs(hash(d)) % 10**6}"
-    done = W.run_once(e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), name, "complete")
+    done = W.run_once(e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), f"{shared_folder(s)}/totals-{uuid.uuid4().hex}", "complete")
     return done.select("event_type", "n", F.round("total", 4).alias("total"))

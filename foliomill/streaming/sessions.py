@@ -54,13 +54,20 @@ def goals(events: DataFrame, target: float, key: str = "user_id", value: str = "
     return events.groupBy(key).applyInPandasWithState(step, GOAL, "total double", "update", GroupStateTimeout.NoTimeout)
 
 
-def run_once(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Everything that is there now, into a memory table."""
-    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    writer.start().awaitTermination()
-    return stream.sparkSession.table(name)
+def run_once(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Everything that is there now, as files in ``folder``; called again, it goes on from its checkpoint.
+
+    Complete mode keeps the last batch, the others the rows of all batches.
+    """
+    spark, out = stream.sparkSession, f"{folder}/out"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", out).start().awaitTermination()
+    else:
+        # a batch that is run again replaces what it wrote
+        at = (lambda number: out) if mode == "complete" else (lambda number: f"{out}/batch={number}")
+        writer.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(at(number))).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 def write_latest(stream: DataFrame, path: str, keys: list[str], ts: str, checkpoint: str):

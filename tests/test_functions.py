@@ -190,9 +190,9 @@ def test_streams_equal_batches(spark, tmp_path):
     df.repartition(3).write.parquet(str(tmp_path / "e"))
     stream = W.read_events(spark, str(tmp_path / "e"))
     batch = sorted(map(tuple, df.groupBy("user_id").agg(F.sum("value").alias("t")).collect()))
-    got = W.run_once(stream.groupBy("user_id").agg(F.sum("value").alias("t")), "t_totals", "complete")
+    got = W.run_once(stream.groupBy("user_id").agg(F.sum("value").alias("t")), str(tmp_path / "t"), "complete")
     assert sorted(map(tuple, got.collect())) == batch
-    state = W.run_once(W.goals(stream, 20.0), "t_goals", "update", str(tmp_path / "c"))
+    state = W.run_once(W.goals(stream, 20.0), str(tmp_path / "g"), "update")
     last = {r.user_id: r.total for r in state.groupBy("user_id").agg(F.max("total").alias("total")).collect()}
     assert sorted(last.items()) == batch
-    assert W.sessions(df, "90 minutes").count() == W.run_once(W.sessions(stream, "90 minutes"), "t_sessions", "complete").count()
+    assert W.sessions(df, "90 minutes").count() == W.run_once(W.sessions(stream, "90 minutes"), str(tmp_path / "s"), "complete").count()
