@@ -94,7 +94,7 @@ class Library:
             return df
 
         if kind == "tags":
-            doubles = lambda least=0.8: dedupe.fuzzy_groups(self._used("tags"), F.lit(0), least)  # noqa: E731  tags are a small vocabulary: one block
+            doubles = lambda least=0.8: dedupe.fuzzy_groups(self._used("tags"), None, least)
 
             def merge(sources: list[int], target: int) -> DataFrame:
                 n = mutations.affected(self.tables[link], key, sources)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import math
-from collections import Counter
+import uuid
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliomill.session import shared_folder
+
 
 def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
@@ -31,39 +32,64 @@ def _may_reach(a: Column, b: Column, least: float) -> Column:
     return 2 * F.least(F.length(a), F.length(b)) >= least * (F.length(a) + F.length(b)) - 1e-9
 
 
-#: letters from rare to common; an order that is the same for all names, so only speed depends on it
-_RARE_FIRST = "zqxjkvbpgwyfmucldrhsnioate "
+def _numbered(parts: Column) -> Column:
+    """Each element with the number of its occurrence, so that sets overlap as the lists do."""
+    return F.transform(parts, lambda x, i: F.concat(x, F.size(F.filter(F.slice(parts, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
 
 
-def _letters(name: str) -> list[str]:
-    """Each character with the number of its occurrence, rare ones first: a set that overlaps as the characters do."""
-    seen: Counter = Counter()
-    out = []
-    for c in name:
-        seen[c] += 1
-        out.append((_RARE_FIRST.find(c) - 4 * (seen[c] - 1), c, seen[c]))
-    return [f"{c}{n}" for _, c, n in sorted(out)]
+def _spans(c: Column, width: int) -> Column:
+    """The runs of ``width`` characters of a text that is long enough, numbered."""
+    some = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - width + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(width)))
+    return F.when(F.length(c) >= width, _numbered(some)).otherwise(F.array().cast("array<string>"))
 
 
-def _candidates(n: DataFrame, least: float, before: Column) -> DataFrame:
-    """Pairs (a, b) of rows of ``n``, which has ``low``, that can reach ``least``; none that does is left out.
+def _rarest(texts: DataFrame, width: int, need: Column) -> DataFrame:
+    """(low, first): of each text the first spans, the rarest first: all but ``need`` - 1.
 
-    The ratio is 2 m / (sum of lengths) with m matched characters, at most the
-    common ones of ``_letters``.  A pair that reaches ``least`` has at least
-    length * least / (2 - least) in common on either side, so the first letters
-    beyond that number share one: the join is an equi-join on it, and a pair is
-    kept at the first letter that it shares.
+    Two texts that share ``need`` spans share one of the first.
     """
+    each = texts.select("low", F.explode(_spans(F.col("low"), width)).alias("span"))
+    often = each.groupBy("span").agg(F.count("*").alias("often"))
+    order = each.join(often, "span").groupBy("low").agg(F.sort_array(F.collect_list(F.struct("often", "span"))).alias("order"))
+    spans = F.transform("order", lambda s: s["span"])
+    return order.select("low", F.slice(spans, F.lit(1), F.greatest(F.size("order") - need + 1, F.lit(0))).alias("first"))
+
+
+def _met(named: DataFrame, first: DataFrame, least: float, before: Column) -> DataFrame:
+    """Pairs of rows that share a first span and have letters enough in common, each at the rarest span that they share."""
+    columns = named.columns
+    rows = named.join(first, "low").withColumn("letters", _spans(F.col("low"), 1)).withColumn("k", F.explode("first"))
+    pairs = rows.alias("a").join(rows.alias("b"), (F.col("a.k") == F.col("b.k")) & before & _may_reach(F.col("a.low"), F.col("b.low"), least))
+    once = F.element_at(F.array_intersect("a.first", "b.first"), 1) == F.col("a.k")
+    common = F.size(F.array_intersect("a.letters", "b.letters"))
+    kept = pairs.filter(once & (2 * common >= least * (F.length("a.low") + F.length("b.low")) - 1e-9))
+    return kept.select(*[F.struct(*[f"{side}.{c}" for c in columns]).alias(side) for side in ("a", "b")])
 
-    def first(names: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else _letters(x)[: len(x) - math.ceil(len(x) * least / (2 - least) - 1e-9) + 1] if x else [""] for x in names])
 
-    letters = F.pandas_udf(lambda names: pd.Series([None if x is None else _letters(x) for x in names]), "array<string>")
-    keyed = n.withColumn("letters", letters("low")).withColumn("first", F.pandas_udf(first, "array<string>")("low")).withColumn("k", F.explode("first"))
-    pairs = keyed.alias("a").join(keyed.alias("b"), (F.col("a.k") == F.col("b.k")) & before & _may_reach(F.col("a.low"), F.col("b.low"), least))
-    common = F.size(F.array_intersect("a.letters", "b.letters"))
-    once = F.element_at(F.array_intersect("a.first", "b.first"), 1) == F.col("a.k")
-    return pairs.filter(once & (2 * common >= least * (F.length("a.low") + F.length("b.low")) - 1e-9))
+def _candidates(n: DataFrame, least: float, before: Column) -> DataFrame:
+    """Pairs (a, b) of rows of ``n``, which has ``low``, that can reach ``least``; none that does is left out.
+
+    The ratio is 2 m / (sum of lengths) with m matched characters.  They lie in at
+    most (1 - ratio) * (sum of lengths) + 1 runs, since between two runs some
+    character is unmatched, so a pair that reaches ``least`` shares m - runs bigrams
+    or more; its shorter name has least / (2 - least) of the longer one's length.
+    Names meet by the rarest of their bigrams.  A pair of which one name is too
+    short to be sure of a shared bigram meets by its rarest letters.
+    """
+    part = least / (2 - least)
+    named = n.filter("low is not null")
+    texts = named.select("low").distinct()
+    sure = (1 + part) * (1.5 * least - 1)  # bigrams a character, less one
+    short = 1 / sure if sure > 0 else float("inf")
+    chars = F.length("low")
+    letters = _rarest(texts.filter((chars > 0) & (chars <= short / part)), 1, F.ceil(chars * part - 1e-9).cast("int"))
+    empty = texts.filter(chars == 0).select("low", F.array(F.lit("")).alias("first"))
+    by_letters = _met(named, letters.unionByName(empty), least, before)
+    if sure <= 0:
+        return by_letters
+    is_short = (F.length("a.low") <= short) | (F.length("b.low") <= short)
+    bigrams = _rarest(texts.filter(chars > short), 2, F.ceil(chars * sure - 1 - 1e-9).cast("int"))
+    return _met(named, bigrams, least, before).unionByName(by_letters.filter(is_short))
 
 
 def similar_pairs(names: DataFrame, block: Column | None = None, least: float = 0.8, key: str = "id", name: str = "name") -> DataFrame:
@@ -96,17 +122,25 @@ def _groups_of_pairs(names: DataFrame, least: float) -> DataFrame:
     """``fuzzy_groups`` over all names: ``greedy_groups`` in rounds over the similar pairs.
 
     A name that no earlier open name is like leads; the names it is like are taken.
-    A taken name goes to the first leader that it is like.
+    A taken name goes to the first leader that it is like.  Each round's tables are
+    written to the shared folder, so a lost executor costs no round.
     """
-    edges = similar_pairs(names, None, least).select("a", "b").localCheckpoint()
-    taken, open_ = None, edges
+    spark, folder = names.sparkSession, f"{shared_folder(names.sparkSession)}/groups-{uuid.uuid4().hex}"
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    edges = written(similar_pairs(names, None, least).select("a", "b"), "edges")
+    open_, number = edges, 0
     while not open_.isEmpty():
         lead = open_.select("a").distinct().join(open_.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-        new = open_.join(lead, "a", "left_semi").select("b").distinct().localCheckpoint()
-        taken = new if taken is None else taken.unionByName(new)
-        open_ = open_.join(new, "b", "left_anti").join(new.withColumnRenamed("b", "a"), "a", "left_anti").localCheckpoint()
-    if taken is None:
+        new = written(open_.join(lead, "a", "left_semi").select("b").distinct(), f"taken/round={number}")
+        open_ = written(open_.join(new, "b", "left_anti").join(new.withColumnRenamed("b", "a"), "a", "left_anti"), f"open-{number}")
+        number += 1
+    if not number:
         return names.select(F.col("id").cast("long").alias("canonical"), F.array(F.col("id").cast("long")).alias("members")).limit(0)
+    taken = spark.read.schema(edges.select("b").schema).parquet(f"{folder}/taken").select("b")
     owned = edges.join(taken, "b", "left_semi").join(taken.withColumnRenamed("b", "a"), "a", "left_anti").groupBy("b").agg(F.min("a").alias("a"))
     members = owned.select("a", F.col("b").alias("id")).unionByName(owned.select("a", F.col("a").alias("id")).distinct())
     used = members.join(names.select("id", "books"), "id").withColumn("id", F.col("id").cast("long"))

@@ -57,7 +57,7 @@ def top_groups(scored: DataFrame, group: str, score: str, groups: int, per_group
 
 
 def embed(docs: DataFrame, id_col: str, text: str, model: Callable[[list[str]], list[list[float]]], batch: int = 128) -> DataFrame:
-    """(id, vector) by an injected model, in batches."""
+    """(id, vector) by an injected model, in batches; the id is of whatever type it was."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -65,7 +65,8 @@ def embed(docs: DataFrame, id_col: str, text: str, model: Callable[[list[str]],
                 part = f.iloc[i : i + batch]
                 yield pd.DataFrame({"id": part["id"], "vector": model(part["text"].fillna("").tolist())})
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInPandas(run, "id long, vector array<double>")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, vector array<double>")
 
 
 def hashed_embedding(texts: list[str], width: int = 64) -> list[list[float]]:

@@ -58,10 +58,10 @@ def merge_tags_affected(s: SparkSession, d: str) -> DataFrame:
     return M.affected(C.book_authors(s, d), "author", [3, 4])
 
 
-@query("SELECT c_custkey AS id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def delete_unused(s: SparkSession, d: str) -> DataFrame:
     c = C.table(s, d, "customer").select(F.col("c_custkey").alias("id"))
-    return M.drop_unused(c, C.table(s, d, "orders").filter("o_orderstatus = 'P'"), "o_custkey")
+    return M.drop_unused(c, C.table(s, d, "orders"), "o_custkey")
 
 
 @query("SELECT n_nationkey AS id, CASE WHEN n_nationkey = 2 THEN 'TWO' ELSE n_name END AS name, n_regionkey AS region FROM nation UNION ALL SELECT 77, 'SEVENTY', 1")

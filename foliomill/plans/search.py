@@ -18,7 +18,7 @@ ROLES = """
 books AS (SELECT p_partkey AS id, p_name AS title, p_brand AS publisher, p_brand AS series, CAST(p_size AS DOUBLE) AS series_index, p_type AS tag, p_retailprice AS size FROM part),
 authors AS (SELECT s_suppkey AS id, s_name AS name, s_nationkey AS nation, s_acctbal AS balance FROM supplier),
 links AS (SELECT DISTINCT l_partkey AS book, l_suppkey AS author FROM lineitem),
-ratings AS (SELECT l_partkey AS book, min(l_linenumber) AS rating FROM lineitem WHERE l_linenumber <= 5 AND l_partkey % 3 <> 0 GROUP BY l_partkey)
+ratings AS (SELECT l_partkey AS book, min(l_linenumber) AS rating FROM lineitem WHERE l_linenumber <= 5 GROUP BY l_partkey)
 """
 
 

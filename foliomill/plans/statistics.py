@@ -23,11 +23,18 @@ def library_totals(s: SparkSession, d: str) -> DataFrame:
     return T.one_row({"b": b, "a": a, "o": o})
 
 
-@query("""SELECT field, value, count(*) AS n FROM (SELECT 'flag' AS field, l_returnflag AS value FROM lineitem UNION ALL SELECT 'status', l_linestatus FROM lineitem UNION ALL SELECT 'line', CAST(l_linenumber AS VARCHAR) FROM lineitem
-UNION ALL SELECT 'year', CAST(year(l_shipdate) AS VARCHAR) FROM lineitem UNION ALL SELECT 'weekday', dayname(l_shipdate) FROM lineitem) GROUP BY ALL""")
+_NINE = {"format": "l_returnflag", "language": "l_linestatus", "publisher": "p_brand", "series": "p_name", "rating": "l_linenumber", "year": "year(l_shipdate)", "day": "dayname(l_shipdate)", "tag": "p_type", "author": "s_name"}
+
+
+_EACH = " UNION ALL ".join(f"SELECT '{k}' AS field, CAST({c} AS VARCHAR) AS value FROM j" for k, c in _NINE.items())
+
+
+@query(f"WITH j AS (SELECT * FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey) SELECT field, value, count(*) AS n FROM ({_EACH}) GROUP BY ALL")
 def nine_histograms(s: SparkSession, d: str) -> DataFrame:
-    l = C.table(s, d, "lineitem")  # noqa: E741
-    return T.histograms(l, {"flag": F.col("l_returnflag"), "status": F.col("l_linestatus"), "line": F.col("l_linenumber"), "year": F.year("l_shipdate"), "weekday": F.date_format("l_shipdate", "EEEE")})
+    """The nine fields of a library's statistics, counted in one pass over its lines."""
+    lines = C.table(s, d, "lineitem").join(C.table(s, d, "part"), F.col("p_partkey") == F.col("l_partkey")).join(C.table(s, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    own = {"year": F.year("l_shipdate"), "day": F.date_format("l_shipdate", "EEEE")}
+    return T.histograms(lines, {k: own[k] if k in own else F.col(c) for k, c in _NINE.items()})
 
 
 @query("SELECT o_orderpriority AS key, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, key")
@@ -73,20 +80,22 @@ def top_authors(s: SparkSession, d: str) -> DataFrame:
     return counted.join(C.authors(s, d).select(F.col("id").alias("author"), F.col("name").alias("key")), "author").select("key", "n").orderBy(F.desc("n"), "key").limit(10)
 
 
-@query("SELECT count(*) AS single, CAST(sum(n) AS BIGINT) AS parts, (SELECT min(length(p_name)) FROM part) AS shortest, (SELECT max(length(p_name)) FROM part) AS longest FROM (SELECT p_name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) <= 25)")
+@query("SELECT count(*) AS single, CAST(sum(n) AS BIGINT) AS parts, (SELECT min(length(p_name)) FROM part) AS shortest, (SELECT max(length(p_name)) FROM part) AS longest, (SELECT round(avg(length(p_name)), 6) FROM part) AS mean FROM (SELECT p_name, p_brand, p_size, count(*) AS n FROM part GROUP BY ALL HAVING count(*) = 1)")
 def single_book_authors(s: SparkSession, d: str) -> DataFrame:
+    """Groups of exactly one, and the lengths of all names."""
     p = C.table(s, d, "part")
-    few = p.groupBy("p_name").count().filter("count <= 25").agg(F.count(F.lit(1)).alias("single"), F.sum("count").alias("parts"))
-    return T.one_row({"a": few, "b": p.agg(F.min(F.length("p_name")).cast("long").alias("shortest"), F.max(F.length("p_name")).cast("long").alias("longest"))})
+    one = p.groupBy("p_name", "p_brand", "p_size").count().filter("count = 1").agg(F.count(F.lit(1)).alias("single"), F.sum("count").alias("parts"))
+    n = F.length("p_name")
+    return T.one_row({"a": one, "b": p.agg(F.min(n).cast("long").alias("shortest"), F.max(n).cast("long").alias("longest"), F.round(F.avg(n), 6).alias("mean"))})
 
 
 def _tag_usage(s: SparkSession, d: str) -> DataFrame:
-    """Users as tags of the large events."""
+    """Users as tags of the events."""
     users = C.table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    return T.usage(users, C.table(s, d, "events").filter("value > 50"), "user_id")
+    return T.usage(users, C.table(s, d, "events"), "user_id")
 
 
-_USAGE = "u AS (SELECT c_custkey AS id, c_name AS name, coalesce(n, 0) AS books FROM customer LEFT JOIN (SELECT user_id, count(*) AS n FROM events WHERE value > 50 GROUP BY 1) ON user_id = c_custkey)"
+_USAGE = "u AS (SELECT c_custkey AS id, c_name AS name, coalesce(n, 0) AS books FROM customer LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY 1) ON user_id = c_custkey)"
 
 
 @query(f"WITH {_USAGE} SELECT count(*) AS total, count(*) FILTER (books = 0) AS unused, count(*) FILTER (books > 0) AS used, round(avg(books), 6) AS mean_books FROM u")
@@ -99,9 +108,9 @@ def unused_tags(s: SparkSession, d: str) -> DataFrame:
     return _tag_usage(s, d).filter("books = 0").select("id", "name")
 
 
-@query(f"WITH {_USAGE} SELECT id, books FROM u WHERE books BETWEEN 3 AND 9 ORDER BY books DESC, id LIMIT 50")
+@query(f"WITH {_USAGE} SELECT id, books FROM u WHERE books BETWEEN 1 AND 80 ORDER BY books DESC, id LIMIT 50")
 def tags_by_count(s: SparkSession, d: str) -> DataFrame:
-    return _tag_usage(s, d).filter("books between 3 and 9").select("id", "books").orderBy(F.desc("books"), "id").limit(50)
+    return _tag_usage(s, d).filter("books between 1 and 80").select("id", "books").orderBy(F.desc("books"), "id").limit(50)
 
 
 @query("SELECT CAST(year(o_orderdate) AS INT) AS year, CAST(month(o_orderdate) AS INT) AS month, count(*) AS n FROM orders GROUP BY 1, 2")
@@ -175,10 +184,12 @@ def group_concat_distinct(s: SparkSession, d: str) -> DataFrame:
     return C.table(s, d, "documents").groupBy("lang").agg(F.concat_ws("|", F.array_sort(F.collect_set("source"))).alias("sources"))
 
 
-@query(sql("SELECT id, concat_ws(',', CASE WHEN r.book IS NULL THEN 'rating' END, CASE WHEN e.book IS NULL THEN 'return' END) AS missing FROM books b LEFT JOIN ratings r ON r.book = b.id LEFT JOIN (SELECT DISTINCT l_partkey AS book FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40) e ON e.book = b.id WHERE r.book IS NULL OR e.book IS NULL"))
+@query("SELECT d.doc_id AS id, concat_ws(',', CASE WHEN l.doc_id IS NULL THEN 'label' END, CASE WHEN q.doc_id IS NULL THEN 'good' END) AS missing FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) q ON q.doc_id = d.doc_id WHERE l.doc_id IS NULL OR q.doc_id IS NULL")
 def books_without_metadata(s: SparkSession, d: str) -> DataFrame:
-    ret = C.table(s, d, "lineitem").filter("l_returnflag = 'R' and l_quantity > 40").select(F.col("l_partkey").alias("id"))
-    out = T.missing_metadata(C.books(s, d), {"rating": C.ratings(s, d).select(F.col("book").alias("id")), "return": ret}, [])
+    """Texts without a label, or without a good one."""
+    labels = C.table(s, d, "labels")
+    parts = {"label": labels.select(F.col("doc_id").alias("id")), "good": labels.filter("quality = 1").select(F.col("doc_id").alias("id"))}
+    out = T.missing_metadata(C.table(s, d, "documents").select(F.col("doc_id").alias("id")), parts, [])
     return out.select("id", F.array_join("missing", ",").alias("missing"))
 
 

@@ -69,9 +69,9 @@ def searchable_text(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def embedded_chunks(s: SparkSession, d: str) -> DataFrame:
-    """Fixed chunks embedded by an injected model (a hashing one: no model is available offline)."""
+    """Fixed chunks under keys of record and number, embedded by an injected model: a stand-in of hashed words, since no model is available offline."""
     rows = chunking.chunk_rows(C.table(s, d, "documents"), "doc_id", "text", chunking.fixed_chunks(F.col("text")))
-    return V.embed(rows.withColumn("n", F.col("id") * 1000 + F.col("chunk_index")), "n", "text", V.hashed_embedding)
+    return V.embed(rows.withColumn("key", F.concat(F.lit("b"), F.col("id").cast("string"), F.lit("_i"), F.col("chunk_index").cast("string"))), "key", "text", V.hashed_embedding)
 
 
 @query()

@@ -146,7 +146,7 @@ def test_similar_names_match_all_pairs(spark):
     df = spark.createDataFrame([(i, x, i % 5) for i, x in enumerate(names)], "id long, name string, books long").repartition(3)
     low = [x.lower() for x in names]
     like = lambda i, j: SequenceMatcher(None, low[i], low[j]).ratio()
-    for least in (0.75, 0.8):
+    for least in (0.6, 0.75, 0.8):
         want = {(i, j) for i in range(len(low)) for j in range(i + 1, len(low)) if like(i, j) >= least}
         got = [(r.a, r.b) for r in dedupe.similar_pairs(df, least=least).collect()]
         assert len(got) == len(set(got)) and set(got) == want and (2, 3) in want and (0, 1) in want
