@@ -54,19 +54,17 @@ class Merges:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token_bytes = {i: b for b, i in ranks.items()}
-        self.longest = max(map(len, ranks))
-        self.prefixes = {b[:k] for b in ranks for k in range(1, len(b))}
         #: token -> the two that were merged into it, and back
         self.parts: dict[int, tuple[int, int]] = {}
         for b, i in ranks.items():
             if len(b) > 1 and len(made := self.merge(b, below=i)) == 2:
                 self.parts[i] = (made[0], made[1])
         self.merged = {p: i for i, p in self.parts.items()}
-        self._fits: dict[int, bool] = {}
+        self.fits = Fits(self)
 
     def forget(self) -> None:
         """Drop the memo of compatible pairs."""
-        self._fits.clear()
+        self.fits.clear()
 
     def merge(self, word: bytes, below: int | None = None) -> list[int]:
         """BPE by ranks, with merges under ``below`` only."""
@@ -89,30 +87,103 @@ class Merges:
         tokens that touched must not have had a merge of a rank below the next
         one that was in fact done on either side.
         """
-        key = a << 32 | b
-        known = self._fits.get(key)
-        if known is None:
-            left, right, least, known = a, b, 1 << 31, True
-            while True:
-                if self.merged.get((left, right), 1 << 31) < least:
-                    known = False
-                    break
-                p, q = self.parts.get(left), self.parts.get(right)
-                if p is None and q is None:
-                    break
-                # the later of the two merges is undone first; of equal ones the right is the later
-                if q is None or (p is not None and left > right):
-                    least, left = left, p[1]
-                else:
-                    least, right = right + 1, q[0]
-            self._fits[key] = known
+        left, right, least = a, b, 1 << 31
+        while True:
+            if self.merged.get((left, right), 1 << 31) < least:
+                return False
+            p, q = self.parts.get(left), self.parts.get(right)
+            if p is None and q is None:
+                return True
+            # the later of the two merges is undone first; of equal ones the right is the later
+            if q is None or (p is not None and left > right):
+                least, left = left, p[1]
+            else:
+                least, right = right + 1, q[0]
+
+
+class Fits(dict):
+    """Memo of ``Merges.fit`` by both tokens in one number."""
+
+    def __init__(self, merges: Merges):
+        super().__init__()
+        self.merges = merges
+
+    def __missing__(self, key: int) -> bool:
+        known = self[key] = self.merges.fit(key >> 32, key & 0xFFFFFFFF)
         return known
 
 
-#: a state: the last committed token (-1 at the start), pending bytes, and for each
-#: pending prefix its last token
-State = tuple[int, bytes, tuple[int, ...]]
-START: State = (-1, b"", ())
+class Branch:
+    """A node of the trie of tokens: the token that ends here (-1: none), and what follows by byte."""
+
+    __slots__ = ("token", "below")
+
+    def __init__(self) -> None:
+        self.token = -1
+        self.below: dict[int, Branch] = {}
+
+
+class Node(dict):
+    """A state, which maps the next byte to (state, tokens that are then certain).
+
+    It stands for the last committed token (-1 at the start), the open starts, each
+    a place in the pending bytes and what may follow there, and the last token of
+    each prefix of the pending bytes.  Transitions are made when first asked for.
+    """
+
+    __slots__ = ("committed", "machine", "open", "last", "tail")
+
+    def __init__(self, machine: Transducer, committed: int, open_: tuple[tuple[int, dict], ...], last: tuple[int, ...]):
+        self.machine, self.committed, self.open, self.last = machine, committed, open_, last
+        #: the tokens of the pending bytes, if the piece ends here
+        self.tail: tuple[int, ...] | None = None
+
+    def __missing__(self, byte: int) -> tuple[Node, tuple[int, ...]]:
+        """Make the transition."""
+        machine, committed, last = self.machine, self.committed, self.last
+        n, found, open_, fits = len(last), -1, [], machine.m.fits
+        for j, below in self.open:
+            at = below.get(byte)
+            if at is None:
+                continue
+            if found < 0 <= at.token:
+                # the last token is the longest that fits what precedes it
+                before = last[j - 1] if j else committed
+                if before < 0 or fits[before << 32 | at.token]:
+                    found = at.token
+            if at.below:
+                open_.append((j, at.below))
+        if (at := machine.root.get(byte)) is None:
+            raise ValueError("bytes that the vocabulary does not cover")
+        if found < 0:
+            found = at.token
+        if at.below:
+            open_.append((n, at.below))
+        last += (found,)
+        # each end's predecessor is where its token starts; what all ways share ends where they meet
+        size, cut = machine.size, open_[0][0] if open_ else n + 1
+        if cut:
+            for j in (*[j for j, _ in open_], n + 1):
+                while cut and j != cut:
+                    if j > cut:
+                        j -= size[last[j - 1]]
+                    else:
+                        cut -= size[last[cut - 1]]
+                if not cut:
+                    break
+        out: tuple[int, ...] = ()
+        if cut:
+            out = machine.chain(last, cut)
+            committed, last, open_ = out[-1], last[cut:], [(j - cut, below) for j, below in open_]
+        # the last tokens of all prefixes spell the pending bytes, from which the open starts follow
+        key = (committed, last)
+        made = machine.nodes.get(key)
+        if made is None:
+            if len(machine.nodes) >= MAX_STATES:
+                machine.clear()
+            made = machine.nodes[key] = Node(machine, committed, tuple(open_), last)
+        got = self[byte] = (made, out)
+        return got
 
 
 class Transducer:
@@ -121,101 +192,56 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.m = Merges(ranks)
         self.size = {i: len(b) for b, i in ranks.items()}
-        #: bytes -> token, for the tokens that merging can reach
-        self.reached = {b: i for b, i in ranks.items() if len(b) == 1 or i in self.m.parts}
-        self.clear()
+        #: what follows at a start: the trie of the tokens that merging can reach
+        self.root: dict[int, Branch] = {}
+        for b, i in ranks.items():
+            if len(b) == 1 or i in self.m.parts:
+                below = self.root
+                for byte in b:
+                    if byte not in below:
+                        below[byte] = Branch()
+                    at = below[byte]
+                    below = at.below
+                at.token = i
+        self.start = Node(self, -1, (), ())
+        self.nodes: dict[tuple, Node] = {}
 
     def clear(self) -> None:
-        self.ids: dict[State, int] = {START: 0}
-        self.states: list[State] = [START]
-        self.next: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.ends: dict[int, tuple[int, ...]] = {}
-        self.looks: dict[bytes, tuple] = {}
+        """Forget all states but the start; states refer to one another, so their transitions are taken from them."""
+        for node in self.nodes.values():
+            node.clear()
+        self.nodes.clear()
+        self.start.clear()
         self.m.forget()
 
-    def _chain(self, last: tuple[int, ...], end: int) -> list[int]:
-        """Ends of the tokens that make up the first ``end`` pending bytes."""
+    def chain(self, last: tuple[int, ...], end: int) -> tuple[int, ...]:
+        """The tokens that make up the first ``end`` pending bytes."""
         out = []
         while end:
-            out.append(end)
+            out.append(last[end - 1])
             end -= self.size[last[end - 1]]
-        return out[::-1]
-
-    def _look(self, pending: bytes) -> tuple[tuple[tuple[int, int], ...], tuple[int, ...]]:
-        """Tokens that end the pending bytes, longest first, with their starts; and where later ones can start."""
-        n, reached, prefixes = len(pending), self.reached, self.m.prefixes
-        ends, live = [], []
-        for j in range(max(0, n - self.m.longest), n):
-            rest = pending[j:]
-            if rest in reached:
-                ends.append((j, reached[rest]))
-            # a later token can start where the rest is the start of some token, or at the end
-            if rest in prefixes:
-                live.append(j)
-        return tuple(ends), (*live, n)
-
-    def step(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
-        """The next state and the tokens that are now certain."""
-        committed, pending, last = state
-        pending += bytes((byte,))
-        seen = self.looks.get(pending)
-        if seen is None:
-            seen = self.looks[pending] = self._look(pending)
-        ends, live = seen
-        fit = self.m.fit
-        for j, t in ends:  # the last token is the one that fits what precedes it
-            before = last[j - 1] if j else committed
-            if before < 0 or fit(before, t):
-                last += (t,)
-                break
-        else:
-            raise ValueError("bytes that the vocabulary does not cover")
-        # each end's predecessor is where its token starts; what all ways share ends where they meet
-        size, cut = self.size, live[0]
-        for j in live:
-            if not cut:
-                return (committed, pending, last), ()
-            while j != cut:
-                if j > cut:
-                    j -= size[last[j - 1]]
-                else:
-                    cut -= size[last[cut - 1]]
-        if not cut:
-            return (committed, pending, last), ()
-        out = tuple(last[e - 1] for e in self._chain(last, cut))
-        return (out[-1], pending[cut:], last[cut:]), out
-
-    def finish(self, state: State) -> tuple[int, ...]:
-        _, pending, last = state
-        return tuple(last[e - 1] for e in self._chain(last, len(pending)))
+        return tuple(out[::-1])
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         whole = self.m.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        if len(self.states) > MAX_STATES:
-            self.clear()
-        s, out = 0, []
+        node, out = self.start, []
         for byte in piece:
-            key = s << 8 | byte
-            got = self.next.get(key)
-            if got is None:
-                state, emitted = self.step(self.states[s], byte)
-                i = self.ids.setdefault(state, len(self.states))
-                if i == len(self.states):
-                    self.states.append(state)
-                got = self.next[key] = (i, emitted)
-            s, emitted = got
+            node, emitted = node[byte]
             if emitted:
                 out += emitted
-        tail = self.ends.get(s)
-        if tail is None:
-            tail = self.ends[s] = self.finish(self.states[s])
-        return (*out, *tail)
+        if node.tail is None:
+            node.tail = self.chain(node.last, len(node.last))
+        return (*out, *node.tail)
 
 
 class Encoder(dict):
-    """Cut of a text -> packed ids, memoised in bounded memory."""
+    """Cut of a text -> packed ids, memoised in bounded memory.
+
+    A full memo becomes the old one, which is asked before a cut is encoded anew, so
+    what is still in use stays.
+    """
 
     def __init__(self, path: str, pattern: str):
         super().__init__()
@@ -225,22 +251,32 @@ class Encoder(dict):
         self.transducer = Transducer(read_ranks(path))
         #: the same for single matches of the pattern, which cuts share
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, bytes] = {}
+        self.old_pieces: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, cut: str) -> bytes:
-        found, pieces, encode = self.pattern.findall(cut), self.pieces, self.transducer.encode
-        if len(found) == 1:  # kept as a cut, not as a piece too
-            ids = pieces.get(cut) or encode(cut.encode())
-        else:
-            ids = []
-            for piece in found:
-                got = pieces.get(piece)
-                if got is None:
-                    got = encode(piece.encode())
-                    if len(pieces) < MEMO and len(piece) <= MEMO_CHARS:
-                        pieces[piece] = got
-                ids += got
-        packed = array("I", ids).tobytes()
-        if len(self) < MEMO and len(cut) <= MEMO_CHARS:
+        packed = self.old.get(cut)
+        if packed is None:
+            found, pieces, encode = self.pattern.findall(cut), self.pieces, self.transducer.encode
+            if len(found) == 1:  # kept as a cut, not as a piece too
+                ids = pieces.get(cut) or self.old_pieces.get(cut) or encode(cut.encode())
+            else:
+                ids = []
+                for piece in found:
+                    got = pieces.get(piece)
+                    if got is None:
+                        got = self.old_pieces.get(piece) or encode(piece.encode())
+                        if len(piece) <= MEMO_CHARS:
+                            if len(pieces) >= MEMO:
+                                self.old_pieces, pieces = pieces, {}
+                                self.pieces = pieces
+                            pieces[piece] = got
+                    ids += got
+            packed = array("I", ids).tobytes()
+        if len(cut) <= MEMO_CHARS:
+            if len(self) >= MEMO:
+                self.old = dict(self)
+                self.clear()
             self[cut] = packed
         return packed
 
