@@ -584,6 +584,27 @@ def test_states_can_be_forgotten(monkeypatch):
         assert list(t.encode(w.encode())) == t.m.merge(w.encode())
 
 
+def test_one_very_long_piece(monkeypatch):
+    """States stay bounded inside a piece, and forgetting them changes no id."""
+    rng = random.Random(2)
+    piece = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(60_000))
+    want = brute.tiktoken_ids(BYTE_BPE, public_tokenizers.PATTERN)(piece)
+    t = bpe.Transducer(bpe.read_ranks(BYTE_BPE))
+    monkeypatch.setattr(bpe, "MAX_STATES", 1_000)
+    assert list(t.encode(piece.encode())) == want
+    assert len(t.nodes) <= 1_000
+
+
+def test_full_memos_keep_what_is_in_use(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 20)
+    enc, want = bpe.Encoder(BYTE_BPE, public_tokenizers.PATTERN), brute.tiktoken_ids(BYTE_BPE, public_tokenizers.PATTERN)
+    rng = random.Random(4)
+    for _ in range(200):
+        text = " ".join(rng.choice(["the", "river,", "stone's", "x1", "été"]) + str(rng.randrange(50)) for _ in range(10))
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == want(text)
+    assert len(enc) <= 20 and len(enc.old) <= 20 and len(enc.pieces) <= 20
+
+
 def test_decoder_keeps_started_characters():
     m = bpe.Utf8Decoder()
     assert [m.feed(bytes([b])) for b in "é東".encode()] == ["", "é", "", "", "東"]
