@@ -7,16 +7,17 @@ written until the caller writes it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliomill.functions import nlquery
 from foliomill.functions import scalars as S
 from foliomill.functions import text as X
-from foliomill.operators import dedupe, exports, mutations, predicates, relations, sequence, stats
+from foliomill.operators import dedupe, exports, fusion, mutations, predicates, relations, sequence, stats
 from foliomill.operators.relations import BookFilters, Linked
 from foliomill.operators.textindex import TextIndex
 
@@ -142,14 +143,26 @@ class Library:
             return relations.page(relations.ordered(hits, sort_by, descending), f.limit, f.offset)
 
         def ask(query: str, now: Any, **fields: Any) -> DataFrame:
-            """A request in natural language; explicit fields win over parsed ones."""
+            """A request in natural language; explicit fields win over parsed ones.
+
+            A request that reads as a question goes to the text index first, if there is
+            one; the parsed search answers where the index finds nothing.
+            """
             p = nlquery.parse(query, now)
             parsed: dict[str, Any] = {"author": p.author, "tag": p.tag, "series": p.series, "rating": p.rating, "search": p.text or None}
             if p.pubdate:
                 parsed["pubdate"] = (f"{p.pubdate}-01-01", f"{p.pubdate}-12-31")
             if p.added_after:
                 parsed["added"] = (p.added_after, p.added_before)
-            return search(**({k: v for k, v in parsed.items() if v is not None} | fields))
+            found = search(**({k: v for k, v in parsed.items() if v is not None} | fields))
+            if not p.prefer_semantic_search or self.text_index is None:
+                return found
+            words = nlquery.without_question(F.lit(query))
+            subject = found.sparkSession.range(1).select(words.alias("s")).first()["s"]
+            hits = self.text_index.search(" OR ".join(re.findall(r"[^\W_]+", subject)) or subject, fields.get("limit", 50))
+            one = lambda df, *order: df.select(F.lit(1).alias("question"), "id", F.row_number().over(Window.orderBy(*order)).alias("rank"))  # noqa: E731  a page of rows
+            chosen = fusion.first_or_else(one(hits, F.desc("score"), "id"), one(found, "title", "id"))
+            return t["books"].join(chosen.select("id", "rank", "fallback"), "id").orderBy("rank")
 
         self._add(
             "query_books",

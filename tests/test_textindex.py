@@ -145,3 +145,19 @@ def test_library_searches_its_index(library, tmp_path):
     lib.run("search_fulltext", "update_index", changed=library["comments"].limit(1).withColumn("text", F.lit("a lighthouse")))
     hit = lib.run("search_fulltext", "find", query="lighthouse", enrich=True).collect()
     assert [(r["id"], r["title"], r["total"]) for r in hit] == [(1, "A Study in Scarlet", 1)]
+
+
+def test_questions_go_to_the_index_first(library, tmp_path):
+    from datetime import date
+
+    from foliomill.functions import nlquery
+    from foliomill.library import Library
+
+    texts = library["comments"].withColumn("text", F.when(F.col("book") == 3, "a lighthouse keeper and lonely love").otherwise(F.col("text")))
+    lib = Library(library | {"comments": texts})
+    lib.run("search_fulltext", "build_index", path=str(tmp_path / "i"))
+    ask = lambda q: [(r["id"], r["fallback"]) for r in lib.run("query_books", "ask", query=q, now=date(2024, 5, 1)).collect()]
+    question = "what books do we have about a lonely lighthouse keeper"
+    assert nlquery.parse(question, date(2024, 5, 1)).prefer_semantic_search
+    assert ask(question) == [(3, False)]
+    assert all(back for _, back in ask("what books do we have about zeppelins"))
