@@ -271,11 +271,16 @@ def at_detail(df: DataFrame, level: str = "standard") -> DataFrame:
 
 
 def across(catalogs: dict[str, DataFrame], query: Callable[[DataFrame], DataFrame], limit: int = 50) -> DataFrame:
-    """The same query over several catalogs, rows tagged with the catalog, the first ``limit``."""
+    """The same query over several catalogs of their own, rows tagged with the catalog, the first ``limit``."""
     parts = [query(df).withColumn("library_name", F.lit(n)) for n, df in catalogs.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).orderBy("library_name", "id").limit(limit)
 
 
+def within(rows: DataFrame, query: Callable[[DataFrame], DataFrame], limit: int = 50) -> DataFrame:
+    """The same over rows that carry their ``library_name``: one scan however many libraries there are."""
+    return query(rows).orderBy("library_name", "id").limit(limit)
+
+
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, since: list[str]) -> DataFrame:
     """(key, change): rows added, modified (in the ``since`` columns) or deleted."""
     pick = lambda df, p: df.select(F.col(key).alias(f"{p}_k"), F.struct(*since).alias(f"{p}_v"))

@@ -7,12 +7,15 @@ bounds the state that late rows can touch.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from foliomill.sources.versions import Versions
+
 
 def read_events(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     """A directory of event Parquet files as a stream."""
@@ -70,14 +73,40 @@ def run_once(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def write_latest(stream: DataFrame, path: str, keys: list[str], ts: str, checkpoint: str):
-    """Latest row per key, rewritten by each micro-batch; a replayed batch gives the same table."""
-    from foliomill.operators.mutations import latest
+def latest_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What ``write_latest`` has in ``path``."""
+    v = Versions(spark, path)
+    buckets = v.read().get("buckets", {})
+    parts = [v.table(f"{name}/bucket={b}", schema) for b, name in sorted(buckets.items())]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = f"{path}/v{number - 1}"
-        new = batch if number == 0 else batch.unionByName(spark.read.parquet(old))
-        latest(new, keys, ts).write.mode("overwrite").parquet(f"{path}/v{number}")
+def merge_latest(batch: DataFrame, number: int, path: str, keys: list[str], ts: str, buckets: int = 64) -> list[int]:
+    """The latest row of each key after a batch; the buckets of keys that were written anew.
+
+    Keys are dealt in buckets by hash, and only buckets with keys of the batch are
+    written.  The new state names old files for the others.  A batch whose number the
+    state has already changes nothing.
+    """
+    from foliomill.operators.mutations import latest
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    spark, v = batch.sparkSession, Versions(batch.sparkSession, path)
+    state = v.read()
+    if number <= state.get("batch", -1):
+        return []
+    held = state.get("buckets", {})
+    rows = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    touched = sorted(r[0] for r in rows.select("bucket").distinct().collect())  # at most ``buckets``
+    old = [v.table(f"{held[str(b)]}/bucket={b}", batch.schema).withColumn("bucket", F.lit(b)) for b in touched if str(b) in held]
+    name = v.name("rows")
+    merged = latest(reduce(DataFrame.unionByName, old, rows), [*keys, "bucket"], ts)
+    if touched:
+        v.write(merged.repartition("bucket"), name, "bucket")
+    v.commit(state | {"batch": number, "buckets": held | {str(b): name for b in touched}})
+    return touched
+
+
+def write_latest(stream: DataFrame, path: str, keys: list[str], ts: str, checkpoint: str, buckets: int = 64):
+    """Latest row per key, kept up by each micro-batch where it has keys; a replayed batch gives the same table."""
+    writer = stream.writeStream.foreachBatch(lambda batch, number: merge_latest(batch, number, path, keys, ts, buckets) and None)
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True)

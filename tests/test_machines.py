@@ -143,3 +143,37 @@ def test_store_setting_is_put_back(spark):
 def test_no_events(spark):
     none = frame(spark, made(1, 1, [M.GET])).limit(0)
     assert M.sessions_by_command(none, HOUR).collect() == [] and M.values_at(none, HOUR).collect() == []
+
+
+# --- latest rows, kept up by a stream ---------------------------------------------------------
+
+
+def test_latest_rows_touch_only_their_buckets(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "k long, ts long, v string"
+    make = lambda rows: spark.createDataFrame(rows, schema)
+    table = lambda: {r.k: (r.ts, r.v) for r in W.latest_table(spark, path, schema).collect()}
+    assert table() == {}
+    everything = W.merge_latest(make([(i, 1, "a") for i in range(200)]), 0, path, ["k"], "ts", buckets=16)
+    assert everything == list(range(16))
+    before = W.Versions(spark, path).read()["buckets"]
+    touched = W.merge_latest(make([(3, 2, "b"), (3, 1, "old"), (500, 1, "new")]), 1, path, ["k"], "ts", buckets=16)
+    after = W.Versions(spark, path).read()["buckets"]
+    assert 1 <= len(touched) <= 2 and {b for b in after if after[b] != before[b]} == set(map(str, touched))
+    want = {i: (1, "a") for i in range(200)} | {3: (2, "b"), 500: (1, "new")}
+    assert table() == want
+    # the same batch again, as after a lost commit
+    assert W.merge_latest(make([(3, 9, "x")]), 1, path, ["k"], "ts", buckets=16) == [] and table() == want
+    assert W.merge_latest(make([]), 2, path, ["k"], "ts", buckets=16) == [] and table() == want
+    W.Versions(spark, path).sweep()
+    assert table() == want
+
+
+def test_latest_rows_from_a_stream(spark, tmp_path):
+    rows = [(i % 7, i, f"v{i}") for i in range(60)]
+    for part in (rows[:20], rows[20:40], rows[40:]):
+        spark.createDataFrame(part, "k long, ts long, v string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = W.read_events(spark, str(tmp_path / "in"))
+    for _ in range(2):
+        W.write_latest(stream, str(tmp_path / "t"), ["k"], "ts", str(tmp_path / "c"), 4).start().awaitTermination()
+    got = {r.k: r.v for r in W.latest_table(spark, str(tmp_path / "t"), "k long, ts long, v string").collect()}
+    assert got == {i % 7: f"v{i}" for i in range(53, 60)}
