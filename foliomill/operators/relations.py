@@ -14,8 +14,6 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: rows below which a dimension is broadcast; its size is bounded by a limit on reading, not assumed
-DIMENSION_LIMIT = 100_000
 
 
 def like(c: Column, text: str) -> Column:

@@ -103,6 +103,26 @@ def goal_progress(s: DataFrame, key: str, ts: str, value: str, target: float, ti
     return run.groupBy(key).agg(F.sum(value).cast("double").alias("total"), F.min(F.when(F.col("_sum") >= target, F.col(ts))).alias("reached_at")).select(key, "total", F.round(F.least(F.lit(100.0), F.col("total") * 100 / target), 2).alias("progress"), F.round(F.greatest(F.lit(0.0), target - F.col("total")), 2).alias("remaining"), "reached_at")
 
 
+def goals_by_metric(sessions: DataFrame, goals: DataFrame, key: str = "user", ts: str = "start", tie: str = "id") -> DataFrame:
+    """(key, metric, target, total, progress, reached_at) for every goal (key, metric, target) over its key's sessions.
+
+    A metric is ``sessions`` (one each), ``minutes``, ``pages``, or ``books``: each
+    book counts once, when a session first brings its ``progress_end`` to 0.9.  Goals
+    of other metrics have a total of 0.
+    """
+    done = F.col("progress_end") >= 0.9
+    first = F.min(F.when(done, F.struct(ts, tie))).over(Window.partitionBy(key, "book"))
+    rows = sessions.withColumn("_book", F.coalesce((done & (F.struct(ts, tie) == first)).cast("double"), F.lit(0.0)))
+    amount = lambda metric, c: F.struct(F.lit(metric).alias("metric"), F.coalesce(c.cast("double"), F.lit(0.0)).alias("amount"))
+    each = F.array(amount("sessions", F.lit(1)), amount("minutes", F.col("minutes")), amount("pages", F.col("pages")), amount("books", F.col("_book")))
+    parts = rows.select(key, ts, tie, F.explode(each).alias("x")).select(key, ts, tie, "x.*")
+    run = parts.withColumn("_sum", F.sum("amount").over(Window.partitionBy(key, "metric").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)))
+    out = goals.select(key, "metric", "target").join(run, [key, "metric"], "left").groupBy(key, "metric", "target")
+    out = out.agg(F.coalesce(F.sum("amount"), F.lit(0.0)).alias("total"), F.min(F.when(F.col("_sum") >= F.col("target"), F.col(ts))).alias("reached_at"))
+    share = F.coalesce(F.try_divide(F.col("total") * 100, F.col("target")), F.lit(100.0))
+    return out.select(key, "metric", "target", "total", F.round(F.least(F.lit(100.0), share), 2).alias("progress"), "reached_at")
+
+
 def daily_target(remaining: Column, days_left: Column) -> Column:
     """Amount for each day that is left, the present one included."""
     return remaining / (days_left + 1)

@@ -128,3 +128,24 @@ def degrees(edges: DataFrame) -> DataFrame:
 def one_row(parts: dict[str, DataFrame]) -> DataFrame:
     """Several single-row aggregates side by side."""
     return reduce(lambda a, b: a.crossJoin(b), parts.values())
+
+
+#: fixed values: days of a period of reading history
+PERIODS = {"day": 1, "week": 7, "month": 30, "year": 365}
+
+
+def reading_habits(history: DataFrame, period: str, now: Column, start: str = "start", minutes: str = "minutes", tags: str = "tags", authors: str = "authors", top: int = 10) -> DataFrame:
+    """(kind, value, n, minutes): totals of the sessions in the period, then the most read tags and authors, ties by name.
+
+    ``period`` is day, week, month, year or all; ``tags`` and ``authors`` are lists,
+    each of whose names counts once for a session.
+    """
+    if period != "all" and period not in PERIODS:
+        raise ValueError(f"period is all or one of {', '.join(PERIODS)}")
+    rows = history if period == "all" else history.filter(F.col(start) >= now - F.make_dt_interval(F.lit(PERIODS[period])))
+    named = lambda kind, c: F.transform(F.array_distinct(F.coalesce(F.col(c), F.array().cast("array<string>"))), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    total = F.array(F.struct(F.lit("total").alias("kind"), F.lit(None).cast("string").alias("value")))
+    each = rows.select(F.col(minutes).alias("m"), F.explode(F.concat(total, named("author", authors), named("tag", tags))).alias("x"))
+    counted = each.groupBy("x.kind", "x.value").agg(F.count("*").alias("n"), F.sum("m").alias("minutes"))
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "value"))
+    return counted.withColumn("_r", place).filter((F.col("_r") <= top) | (F.col("kind") == "total")).drop("_r")

@@ -254,3 +254,31 @@ def approximate_counts(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT l_linestatus AS status, count(*) FILTER (l_returnflag = 'A') AS \"A\", count(*) FILTER (l_returnflag = 'N') AS \"N\", count(*) FILTER (l_returnflag = 'R') AS \"R\" FROM lineitem GROUP BY 1")
 def pivot_flags(s: SparkSession, d: str) -> DataFrame:
     return C.table(s, d, "lineitem").groupBy(F.col("l_linestatus").alias("status")).pivot("l_returnflag", ["A", "N", "R"]).count()
+
+
+@query("""WITH h AS (SELECT l_quantity AS m, p_type AS tag, s_name AS author FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_shipdate >= (SELECT max(l_shipdate) FROM lineitem) - INTERVAL 365 DAY),
+e AS (SELECT 'total' AS kind, NULL AS value, m FROM h UNION ALL SELECT 'tag', tag, m FROM h UNION ALL SELECT 'author', author, m FROM h),
+c AS (SELECT kind, value, count(*) AS n, CAST(sum(m) AS DOUBLE) AS minutes FROM e GROUP BY 1, 2) SELECT kind, value, n, minutes FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, value) AS r FROM c) WHERE r <= 10""")
+def reading_habits(s: SparkSession, d: str) -> DataFrame:
+    """Totals, tags and authors of the last year of lines, as sessions of their quantity in minutes."""
+    lines = C.table(s, d, "lineitem").join(C.table(s, d, "part"), F.col("p_partkey") == F.col("l_partkey")).join(C.table(s, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    history = lines.select(F.col("l_shipdate").alias("start"), F.col("l_quantity").alias("minutes"), F.array("p_type").alias("tags"), F.array("s_name").alias("authors"))
+    last = C.table(s, d, "lineitem").agg(F.max("l_shipdate").alias("now")).first()["now"]
+    return T.reading_habits(history, "year", F.lit(last).cast("timestamp_ntz"))
+
+
+_PARTS = "e AS (SELECT user_id AS \"user\", event_id AS id, ts AS start, value AS minutes, CAST(json_extract_string(props, '$.k') AS INT) AS pages, event_type AS book, CAST(json_extract_string(props, '$.k') AS INT) / 100.0 AS progress_end FROM events)"
+
+
+@query(f"""WITH {_PARTS}, b AS (SELECT *, CASE WHEN progress_end >= 0.9 AND row_number() OVER (PARTITION BY "user", book, progress_end >= 0.9 ORDER BY start, id) = 1 THEN 1 ELSE 0 END AS done FROM e),
+p AS (SELECT "user", start, id, 'sessions' AS metric, 1.0::DOUBLE AS amount FROM b UNION ALL SELECT "user", start, id, 'minutes', minutes FROM b UNION ALL SELECT "user", start, id, 'pages', pages FROM b UNION ALL SELECT "user", start, id, 'books', done FROM b),
+r AS (SELECT *, sum(amount) OVER (PARTITION BY "user", metric ORDER BY start, id ROWS UNBOUNDED PRECEDING) AS s FROM p), g AS (SELECT * FROM (VALUES ('sessions', 40.0::DOUBLE), ('pages', 2000.0), ('books', 4.0)) v(metric, target))
+SELECT "user", metric, target, CAST(sum(amount) AS DOUBLE) AS total, round(least(100, sum(amount) * 100 / target), 2) AS progress, min(start) FILTER (s >= target) AS reached_at FROM r JOIN g USING (metric) GROUP BY 1, 2, 3""")
+def goals_by_metric(s: SparkSession, d: str) -> DataFrame:
+    """Goals of sessions, pages and finished books for every user; the type of an event stands for its book."""
+    from foliomill.operators import sequence
+
+    e = C.sessions(s, d).withColumn("book", F.col("kind")).withColumn("progress_end", F.col("pages") / 100)
+    wanted = s.createDataFrame([("sessions", 40.0), ("pages", 2000.0), ("books", 4.0)], "metric string, target double")
+    goals = e.select("user").distinct().join(F.broadcast(wanted))  # three rows
+    return sequence.goals_by_metric(e, goals)
