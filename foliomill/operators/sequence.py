@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -96,10 +96,16 @@ def running_index(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return df.withColumn("chunk_index", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
 
 
+def added(value: str, over: WindowSpec | None = None) -> Column:
+    """A sum that may be compared: to a millionth, since the last digits of a sum of doubles follow the order of its rows."""
+    out = F.sum(value)
+    return F.round((out if over is None else out.over(over)).cast("double"), 6)
+
+
 def goal_progress(s: DataFrame, key: str, ts: str, value: str, target: float, tie: str = "id") -> DataFrame:
     """(key, total, progress, remaining, reached_at): a running sum against a target."""
     w = Window.partitionBy(key).orderBy(ts, tie)
-    run = s.withColumn("_sum", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    run = s.withColumn("_sum", added(value, w.rowsBetween(Window.unboundedPreceding, 0)))
     return run.groupBy(key).agg(F.sum(value).cast("double").alias("total"), F.min(F.when(F.col("_sum") >= target, F.col(ts))).alias("reached_at")).select(key, "total", F.round(F.least(F.lit(100.0), F.col("total") * 100 / target), 2).alias("progress"), F.round(F.greatest(F.lit(0.0), target - F.col("total")), 2).alias("remaining"), "reached_at")
 
 
@@ -116,7 +122,7 @@ def goals_by_metric(sessions: DataFrame, goals: DataFrame, key: str = "user", ts
     amount = lambda metric, c: F.struct(F.lit(metric).alias("metric"), F.coalesce(c.cast("double"), F.lit(0.0)).alias("amount"))
     each = F.array(amount("sessions", F.lit(1)), amount("minutes", F.col("minutes")), amount("pages", F.col("pages")), amount("books", F.col("_book")))
     parts = rows.select(key, ts, tie, F.explode(each).alias("x")).select(key, ts, tie, "x.*")
-    run = parts.withColumn("_sum", F.sum("amount").over(Window.partitionBy(key, "metric").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)))
+    run = parts.withColumn("_sum", added("amount", Window.partitionBy(key, "metric").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)))
     out = goals.select(key, "metric", "target").join(run, [key, "metric"], "left").groupBy(key, "metric", "target")
     out = out.agg(F.coalesce(F.sum("amount"), F.lit(0.0)).alias("total"), F.min(F.when(F.col("_sum") >= F.col("target"), F.col(ts))).alias("reached_at"))
     share = F.coalesce(F.try_divide(F.col("total") * 100, F.col("target")), F.lit(100.0))

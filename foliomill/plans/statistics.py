@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliomill.functions import scalars as S
+from foliomill.operators import sequence as Q
 from foliomill.operators import stats as T
 from foliomill.plans.search import sql
 from foliomill.registry import query
@@ -165,7 +166,7 @@ def daypart_minutes(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SESSIONS}, t AS (SELECT \"user\", CASE WHEN hour(start) BETWEEN 5 AND 11 THEN 'morning' WHEN hour(start) BETWEEN 12 AND 16 THEN 'afternoon' WHEN hour(start) BETWEEN 17 AND 21 THEN 'evening' ELSE 'night' END AS part, sum(minutes) AS m FROM s GROUP BY 1, 2) SELECT \"user\", CASE WHEN max(m) > 0 THEN max_by(part, (m, part)) ELSE 'unknown' END AS favourite FROM t GROUP BY 1")
 def favourite_daypart(s: SparkSession, d: str) -> DataFrame:
-    t = C.sessions(s, d).groupBy("user", S.day_part(F.col("start")).alias("part")).agg(F.sum("minutes").alias("m"))
+    t = C.sessions(s, d).groupBy("user", S.day_part(F.col("start")).alias("part")).agg(Q.added("minutes").alias("m"))
     return t.groupBy("user").agg(F.when(F.max("m") > 0, F.max_by("part", F.struct("m", "part"))).otherwise("unknown").alias("favourite"))
 
 
