@@ -104,11 +104,16 @@ def tfidf(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return raw.join(length, "id").select("id", "term", (F.col("w") / F.col("l")).alias("weight"))
 
 
+def _best(scored: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best (id, score); equal texts tie, whatever the order in which their weights were added."""
+    return scored.orderBy(F.desc(F.round("score", 9)), "id").limit(k)
+
+
 def recommend(weights: DataFrame, row_id: int, k: int) -> DataFrame:
     """(id, score): the documents of greatest cosine to one of them, itself left out by id."""
     query = weights.filter(F.col("id") == row_id).select("term", F.col("weight").alias("q"))
     hits = weights.filter(F.col("id") != row_id).join(query, "term")
-    return hits.groupBy("id").agg(F.sum(F.col("weight") * F.col("q")).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    return _best(hits.groupBy("id").agg(F.sum(F.col("weight") * F.col("q")).alias("score")), k)
 
 
 def recommend_for(docs: DataFrame, id_col: str, text: str, wanted: str, k: int) -> DataFrame:
@@ -121,7 +126,7 @@ def recommend_for(docs: DataFrame, id_col: str, text: str, wanted: str, k: int)
     q = query.join(df, "term").crossJoin(F.broadcast(n)).select("term", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("q"))
     length = q.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("l"))
     unit = q.crossJoin(F.broadcast(length)).select("term", (F.col("q") / F.col("l")).alias("q"))
-    return weights.join(unit, "term").groupBy("id").agg(F.sum(F.col("weight") * F.col("q")).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    return _best(weights.join(unit, "term").groupBy("id").agg(F.sum(F.col("weight") * F.col("q")).alias("score")), k)
 
 
 def similar_rows(df: DataFrame, row_id: int, fields: list[str], k: int, id_col: str = "id") -> DataFrame:
