@@ -6,8 +6,9 @@ d(q, c) from a query to a centre and r from a row to it, no row is nearer than
 only those, and of them only the rows, that can still be among the ``k`` nearest.
 That is exact; with ``lists`` it stops after so many lists and is approximate.
 
-Many queries are searched at once.  A list's rows and queries meet in blocks of
-bounded size.  A change adds a segment (see ``sources.versions``).
+Many queries are searched at once.  Lists are read in runs that follow one another,
+and a run's rows and queries meet in blocks of bounded size, so that a query is sent
+once to a run and not once to each list.  A change adds a segment (see ``sources.versions``).
 
 Rows without an id, and vectors that are null, empty or hold null or non-finite
 components, are left out; all vectors of an index have one length, or an error is
@@ -36,17 +37,29 @@ GONE = "id long"
 #: vectors that the centres are trained on, and lists at most
 SAMPLE, MOST_LISTS = 20_000, 4_096
 #: rows and queries of a block
-BLOCK_ROWS, BLOCK_QUERIES = 4_096, 512
+BLOCK_ROWS, BLOCK_QUERIES = 4_096, 4_096
+#: distances that a task holds at once
+HELD = 1 << 19
 MOST_BROADCAST = 200_000
 
 
+def nearest_of(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The place of each point's nearest centre."""
+    out, step = np.empty(len(points), int), max(1, HELD // len(centres))
+    for i in range(0, len(points), step):
+        out[i : i + step] = distances(points[i : i + step], centres).argmin(1)
+    return out
+
+
 def train(points: np.ndarray, lists: int, rounds: int = 10) -> np.ndarray:
     """Centres of the points by Lloyd's rounds from evenly picked ones; a centre without points stays."""
     centres = points[np.linspace(0, len(points) - 1, lists).astype(int)].copy()
     for _ in range(rounds):
-        own = distances(points, centres).argmin(1)
-        for i in np.unique(own):
-            centres[i] = points[own == i].mean(0)
+        own = nearest_of(points, centres)
+        order = np.argsort(own, kind="stable")
+        used, start = np.unique(own[order], return_index=True)
+        for i, part in zip(used, np.split(order, start[1:])):
+            centres[i] = points[part].mean(0)
     return np.unique(centres, axis=0)
 
 
@@ -58,40 +71,68 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def runs_of(n: np.ndarray) -> np.ndarray:
+    """Of lists with ``n`` rows the run of each: neighbours that hold a block's rows together."""
+    return (np.cumsum(n) - n) // BLOCK_ROWS
+
+
 def blocks_of(rows: DataFrame, asked: DataFrame, lengths: DataFrame, kept: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows and queries of a list dealt in blocks (rb, qb), each row to all blocks of queries and each query to all of rows."""
-    waiting = asked.groupBy("list").agg(F.count("*").alias("asked"))
+    """Rows and queries of a run dealt in blocks (rb, qb), each row to all blocks of queries and each query to all of rows."""
+    waiting = asked.groupBy("run").agg(F.count("*").alias("asked"))
     number = lambda c, size: F.greatest(F.lit(1), F.ceil(F.col(c) / size)).cast("int")
-    sizes = lengths.join(waiting, "list").select("list", number("n", BLOCK_ROWS).alias("rbs"), number("asked", BLOCK_QUERIES).alias("qbs"))
-    sizes = F.broadcast(sizes)  # a row for each list
+    sizes = lengths.join(waiting, "run").select("run", number("n", BLOCK_ROWS).alias("rbs"), number("asked", BLOCK_QUERIES).alias("qbs"))
+    sizes = F.broadcast(sizes)  # a row for each run
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     of = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    here = rows.join(sizes, "list").select("list", of("id", "rbs").alias("rb"), every("qbs").alias("qb"), *kept)
-    there = asked.join(sizes, "list").select("list", every("rbs").alias("rb"), of("query_id", "qbs").alias("qb"), "query_id", "query", "to_centre", "within")
+    here = rows.join(sizes, "run").select("run", of("id", "rbs").alias("rb"), every("qbs").alias("qb"), *kept)
+    there = asked.join(sizes, "run").select("run", every("rbs").alias("rb"), of("query_id", "qbs").alias("qb"), "query_id", "query", "lists", "within")
     return here, there
 
 
 FOUND = "query_id long, id long, distance double"
+ASKED = "run int, query_id long, query array<double>, lists array<int>, within double"
+
+
+def sent(f: pd.DataFrame, take: np.ndarray, run: np.ndarray, within: np.ndarray) -> pd.DataFrame:
+    """Queries with the lists that they read (``take``: query by list), a row for each run."""
+    at, which = np.nonzero(take)
+    first = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(run[which], prepend=-1) != 0))
+    lists = pd.Series(np.split(which.astype(np.int32), first[1:]) if len(first) else [], dtype=object)
+    at, which = at[first], which[first]
+    return pd.DataFrame({"run": run[which].astype(np.int32), "query_id": f["query_id"].to_numpy()[at], "query": f["query"].to_numpy()[at], "lists": lists, "within": within[at]})
 
 
 def meet(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Of one block, the ``k`` nearest rows of each query that are within its bound."""
+    """Of one block, the ``k`` nearest rows of each query that are in its lists and within its bound."""
     none = pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"), "distance": []})
     if not len(rows) or not len(queries):
         return none
-    order = rows["distance"].argsort(kind="stable").to_numpy()
-    x, r, ids = np.stack(rows["vector"].to_numpy())[order], rows["distance"].to_numpy()[order], rows["id"].to_numpy()[order]
-    out = []
-    for query_id, q, centre, within in zip(queries["query_id"], queries["query"], queries["to_centre"], queries["within"]):
-        room = 1e-9 * (1 + centre)
-        a, b = np.searchsorted(r, centre - within - room), np.searchsorted(r, centre + within + room, side="right")
-        if a == b:
-            continue
-        d = np.sqrt(np.square(x[a:b] - np.asarray(q)).sum(1))
-        near = np.lexsort((ids[a:b], d))[:k]
-        near = near[d[near] <= within]
-        out.append(pd.DataFrame({"query_id": query_id, "id": ids[a:b][near], "distance": d[near]}))
-    return pd.concat(out) if out else none
+    x, ids = np.stack(rows["vector"].to_numpy()), rows["id"].to_numpy()
+    names, code = np.unique(rows["list"].to_numpy(), return_inverse=True)
+    squares, m = np.square(x).sum(1), min(k, len(x))
+    out, step = [none], max(1, HELD // len(x))
+    for i in range(0, len(queries), step):
+        part = queries.iloc[i : i + step]
+        q, within = np.stack(part["query"].to_numpy()), part["within"].to_numpy()
+        wanted = np.concatenate(part["lists"].to_numpy())
+        place = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
+        has, by = names[place] == wanted, np.repeat(np.arange(len(q)), part["lists"].map(len))
+        read = np.zeros((len(q), len(names)), bool)
+        read[by[has], place[has]] = True
+        # roughly first, with room for what the products lose
+        d = np.where(read[:, code], np.square(q).sum(1)[:, None] + squares - 2 * q @ x.T, np.inf)
+        room = 1e-9 * (1 + np.square(q).sum(1) + squares.max())
+        bound = within + 1e-9 * (1 + within)
+        a, b = np.nonzero(np.isfinite(d) & (d <= (np.minimum(np.partition(d, m - 1, axis=1)[:, m - 1], bound**2) + room)[:, None]))
+        exact = np.empty(len(a))
+        for j in range(0, len(a), 1 << 16):
+            exact[j : j + (1 << 16)] = np.sqrt(np.square(x[b[j : j + (1 << 16)]] - q[a[j : j + (1 << 16)]]).sum(1))
+        order = np.lexsort((ids[b], exact, a))
+        order = order[exact[order] <= bound[a[order]]]
+        a, b, exact = a[order], b[order], exact[order]
+        near = np.arange(len(a)) - np.searchsorted(a, a) < k
+        out.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[a[near]], "id": ids[b[near]], "distance": exact[near]}))
+    return pd.concat(out) if len(out) > 2 else out[-1]
 
 
 class VectorIndex:
@@ -163,7 +204,7 @@ class VectorIndex:
                     if any(len(x) != width for x in f["vector"]):
                         raise ValueError(f"all vectors of the index have {width} components")
                     x = np.stack(f["vector"].to_numpy())
-                    own = distances(x, centres).argmin(1)
+                    own = nearest_of(x, centres)
                     yield pd.DataFrame({"list": own, "distance": np.sqrt(np.square(x - centres[own]).sum(1)), "id": f["id"], "vector": f["vector"]})
 
             placed = rows.select("id", "vector").mapInPandas(run, VECTORS)
@@ -212,7 +253,10 @@ class VectorIndex:
         sizes = [self.versions.table(s["lists"], LISTS) for s in state["segments"] if "lists" in s]
         if not sizes:
             return self.spark.createDataFrame([], "query_id long, rank int, id long, distance double")
-        lengths = reduce(DataFrame.unionByName, sizes).groupBy("list").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+        if where is None:
+            lengths = reduce(DataFrame.unionByName, sizes).groupBy("list").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+        else:
+            lengths = rows.groupBy("list").agg(F.count("*").alias("n"), F.min("distance").alias("least"), F.max("distance").alias("most"))
         table = {r["list"]: r for r in lengths.collect()}  # a row for each list
         if not table:
             return self.spark.createDataFrame([], "query_id long, rank int, id long, distance double")
@@ -220,29 +264,36 @@ class VectorIndex:
         n = np.array([table[i]["n"] if i in table else 0 for i in range(len(centres))])
         least = np.array([table[i]["least"] if i in table else np.inf for i in range(len(centres))])
         most = np.array([table[i]["most"] if i in table else -np.inf for i in range(len(centres))])
+        run = runs_of(n)
+        held = self.spark.createDataFrame([(i, int(r), int(m)) for i, (r, m) in enumerate(zip(run, n))], "list int, run int, n long")
+        rows, lengths = rows.join(F.broadcast(held.select("list", "run")), "list"), held.groupBy("run").agg(F.sum("n").alias("n"))
         asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("query").cast("array<double>").alias("query"))
-        schema = "list int, query_id long, query array<double>, to_centre double, within double"
+        step = max(1, HELD // len(centres))
 
-        def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            """Each query's nearest lists: ``lists`` of them, or as many as hold ``want`` rows."""
+        def some(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+            """Few queries at once, with their distances to the centres and their nearest lists: ``lists`` of them, or as many as hold ``want`` rows."""
             for f in frames:
-                if len(f):
-                    d = distances(np.stack(f["query"].to_numpy()), centres)
+                for i in range(0, len(f), step):
+                    part = f.iloc[i : i + step]
+                    d = distances(np.stack(part["query"].to_numpy()), centres)
                     order = np.argsort(np.where(n > 0, d, np.inf), axis=1, kind="stable")
                     before = np.cumsum(n[order], axis=1) - n[order]
-                    take = (np.arange(len(centres)) < lists if lists else before < want) & (n[order] > 0)
-                    at, place = np.nonzero(take)
-                    which = order[at, place]
-                    yield pd.DataFrame({"list": which, "query_id": f["query_id"].to_numpy()[at], "query": f["query"].to_numpy()[at], "to_centre": d[at, which], "within": np.inf})
+                    take = np.zeros(d.shape, bool)
+                    np.put_along_axis(take, order, np.broadcast_to(np.arange(len(centres)) < lists, d.shape) if lists else before < want, 1)
+                    yield part, d, take & (n > 0)
+
+        def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part, _, take in some(frames):
+                yield sent(part, take, run, np.full(len(part), np.inf))
 
         def search(asked: DataFrame) -> DataFrame:
-            here, there = blocks_of(rows, asked, lengths, ["id", "vector", "distance"])
-            key = ["list", "rb", "qb"]
+            here, there = blocks_of(rows, asked, lengths, ["list", "id", "vector"])
+            key = ["run", "rb", "qb"]
             return here.groupBy(*key).cogroup(there.groupBy(*key)).applyInPandas(lambda a, b: meet(a, b, want), FOUND)
 
         by = Window.partitionBy("query_id").orderBy("distance", "id")
         best = lambda df: df.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
-        near = best(found(search(asked.mapInPandas(first, schema))))
+        near = best(found(search(asked.mapInPandas(first, ASKED))))
         if lists is None:
             name = self.versions.name("found")
             self.versions.write(near, name)  # read twice below
@@ -252,17 +303,11 @@ class VectorIndex:
 
             def rest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 """Of the lists that were not read, those that can hold a nearer row."""
-                for f in frames:
-                    if len(f):
-                        d, within = distances(np.stack(f["query"].to_numpy()), centres), f["within"].to_numpy()[:, None]
-                        order = np.argsort(np.where(n > 0, d, np.inf), axis=1, kind="stable")
-                        read = np.zeros(d.shape, bool)
-                        before = np.cumsum(n[order], axis=1) - n[order]
-                        np.put_along_axis(read, order, before < want, 1)
-                        room = 1e-9 * (1 + d)
-                        at, which = np.nonzero(~read & (n > 0) & (d - most <= within + room) & (least - d <= within + room))
-                        yield pd.DataFrame({"list": which, "query_id": f["query_id"].to_numpy()[at], "query": f["query"].to_numpy()[at], "to_centre": d[at, which], "within": within[at, 0]})
-
-            more = found(search(open_.select("query_id", "query", "within").mapInPandas(rest, schema)))
+                for part, d, read in some(frames):
+                    within = part["within"].to_numpy()
+                    bound = within[:, None] + 1e-9 * (1 + d)
+                    yield sent(part, ~read & (n > 0) & (d - most <= bound) & (least - d <= bound), run, within)
+
+            more = found(search(open_.select("query_id", "query", "within").mapInPandas(rest, ASKED)))
             near = best(near.select("query_id", "id", "distance").unionByName(more.select("query_id", "id", "distance")))
         return near.select("query_id", "rank", "id", "distance")
