@@ -41,8 +41,8 @@ RATIO = 1.2
 DEGREE, ENTRIES, WIDER = 24, 64, 1.15
 #: rows and queries of a block
 BLOCK_ROWS, BLOCK_QUERIES = 2_048, 512
-#: distances that are held at once
-HELD = 1 << 21
+#: distances that are held at once, and rows with a vector that a task sends at once
+HELD, SENT = 1 << 19, 8_192
 
 
 def usable(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -158,7 +158,8 @@ class Lists:
                 return d <= ratio * d.min(1)[:, None]
             followed[at, node] = True
             seen = np.zeros((m, n), bool)
-            seen[np.repeat(at, self.graph.shape[1]), self.graph[node].ravel()] = True
+            for c in self.graph.T:
+                seen[at, c[node]] = True
             look(*np.nonzero(seen & np.isinf(d)))
 
 
@@ -190,10 +191,12 @@ def postings(kinds: DataFrame, lists: Lists) -> DataFrame:
             for i in range(0, len(f), step):
                 part = f.iloc[i : i + step]
                 at, which = to.homes(to.lifted(matrix(part["v"], to.size)))
-                out = part.iloc[at].copy()
-                out.insert(0, "list", which)
-                out.insert(1, "main", np.r_[True, at[1:] != at[:-1]][: len(at)])
-                yield out
+                main = np.r_[True, at[1:] != at[:-1]][: len(at)]
+                for j in range(0, len(at), SENT):
+                    out = part.iloc[at[j : j + SENT]].copy()
+                    out.insert(0, "list", which[j : j + SENT])
+                    out.insert(1, "main", main[j : j + SENT])
+                    yield out
 
     return kinds.select("h", "v", "members").mapInPandas(run, "list int, main boolean, h string, v array<double>, members array<long>")
 
@@ -224,10 +227,12 @@ def probes(asked: DataFrame, lists: Lists, held: dict[int, int], need: int, rati
                     before = np.cumsum(sizes[order], axis=1) - sizes[order]
                     take[np.repeat(short, len(sizes)), order.ravel()] |= (before < need).ravel()
                 at, which = np.nonzero(take)
-                out = part.iloc[at].copy()
-                out.insert(0, "list", which)
-                out["least"] = to.least(vectors, take, need)[at]
-                yield out
+                least = to.least(vectors, take, need)
+                for j in range(0, len(at), SENT):
+                    out = part.iloc[at[j : j + SENT]].copy()
+                    out.insert(0, "list", which[j : j + SENT])
+                    out["least"] = least[at[j : j + SENT]]
+                    yield out
 
     return asked.select("h", "v").mapInPandas(run, "list int, h string, v array<double>, least double")
 
