@@ -20,17 +20,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: rows of the three versions that a task brings together
+TASK_ROWS = 1_000_000
+
 POLICIES = ("keep_local", "keep_remote", "keep_both", "merge")
 
 
 def versions(base: DataFrame, local: DataFrame, remote: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """(keys, b, l, r): the three versions of each record as structs, null where it is not.
 
-    Keys are distinct in each of the three; null keys are keys like others.
+    Keys are distinct in each of the three; null keys are keys like others.  A task
+    sorts some ``TASK_ROWS`` rows, however many there are in all.
     """
     kind = base.select(F.struct(*fields).alias("x")).schema["x"].dataType
     wide = [df.select(*keys, *[(F.struct(*fields) if s == side else F.lit(None)).cast(kind).alias(s) for s in "blr"]) for side, df in zip("blr", (base, local, remote))]
-    return reduce(DataFrame.unionByName, wide).groupBy(*keys).agg(*[F.first(s, ignorenulls=True).alias(s) for s in "blr"])
+    rows = reduce(DataFrame.unionByName, wide)
+    tasks = rows.count() // TASK_ROWS
+    if tasks > int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        rows = rows.repartition(tasks, *keys)
+    return rows.groupBy(*keys).agg(*[F.first(s, ignorenulls=True).alias(s) for s in "blr"])
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -75,10 +83,12 @@ def merged(base: DataFrame, local: DataFrame, remote: DataFrame, keys: list[str]
     # a record that one side lacks: new on the other, deleted, or deleted and changed
     lives = {"keep_local": there("l"), "keep_remote": there("r"), "keep_both": F.lit(True), "merge": F.lit(True)}[policy]
     stays = (there("l") & there("r")) | (~there("b") & (there("l") | there("r"))) | (deleted & lives)
-    main = v.filter(stays).select(*keys, *[value(f) for f in fields], F.lit(False).alias("copy"))
+    main = F.struct(*[value(f) for f in fields], F.lit(False).alias("copy"))
     if policy != "keep_both":
-        return main
-    return main.unionByName(v.filter(in_fields).select(*keys, *[F.col(f"r.{f}").alias(f) for f in fields], F.lit(True).alias("copy")))
+        return v.filter(stays).select(*keys, main.alias("x")).select(*keys, "x.*")
+    # both rows of a record are made where its versions meet, so these meet once
+    copy = F.struct(*[F.col(f"r.{f}").alias(f) for f in fields], F.lit(True).alias("copy"))
+    return v.select(*keys, F.explode(F.array_compact(F.array(F.when(stays, main), F.when(in_fields, copy)))).alias("x")).select(*keys, "x.*")
 
 
 def conflicts(base: DataFrame, local: DataFrame, remote: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
