@@ -1,8 +1,9 @@
 """A full-text index as tables: postings with places, lengths, and bounds by block.
 
-``postings`` has a row for each word of each text, in folders by a hash of the word
-and sorted by word and block inside, so that a query reads its words' folders and,
-by the files' statistics, little else.  A block holds texts of about one length;
+``postings`` has a row for each word of each text, in folders by a hash of the word,
+so that a query reads its words' folders and, by the files' statistics, little else:
+a task makes the postings of some texts and sorts its files by word and block, so
+texts are exchanged and their words are not.  A block holds texts of about one length;
 ``blocks`` has, for each word and block, how many texts hold the word, the most often
 and the shortest.  No text of a block scores above what follows from these, so a
 search for the best texts leaves out blocks that cannot reach them.
@@ -17,11 +18,15 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +42,47 @@ GONE = "id long"
 BANDS = 32
 #: rows of a table of ids that is broadcast
 MOST_BROADCAST = 200_000
+#: words of the texts of one task, whose places it sorts in memory, and bytes of the texts
+TASK_WORDS, TASK_BYTES = 4_000_000, 32 << 20
+#: words that are grouped at once
+SLICE_WORDS = 500_000
+
+
+def places(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From (id, n, block, words) to postings, those of a slice of texts in the order of their files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(pc.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False))
+            row = 0
+            while row < len(batch):
+                end = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + SLICE_WORDS, side="right")))
+                yield _sorted_places(batch.slice(row, end - row), buckets)
+                row = end
+
+    return run
+
+
+def _sorted_places(batch: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
+    ids, n, block = (batch.column(i).to_numpy() for i in range(3))
+    lengths = pc.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = batch.column(3).flatten().dictionary_encode()
+    bucket = np.array([zlib.crc32(w.encode()) % buckets for w in words.dictionary.to_pylist()], np.int32)
+    by_term, by_text = np.empty(len(bucket), np.int64), np.lexsort((ids, block))
+    by_term[pc.sort_indices(words.dictionary).to_numpy()] = np.arange(len(bucket))
+    terms = np.lexsort((by_term, bucket))
+    rank, place = np.empty(len(terms), np.int64), np.empty(len(ids), np.int64)
+    rank[terms], place[by_text] = np.arange(len(terms)), np.arange(len(ids))
+    key = rank[words.indices.to_numpy()] * len(ids) + np.repeat(place, lengths)
+    order = np.argsort(key, kind="stable")  # places of a word in a text stay in order
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    term, text = terms[key[first] // len(ids)], by_text[key[first] % len(ids)]
+    at = (np.arange(len(key)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)[order]
+    tf = np.diff(np.append(first, len(key))).astype(np.int32)
+    positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), pa.array(at))
+    columns = [pa.array(bucket[term]), words.dictionary.take(pa.array(term)), pa.array(block[text]), pa.array(ids[text]), pa.array(n[text]), pa.array(tf), positions]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "term", "block", "id", "n", "tf", "positions"])
 
 
 @dataclass
@@ -123,8 +169,8 @@ class TextIndex:
             names["n_gone"] = gone.count()
             old = self.texts(state).join(self._small(gone, names["n_gone"]), "id")
             # words of texts that go no longer count in their blocks
-            lost = old.select("block", F.explode(F.array_distinct(self._words(state, F.col("text")))).alias("term")).groupBy("term", "block").agg(F.count("*").alias("docs"))
-            lost = lost.select("term", "block", (-F.col("docs")).alias("docs"), F.lit(0).alias("most"), F.lit(None).cast("int").alias("shortest"))
+            lost = old.select("block", F.explode(F.array_distinct(self._words(state, F.col("text")))).alias("term"))
+            lost = lost.select("term", "block", F.lit(-1).cast("long").alias("docs"), F.lit(0).alias("most"), F.lit(None).cast("int").alias("shortest"))
             went = old.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
             state = state | {"docs": state["docs"] - went[0], "words": state["words"] - went[1]}
         blocks = lost
@@ -132,18 +178,20 @@ class TextIndex:
             names["texts"], names["postings"] = v.name("texts"), v.name("postings")
             n = F.size(self._words(state, F.col("text")))
             band = F.least(F.lit(BANDS - 1), F.floor(2 * F.log2(F.greatest(F.col("n"), F.lit(1)))).cast("int"))
-            laid = rows.withColumn("n", n).withColumn("block", band * state["parts"] + F.pmod(F.xxhash64("id"), F.lit(state["parts"])).cast("int"))
-            v.write(laid.repartitionByRange(parts, "id").sortWithinPartitions("id"), names["texts"])
+            part = F.pmod(F.hash("id"), F.lit(state["parts"]))
+            size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+            ranges = max(parts, -(-size // TASK_BYTES))
+            # words are counted after the exchange, not for its sample too
+            laid = rows.repartitionByRange(ranges, "id").withColumn("n", n).withColumn("block", band * state["parts"] + part)
+            v.write(laid.sortWithinPartitions("id"), names["texts"])
             texts = v.table(names["texts"], TEXTS)
             total = texts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
             state = state | {"docs": state["docs"] + total[0], "words": state["words"] + total[1]}
-            places = texts.select("id", "n", "block", F.posexplode(self._words(state, F.col("text"))).alias("position", "term"))
-            key = ["bucket", "term", "block", "id"]
-            # one exchange: rows dealt by ranges of the key are together by the key
-            dealt = places.withColumn("bucket", bucket).repartitionByRange(parts, *key)
-            made = dealt.groupBy(*key).agg(F.first("n").alias("n"), F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
-            v.write(made.sortWithinPartitions(*key), names["postings"], "bucket")
-            held = v.table(names["postings"], POSTINGS).groupBy("term", "block").agg(F.count("*").alias("docs"), F.max("tf").alias("most"), F.min("n").alias("shortest"))
+            # few tasks hold texts of one block
+            dealt = texts.repartition(self._tasks(total[1], parts, state["parts"]), "id")
+            made = dealt.select("id", "n", "block", self._words(state, F.col("text")).alias("words")).mapInArrow(places(state["buckets"]), POSTINGS)
+            v.write(made.sortWithinPartitions("bucket", "term", "block", "id"), names["postings"], "bucket")
+            held = v.table(names["postings"], POSTINGS).select("term", "block", F.lit(1).cast("long").alias("docs"), F.col("tf").alias("most"), F.col("n").alias("shortest"))
             blocks = held if blocks is None else held.unionByName(blocks)
         if blocks is not None:
             names["blocks"] = v.name("blocks")
@@ -151,6 +199,12 @@ class TextIndex:
             v.write(summed.withColumn("bucket", bucket).repartitionByRange(parts, "bucket", "term").sortWithinPartitions("bucket", "term", "block"), names["blocks"], "bucket")
         return state | {"segments": [*state["segments"], names]}
 
+    @staticmethod
+    def _tasks(words: int, parts: int, block_parts: int) -> int:
+        """Tasks that make the postings of texts with so many words: of bounded size, and of small texts not too many files."""
+        n = max(-(-words // TASK_WORDS), min(parts, -(-words // (TASK_WORDS // 4))), 1)
+        return n if n < block_parts else -(-n // block_parts) * block_parts
+
     # --- reading ---------------------------------------------------------------------
 
     @staticmethod

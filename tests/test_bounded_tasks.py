@@ -1,10 +1,12 @@
 """Tasks whose rows or texts do not grow with the table."""
 
+import zlib
+
 import pyarrow as pa
 import pytest
 
 from foliomill.functions import chunking
-from foliomill.operators import sync
+from foliomill.operators import sync, textindex
 
 
 @pytest.mark.parametrize("policy", sync.POLICIES)
@@ -26,3 +28,24 @@ def test_chunks_of_a_batch_are_made_in_pieces():
     for split in (chunking.boundary_split, chunking.chapter_split):
         assert chunking.in_pieces(pa.array(texts), split).to_pylist() == [split(t) for t in texts]
         assert chunking.in_pieces(pa.array([], pa.string()), split).to_pylist() == []
+
+
+def test_places_are_grouped_in_slices(monkeypatch):
+    texts = {7: ["b", "a", "b"], 3: [], 5: ["ü", "a"], 9: ["c"] * 9}
+    batch = pa.RecordBatch.from_pydict({"id": [*texts], "n": pa.array([len(w) for w in texts.values()], pa.int32()), "block": pa.array([1, 0, 0, 2], pa.int32()), "words": pa.array([*texts.values()], pa.list_(pa.string()))})
+    wanted = sorted((zlib.crc32(w.encode()) % 4, w, {7: 1, 3: 0, 5: 0, 9: 2}[i], i, len(ws), ws.count(w), [p for p, x in enumerate(ws) if x == w]) for i, ws in texts.items() for w in set(ws))
+    for words in (1, 4, 100):
+        monkeypatch.setattr(textindex, "SLICE_WORDS", words)
+        slices = [[tuple(r.values()) for r in b.to_pylist()] for b in textindex.places(4)([batch.slice(0, 0), batch])]
+        assert sorted(r for s in slices for r in s) == wanted and all(s == sorted(s) for s in slices)
+        assert words == 100 or len(slices) > 1
+
+
+def test_postings_are_made_by_bounded_tasks(spark, monkeypatch, tmp_path):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 50}" for j in range(20))) for i in range(300)], "id long, text string")
+    monkeypatch.setattr(textindex, "TASK_WORDS", 300)
+    index = textindex.TextIndex(spark, str(tmp_path / "i")).create(docs, buckets=1, block_docs=100)
+    name = index.versions.read()["segments"][0]["postings"]
+    files = list((tmp_path / "i" / name).glob("bucket=0/*.parquet"))
+    assert len(files) >= 15
+    assert index.postings(["w0"]).count() == docs.filter("array_contains(split(text, ' '), 'w0')").count()
