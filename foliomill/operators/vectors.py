@@ -94,14 +94,37 @@ def terms(c: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(STOP_WORDS))
 
 
+#: bytes of the texts whose words one task counts
+TASK_BYTES = 16 << 20
+
+
+def _one_each(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, text), the rows of one id (or without one) as one text."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    if rows.groupBy("id").count().filter("count > 1").isEmpty():
+        return rows
+    return rows.groupBy("id").agg(F.array_join(F.collect_list("text"), "\n").alias("text"))
+
+
+def _weighted(rows: DataFrame, some: DataFrame, n: DataFrame) -> DataFrame:
+    """(id, term, w) of ``some`` of the (id, text) ``rows``: counts times idf over all of them.
+
+    Texts are exchanged for their counts, and a row of each text's distinct words
+    counts for the idf before anything is exchanged.
+    """
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    tf = some.repartition(tasks, "id").select("id", F.explode(terms(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    df = rows.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return tf.join(df, "term").crossJoin(F.broadcast(n)).select("id", "term", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
+
+
 def tfidf(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, term, weight): raw counts times smoothed idf ln((1+n)/(1+df))+1, each document of unit length."""
-    tf = docs.select(F.col(id_col).alias("id"), F.explode(terms(F.col(text))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = tf.join(df, "term").crossJoin(F.broadcast(n)).select("id", "term", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
-    length = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("l"))
-    return raw.join(length, "id").select("id", "term", (F.col("w") / F.col("l")).alias("weight"))
+    rows = _one_each(docs, id_col, text)
+    raw = _weighted(rows, rows, docs.agg(F.count(F.lit(1)).alias("n")))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
+    return raw.filter("id is not null").select("id", "term", (F.col("w") / length).alias("weight"))
 
 
 def _best(scored: DataFrame, k: int) -> DataFrame:
@@ -118,15 +141,21 @@ def recommend(weights: DataFrame, row_id: int, k: int) -> DataFrame:
 
 def recommend_for(docs: DataFrame, id_col: str, text: str, wanted: str, k: int) -> DataFrame:
     """(id, score): the documents nearest to a text of preferences."""
-    spark = docs.sparkSession
-    weights = tfidf(docs, id_col, text)
+    rows = _one_each(docs, id_col, text)
     n = docs.agg(F.count(F.lit(1)).alias("n"))
-    query = spark.createDataFrame([(wanted,)], "t string").select(F.explode(terms(F.col("t"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
-    df = weights.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    query = docs.sparkSession.createDataFrame([(wanted,)], "t string").select(F.explode(terms(F.col("t"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
+    words = [r["term"] for r in query.select("term").collect()]
+    # only texts that hold a word of the query have a score
+    asked = F.array(*[F.lit(w) for w in words]).cast("array<string>")
+    some = rows.filter(F.col("id").isNotNull() & F.arrays_overlap(terms(F.col("text")), asked))
+    df = some.select(F.explode(F.array_intersect(terms(F.col("text")), asked)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     q = query.join(df, "term").crossJoin(F.broadcast(n)).select("term", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("q"))
     length = q.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("l"))
     unit = q.crossJoin(F.broadcast(length)).select("term", (F.col("q") / F.col("l")).alias("q"))
-    return _best(weights.join(unit, "term").groupBy("id").agg(F.sum(F.col("weight") * F.col("q")).alias("score")), k)
+    w = F.col("w")
+    # a row for each word of the query is broadcast
+    both = _weighted(rows, some, n).join(F.broadcast(unit), "term", "left").groupBy("id").agg(F.sqrt(F.sum(w * w)).alias("l"), F.sum(w * F.col("q")).alias("dot"))
+    return _best(both.select("id", (F.col("dot") / F.col("l")).alias("score")), k)
 
 
 def similar_rows(df: DataFrame, row_id: int, fields: list[str], k: int, id_col: str = "id") -> DataFrame:

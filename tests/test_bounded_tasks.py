@@ -1,12 +1,13 @@
 """Tasks whose rows or texts do not grow with the table."""
 
+import math
 import zlib
 
 import pyarrow as pa
 import pytest
 
 from foliomill.functions import chunking
-from foliomill.operators import sync, textindex
+from foliomill.operators import sync, textindex, vectors
 
 
 @pytest.mark.parametrize("policy", sync.POLICIES)
@@ -49,3 +50,33 @@ def test_postings_are_made_by_bounded_tasks(spark, monkeypatch, tmp_path):
     files = list((tmp_path / "i" / name).glob("bucket=0/*.parquet"))
     assert len(files) >= 15
     assert index.postings(["w0"]).count() == docs.filter("array_contains(split(text, ' '), 'w0')").count()
+
+
+def test_preferences_exchange_only_texts_that_hold_them(spark):
+    words = [f"w{i}x{i * i % 97}" for i in range(400)]
+    rows = [(i, " ".join(words[(i * 7 + j * (1 + i % 5)) % 400] for j in range(300)) + (" wanted" if i % 400 == 0 else "")) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "id long, t string").repartition(4)
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+    docs = docs.localCheckpoint()
+    before = written()
+    assert {r.id for r in vectors.recommend_for(docs, "id", "t", "wanted", 9).collect()} == {0, 400, 800, 1200, 1600}
+    assert written() - before < 500_000
+
+
+def test_rows_of_one_id_are_one_text(spark):
+    rows = [(1, "alpha beta wanted"), (1, "alpha gamma"), (2, "wanted gamma"), (3, None), (4, ""), (None, "wanted alpha"), (None, "beta"), (5, "delta delta")]
+    docs = spark.createDataFrame(rows, "id long, t string")
+    texts = {i: " ".join(t or "" for j, t in rows if j == i).split() for i in {i for i, _ in rows}}
+    df = lambda w, ids: sum(w in texts[i] for i in ids)
+    idf = lambda w, ids: math.log((1 + len(rows)) / (1 + df(w, ids))) + 1
+    weights = {}
+    for i in texts.keys() - {None}:
+        raw = {w: texts[i].count(w) * idf(w, texts) for w in set(texts[i])}
+        weights |= {(i, w): x / math.sqrt(sum(y * y for y in raw.values())) for w, x in raw.items()}
+    assert {(r.id, r.term): r.weight for r in vectors.tfidf(docs, "id", "t").collect()} == pytest.approx(weights)
+    named = texts.keys() - {None}
+    q = {"wanted": idf("wanted", named), "gamma": 2 * idf("gamma", named)}
+    unit = {w: x / math.sqrt(sum(y * y for y in q.values())) for w, x in q.items()}
+    want = {i: sum(weights.get((i, w), 0) * x for w, x in unit.items()) for i in (1, 2)}
+    assert {r.id: r.score for r in vectors.recommend_for(docs, "id", "t", "gamma wanted gamma", 9).collect()} == pytest.approx(want)
+    assert vectors.recommend_for(docs, "id", "t", "the", 9).collect() == []
