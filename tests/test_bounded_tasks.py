@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from foliomill.functions import chunking
+from foliomill.functions import text as X
 from foliomill.operators import sync, textindex, vectors
 
 
@@ -80,3 +81,17 @@ def test_rows_of_one_id_are_one_text(spark):
     want = {i: sum(weights.get((i, w), 0) * x for w, x in unit.items()) for i in (1, 2)}
     assert {r.id: r.score for r in vectors.recommend_for(docs, "id", "t", "gamma wanted gamma", 9).collect()} == pytest.approx(want)
     assert vectors.recommend_for(docs, "id", "t", "the", 9).collect() == []
+
+
+def test_changes_of_an_index_are_made_by_bounded_tasks(spark, monkeypatch, tmp_path):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 50}" for j in range(20))) for i in range(300)], "id long, text string")
+    monkeypatch.setattr(textindex, "TASK_WORDS", 300)
+    index = textindex.TextIndex(spark, str(tmp_path / "i")).create(docs, buckets=1)
+    index.upsert(docs.filter("id % 2 = 0").selectExpr("id", "concat(text, ' w0 new') as text"))
+    index.delete(docs.filter("id % 7 = 0"))
+    name = index.versions.read()["segments"][1]["postings"]
+    assert len(list((tmp_path / "i" / name).glob("bucket=0/*.parquet"))) >= 10
+    held = docs.filter("id % 7 <> 0").selectExpr("id", "if(id % 2 = 0, concat(text, ' w0 new'), text) as text")
+    rows = lambda df: [(r.id, round(r.score, 9)) for r in df.collect()]
+    for q in ("w0", "new", "w3 OR new", "w0 new"):
+        assert rows(index.search(q, 400)) == rows(X.bm25(held, "id", "text", q, 400))
