@@ -7,11 +7,15 @@ joins a band with the sizes above it that can still reach the threshold.
 
 Within a tile, the hash space is cut into segments.  Two sets that reach the
 threshold differ in at most K shingles (K follows from the tile's sizes), so of
-K + 2 segments at least two are equal.  A set is filed under a hash of each of
-its non-empty segments, and under the empty ones only if it has two or more:
-whatever pair links shares a key.  Keys hash whole segments, so a passage that
-many documents share does not bring them together; keys with the same members
-count once.
+K + 1 + x segments at least x + 1 are equal.  A set's keys are the hashes of its
+segments.  Of each set's keys in a tile the x that most sets have are left out
+(equal counts by key, so all sets go by one order): two sets that reach the
+threshold have x + 1 keys in common, and the rarest of these has x common ones
+after it, so neither leaves it out.  Whatever pair links shares a key that both
+keep.  Sets that meet by chance, in an empty segment or in one or two shingles of
+a common passage, seldom do so more than x times, and are not compared.  Keys with
+the same members count once.  Only a part of the keys (of ``PARTS``) is exchanged
+at a time; what is kept of it is the keys that several sets have.
 
 Bit counts of two bitmap signatures bound the overlap from above.  The members of
 a key that the bound leaves in reach of each other form a graph; its task sends a
@@ -40,10 +44,11 @@ empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as V
@@ -55,6 +60,10 @@ BLOCK, BLOCK_BYTES = 1024, 16 << 20
 COLUMNS = 4096
 BAND_RATIO = 1.4
 BITS_PER_SHINGLE = 2
+#: segments differ at most so many times for each one that is to spare beyond the first
+PER_SPARE = 16
+#: keys hold their band in so many low bits; parts in which keys are exchanged
+BAND_BITS, PARTS = 7, 3
 MAX_BITS = 1 << 14
 
 
@@ -69,11 +78,22 @@ def _bands() -> list[int]:
 TOPS = np.array(_bands())
 
 
+def most_apart(band: int, percent: int) -> int:
+    """Shingles in which two sets of a tile may differ and reach the threshold."""
+    top = int(TOPS[band])
+    return (top + top * 100 // percent) * (100 - percent) // (100 + percent)
+
+
+def spare(band: int, percent: int) -> int:
+    """Keys that each set of a tile leaves out, or 0 where only equal sets reach the threshold."""
+    most = most_apart(band, percent)
+    return 1 + most // PER_SPARE if most else 0
+
+
 def segments(band: int, percent: int) -> int:
     """Segments of a tile, or 0 where only equal sets reach the threshold."""
-    top = int(TOPS[band])
-    most = (top + top * 100 // percent) * (100 - percent) // (100 + percent)
-    return most + 2 if most else 0
+    extra = spare(band, percent)
+    return most_apart(band, percent) + 1 + extra if extra else 0
 
 
 def tiles(n: int, percent: int) -> list[int]:
@@ -87,7 +107,7 @@ def tiles(n: int, percent: int) -> list[int]:
 
 
 def segment_keys(h: np.ndarray, percent: int) -> np.ndarray:
-    """The keys under which a set (sorted, distinct hashes) is filed."""
+    """The keys of a set (sorted, distinct hashes): one for each segment of its tiles, with the band in its low bits."""
     keys = []
     sums = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(V.mix64(h + np.uint64(0x51ED270B)), out=sums[1:])
@@ -97,10 +117,9 @@ def segment_keys(h: np.ndarray, percent: int) -> np.ndarray:
         edges = np.arange(1, m, dtype=np.uint64) * np.uint64((1 << 64) // m)
         at = np.concatenate([[0], np.searchsorted(h, edges), [len(h)]])
         sizes = np.diff(at)
-        keep = np.ones(m, bool) if (sizes == 0).sum() > 1 else sizes > 0
         total = sums[at[1:]] - sums[at[:-1]] + sizes.astype(np.uint64)
         place = V.mix64(np.arange(m, dtype=np.uint64) + np.uint64(band * 0x1000003D + 1))
-        keys.append(V.mix64(total ^ place)[keep])
+        keys.append(V.mix64(total ^ place) >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS) | np.uint64(band))
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
@@ -178,6 +197,34 @@ def signatures(docs: DataFrame, k: int, percent: int, tag: Column) -> DataFrame:
     return chosen.mapInArrow(run, f"{ROW}, keys array<long>, bits binary")
 
 
+def shared_keys(reps: DataFrame, part: int) -> DataFrame:
+    """(g, node, n): one part of the keys that ``n`` > 1 nodes have."""
+    keys = reps.select("node", F.explode("keys").alias("g")).filter(F.pmod(F.shiftright("g", BAND_BITS), F.lit(PARTS)) == part)
+    # keys move once, as two longs: the grouping reads nodes too, else they would be exchanged again without them
+    keys = keys.repartition("g")
+    shared = keys.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
+    return keys.join(shared.select("g", "n"), "g")
+
+
+def rarest(filed: DataFrame, percent: int) -> DataFrame:
+    """(g, node) of ``filed`` without the commonest keys of each node in each band."""
+    extra = F.array(*[F.lit(spare(band, percent)) for band in range(len(TOPS))])
+    band = F.col("g").bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int")
+    order = Window.partitionBy("node", "band").orderBy(F.desc("n"), "g")
+    ranked = filed.withColumn("band", band).withColumn("place", F.row_number().over(order))
+    return ranked.filter(F.col("place") > F.element_at(extra, F.col("band") + 1)).select("g", "node")
+
+
+def met(filed: DataFrame, percent: int) -> DataFrame:
+    """Groups (g, node, first, blocks, size) of the nodes that keep a key; keys with the same members count once."""
+    kept = rarest(filed, percent).repartition("g")
+    digest = F.sum(F.xxhash64("node").cast("decimal(38,0)"))
+    groups = kept.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"), digest.alias("members")).filter("n > 1")
+    once = groups.groupBy("n", "members").agg(F.min("g").alias("g"), F.min("first").alias("first"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    return kept.join(once, "g").select("g", "node", "first", blocks.alias("blocks"), F.lit(0).cast("long").alias("size"))
+
+
 def _settled(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
     return row["n"], row["s"]
@@ -390,16 +437,10 @@ class Sets:
         # copies are left out of the keys
         copies = materialize(some.join(self.classes.filter("n > 1").select(*CLASS, "node"), CLASS).filter("uid <> node").select("uid"), "copies")
         reps = signed.filter(self.linking).join(small(copies), "uid", "left_anti").withColumnRenamed("uid", "node")
-        # keys move once, as two longs; the grouping and the join below find them in place
-        keys = reps.select("node", F.explode("keys").alias("g")).repartition("g")
-        digest = F.sum(F.xxhash64("node").cast("decimal(38,0)"))
-        shared = keys.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"), digest.alias("members")).filter("n > 1")
-        filed = materialize(keys.join(shared, "g"), "filed")
-        # keys with the same members count once
-        once = filed.filter(F.col("node") == F.col("first")).groupBy("n", "members").agg(F.min("g").alias("g")).select("g")
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        held = materialize(filed.join(once, "g").select("g", "node", "first", blocks.alias("blocks"), F.lit(0).cast("long").alias("size")), "tiles")
-        drop(filed)
+        filed = [materialize(shared_keys(reps, part), "filed") for part in range(PARTS)]
+        held = materialize(met(reduce(DataFrame.unionByName, filed), percent), "tiles")
+        for part in filed:
+            drop(part)
         found = joined(held, reps.select("node", "n_shingles", "bits"), percent)
         drop(held)
         if found is None:
