@@ -102,10 +102,14 @@ def added(value: str, over: WindowSpec | None = None) -> Column:
     return F.round((out if over is None else out.over(over)).cast("double"), 6)
 
 
-def goal_progress(s: DataFrame, key: str, ts: str, value: str, target: float, tie: str = "id") -> DataFrame:
-    """(key, total, progress, remaining, reached_at): a running sum against a target."""
-    w = Window.partitionBy(key).orderBy(ts, tie)
-    run = s.withColumn("_sum", added(value, w.rowsBetween(Window.unboundedPreceding, 0)))
+def goal_progress(s: DataFrame, key: str, ts: str, value: str, target: float, tie: str = "id", exact: bool = True) -> DataFrame:
+    """(key, total, progress, remaining, reached_at): a running sum against a target.
+
+    Without ``exact`` the sum is that of the doubles in the order of the rows, which
+    can fall short of a target that decimals reach.
+    """
+    w = Window.partitionBy(key).orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
+    run = s.withColumn("_sum", added(value, w) if exact else F.sum(value).over(w))
     return run.groupBy(key).agg(F.sum(value).cast("double").alias("total"), F.min(F.when(F.col("_sum") >= target, F.col(ts))).alias("reached_at")).select(key, "total", F.round(F.least(F.lit(100.0), F.col("total") * 100 / target), 2).alias("progress"), F.round(F.greatest(F.lit(0.0), target - F.col("total")), 2).alias("remaining"), "reached_at")
 
 
